@@ -1,0 +1,4 @@
+"""Queries over the code graph, with SQL to compare."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
