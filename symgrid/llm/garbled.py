@@ -31,8 +31,8 @@ LEAST_EVIDENCE = 2
 #: A word is known if at least this share of the documents, and 3 of them, has it. So there are at most
 #: 1 / share times the words of an average document: the known words are broadcast.
 WORD_SHARE = 1 / 2000
-#: The same for single characters, of which there are no more than code points.
-CHARACTER_SHARE = 1 / 200
+#: The same for single characters, of which there are no more than code points; box-drawing signs are in some 0.3 %.
+CHARACTER_SHARE = 1 / 1000
 #: ASCII characters that a line needs to tell its twins.
 LEAST_LINE = 20
 LOST = "\ufffd"
@@ -179,7 +179,7 @@ def learn(documents: DataFrame, text: str = "text") -> Knowledge:
     seen = {r.c: r.n for r in common.collect()}  # at most one row for each code point
     # evidence is summed by step and characters, which bounds what the driver gets by the encodings' characters
     by_step = found.select("wrong", "right", F.explode(F.arrays_zip(F.split("garbled", "").alias("g"), F.split("clean", "").alias("c"))).alias("p"), "garbled", "clean").groupBy("wrong", "right").agg(F.countDistinct("garbled", "clean").alias("n"), F.collect_set(F.col("p.g")).alias("g"), F.collect_set(F.col("p.c")).alias("c")).collect()
-    steps, clean = [], set()
+    steps, clean, wrong = [], set(), set()
     for r in by_step:
         step = Step(r.wrong, r.right)
         if r.n < LEAST_EVIDENCE:
@@ -191,10 +191,11 @@ def learn(documents: DataFrame, text: str = "text") -> Knowledge:
                 continue
         else:
             clean |= {x for x in r.c if x}
+            wrong |= {x for x in r.g if x}
         steps.append(step)
     steps.sort(key=lambda s: (s.right != "utf-8", ONE_BYTE.index(s.wrong)))
     words = got.where(F.col("kind") == "word").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n_docs * WORD_SHARE)).select("item").collect()
-    known = frozenset(c for c, n in seen.items() if n >= max(3, n_docs * CHARACTER_SHARE)) | clean
+    known = frozenset(c for c, n in seen.items() if n >= max(3, n_docs * CHARACTER_SHARE)) | (clean - wrong)
     return Knowledge(steps, frozenset(r.item for r in words), known)
 
 
