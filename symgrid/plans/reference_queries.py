@@ -1,4 +1,393 @@
-"""Queries over the code graph, with SQL to compare."""
+"""Queries over the code graph of all snapshots, with SQL to compare."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symgrid.functions import scalars
+from symgrid.operators import analyses as A
+from symgrid.operators import graph, statistics
+from symgrid.plans import filters
+from symgrid.plans.explore import Explore, search
+from symgrid.sources.catalog import NODE_COLUMNS, SCHEMA_COLUMNS, Catalog
+from symgrid.sources.tables import keep
+
+C = F.col
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+_COLS = [*NODE_COLUMNS, *SCHEMA_COLUMNS]
+_FCOLS = ["scc_id", "scc_size", "scc_cross_module", "topological_depth", "reverse_topological_depth", "transitive_callers", "transitive_callees", "betweenness_centrality", "pagerank", "hub_score", "authority_score", "clustering_coeff", "xmod_fan_in", "xmod_fan_out", "xmod_call_ratio", "dominant_callee_mod", "dominant_callee_frac", "utility_score", "stability_rank", "complexity_pct", "middleman_score", "community_id", "community_dominant_mod", "community_alignment"]
+_down = lambda cols: ", ".join(f"{c} DESC NULLS LAST" for c in cols)
+_WITH = f"""WITH RECURSIVE alln AS (SELECT * REPLACE (lower(kind) AS kind, lower(risk) AS risk, CASE WHEN complexity >= 0 THEN complexity END AS complexity) FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id, hash ORDER BY loaded_at DESC NULLS LAST, {_down(_COLS)}) AS k FROM nodes WHERE hash IS NOT NULL) WHERE k = 1),
+n AS (SELECT * FROM alln WHERE hash NOT LIKE 'ext:%'),
+nf AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, hash ORDER BY computed_at DESC NULLS LAST, {_down(_FCOLS)}) AS k FROM node_features) WHERE k = 1),
+e AS (SELECT repo_id, caller_hash, callee_hash, call_count FROM edges WHERE caller_hash <> '' AND callee_hash <> ''),
+me AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, caller_module, callee_module ORDER BY loaded_at DESC NULLS LAST, edge_count DESC NULLS LAST) AS k FROM module_edges
+  WHERE caller_module IS NOT NULL AND callee_module IS NOT NULL) WHERE k = 1 AND caller_module <> '__external__' AND callee_module <> '__external__'),
+calls AS (SELECT e.*, s.name AS s_name, s.module AS s_module, t.name AS t_name, t.module AS t_module, t.caller_count AS t_callers FROM e JOIN n s ON s.repo_id = e.repo_id AND s.hash = e.caller_hash JOIN n t ON t.repo_id = e.repo_id AND t.hash = e.callee_hash),
+ed AS (SELECT DISTINCT repo_id, caller_hash AS src, callee_hash AS dst FROM calls)
+"""
+_NF = "n LEFT JOIN nf ON nf.repo_id = n.repo_id AND nf.hash = n.hash"
+
+
+def query(sql: str | None = None, shared: bool = True) -> Callable:
+    """Registers a query of a catalog, with the SQL that must give the same rows."""
+
+    def register(f: Callable[[Catalog], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, d: f(Catalog(spark, d))
+        if sql:
+            ORACLE[f.__name__] = (_WITH if shared else "") + sql
+        return f
+
+    return register
+
+
+_DEAD = "round(avg(CASE WHEN caller_count = 0 THEN 1.0 ELSE 0.0 END), 3) AS dead_ratio"
+
+
+@query(f"SELECT repo_id, module, count(*) AS symbol_count, {_DEAD}, round(avg(CAST(caller_count AS DOUBLE)), 4) AS caller_count_avg FROM n GROUP BY repo_id, module")
+def explore_default(c):
+    return Explore(c).pivot()
+
+
+@query("""SELECT repo_id, kind, risk, count(*) AS symbol_count, round(avg(CASE WHEN risk IN ('high', 'critical') THEN 1.0 ELSE 0.0 END), 3) AS high_risk_ratio, min(complexity) AS complexity_min, max(complexity) AS complexity_max,
+CAST(sum(complexity) AS BIGINT) AS complexity_sum, count(complexity) AS complexity_count, round(coalesce(stddev_pop(complexity), 0), 4) AS complexity_stddev FROM n GROUP BY ALL""")
+def explore_aggregates(c):
+    return Explore(c, ["kind", "risk"], ["symbol_count", "high_risk_ratio", *[f"complexity:{a}" for a in ("min", "max", "sum", "count", "stddev")]]).pivot()
+
+
+@query(f"""SELECT repo_id, CAST(3 - length(replace(bin(grouping(module, kind, risk)), '0', '')) AS INTEGER) AS depth, module, kind, risk, count(*) AS symbol_count, {_DEAD}, round(avg(CAST(complexity AS DOUBLE)), 4) AS complexity_avg
+FROM n GROUP BY GROUPING SETS ((repo_id, module), (repo_id, module, kind), (repo_id, module, kind, risk))""")
+def explore_tree(c):
+    return Explore(c, ["module", "kind", "risk"], ["symbol_count", "dead_ratio", "complexity:avg"]).tree()
+
+
+@query(f"""SELECT n.repo_id, CASE WHEN coalesce(scc_size, 1) > 1 THEN 'in-cycle' ELSE 'clean' END AS in_cycle, community_dominant_mod AS community, count(*) AS symbol_count,
+round(avg(CASE WHEN coalesce(scc_size, 1) > 1 THEN 1.0 ELSE 0.0 END), 3) AS in_cycle_ratio, max(pagerank) AS pagerank_max, max(topological_depth) AS topo_depth_max FROM {_NF} GROUP BY ALL""")
+def explore_enriched(c):
+    return Explore(c, ["in_cycle", "community"], ["symbol_count", "in_cycle_ratio", "pagerank:max", "topo_depth:max"]).pivot()
+
+
+@query("""SELECT repo_id, CASE WHEN file_path IS NULL OR file_path = '' THEN NULL WHEN strpos(file_path, '/') = 0 THEN '.' ELSE coalesce(nullif(regexp_extract(file_path, '^(.*)/[^/]*$', 1), ''), '/') END AS directory,
+CASE WHEN caller_count = 0 THEN 'dead' ELSE 'alive' END AS dead, CASE WHEN risk IN ('high', 'critical') THEN 'high-risk' ELSE 'normal' END AS high_risk, coalesce(nullif(framework_entry_point, ''), 'none') AS framework,
+CASE WHEN is_async = 1 THEN 'async' ELSE 'sync' END AS async, CASE WHEN is_exported = 1 THEN 'exported' ELSE 'internal' END AS exported, count(*) AS symbol_count FROM n GROUP BY ALL""")
+def explore_flags(c):
+    return Explore(c, ["directory", "dead", "high_risk", "framework", "async", "exported"], ["symbol_count"]).pivot()
+
+
+@query("""SELECT repo_id, coalesce(cn, '(top-level)') AS class, file_path AS file, count(*) AS symbol_count FROM (
+SELECT n.repo_id, n.hash, n.file_path, first(c.name ORDER BY c.line_start DESC, c.line_end, c.hash) AS cn FROM n LEFT JOIN n c ON c.repo_id = n.repo_id AND c.file_path = n.file_path AND c.kind = 'class' AND n.line_start >= c.line_start AND n.line_end <= c.line_end GROUP BY ALL) GROUP BY ALL""")
+def explore_class(c):
+    return Explore(c, ["class", "file"], ["symbol_count"]).pivot()
+
+
+def _bucket_sql(value: str, k: int, labels: list[str], name: str, source: str) -> str:
+    cases = " ".join(f"WHEN v < c[{i + 1}] THEN '{x}'" for i, x in enumerate(labels[:-1]))
+    at = ", ".join(f"l[CAST(floor(len(l) * {i} / {k}) AS INTEGER) + 1]" for i in range(1, k))
+    return f""", v AS (SELECT n.repo_id, {value} AS v FROM {source}), cuts AS (SELECT repo_id, [{at}] AS c FROM (SELECT repo_id, list(v ORDER BY v) AS l FROM v WHERE v IS NOT NULL GROUP BY repo_id))
+SELECT v.repo_id, CASE {cases} ELSE '{labels[-1]}' END AS {name}, count(*) AS symbol_count FROM v LEFT JOIN cuts ON cuts.repo_id = v.repo_id GROUP BY ALL"""
+
+
+for _field, _value, _src in (("complexity", "complexity", "n"), ("caller_count", "caller_count", "n"), ("xmod_fan_in", "xmod_fan_in", _NF), ("dead_ratio", "CASE WHEN caller_count = 0 THEN 0.0 ELSE 1.0 END", "n")):
+    for _mode, _labels in (("median", ["low", "high"]), ("quartile", [f"Q{i}" for i in range(1, 5)]), ("decile", [f"D{i}" for i in range(1, 11)])):
+        _name = f"bucket_{_field}_{_mode}"
+        QUERIES[_name] = lambda spark, d, t=f"{_field}:{_mode}": Explore(Catalog(spark, d), [t], ["symbol_count"]).pivot()
+        ORACLE[_name] = _WITH + _bucket_sql(_value, len(_labels), _labels, f"{_field}_{_mode}", _src)
+
+
+@query("""SELECT repo_id, hash, module || '::' || name AS symbol, caller_count AS caller_count_avg, complexity AS complexity_max FROM (
+SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY caller_count DESC NULLS LAST, name ASC NULLS FIRST, hash) AS r FROM n WHERE kind IN ('function', 'method')) WHERE r <= 500""")
+def explore_symbols(c):
+    return Explore(c, [], ["caller_count:avg", "complexity:max"], ["function", "method"]).symbols()
+
+
+@query("SELECT repo_id, s_module AS source, t_module AS target, count(*) AS weight FROM calls WHERE s_module <> t_module GROUP BY ALL")
+def induced_modules(c):
+    return Explore(c).induced_edges("module")
+
+
+@query("SELECT calls.repo_id, a.community_dominant_mod AS source, b.community_dominant_mod AS target, count(*) AS weight FROM calls JOIN nf a ON a.repo_id = calls.repo_id AND a.hash = caller_hash JOIN nf b ON b.repo_id = calls.repo_id AND b.hash = callee_hash WHERE source <> target GROUP BY ALL")
+def induced_communities(c):
+    return Explore(c).induced_edges("community")
+
+
+@query("""SELECT * FROM (SELECT repo_id, s_module AS source, t_module AS target, count(*) AS weight FROM calls WHERE s_module <> t_module GROUP BY ALL HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY repo_id, source ORDER BY weight DESC, target) <= 3""")
+def induced_thinned(c):
+    return filters.thin_edges(Explore(c).induced_edges("module"), 2, 3)
+
+
+@query("""SELECT DISTINCT repo_id, 'module' AS dimension, module AS value FROM n WHERE module IS NOT NULL UNION ALL SELECT DISTINCT repo_id, 'risk', risk FROM n WHERE risk IS NOT NULL UNION ALL SELECT DISTINCT repo_id, 'kind', kind FROM n WHERE kind IS NOT NULL""")
+def picker_values(c):
+    return Explore(c).picker_values().where(C("dimension").isin("module", "risk", "kind"))
+
+
+@query("""SELECT repo_id, row_no, hash, complexity, callees FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC NULLS LAST, hash) AS INTEGER) AS row_no FROM n) x LEFT JOIN (
+SELECT repo_id, caller_hash AS hash, list(coalesce(t_name, '') ORDER BY r) AS callees FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, caller_hash ORDER BY w DESC, callee_hash) AS r FROM (
+SELECT repo_id, caller_hash, callee_hash, t_name, sum(coalesce(call_count, 1)) AS w FROM calls GROUP BY ALL)) WHERE r <= 8 GROUP BY ALL) y USING (repo_id, hash) WHERE row_no <= 1000""")
+def node_table(c):
+    return Explore(c).node_table("complexity").select("repo_id", "row_no", "hash", "complexity", "callees")
+
+
+@query("SELECT repo_id, hash, name, module, kind, caller_count FROM n WHERE name ILIKE '%scan%' QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY caller_count DESC NULLS LAST, hash) <= 20")
+def search_names(c):
+    return search(c, "scan")
+
+
+@query(f"""SELECT repo_id, module, symbol_count, dead_ratio FROM (SELECT repo_id, module, count(*) AS symbol_count, {_DEAD} FROM n GROUP BY ALL) WHERE symbol_count >= 10 AND (dead_ratio IS NULL OR NOT dead_ratio BETWEEN 0.4 AND 0.6) AND NOT regexp_matches(coalesce(module, ''), '(?i)test')""")
+def explore_filtered(c):
+    p = Explore(c, ["module"], ["symbol_count", "dead_ratio"]).pivot()
+    return p.where(filters.match_expression(C("symbol_count"), ">= 10") & filters.match_expression(C("dead_ratio"), "!0.4..0.6") & filters.match_regex(C("module"), "!test"))
+
+
+@query("SELECT x.repo_id, split_part(x.repo_id, '@', 1) AS project, node_count, coalesce(edge_count, 0) AS edge_count, module_count FROM (SELECT repo_id, count(*) AS node_count, count(DISTINCT CASE WHEN hash NOT LIKE 'ext:%' AND module <> '__external__' THEN module END) AS module_count FROM alln GROUP BY 1) x LEFT JOIN (SELECT repo_id, count(*) AS edge_count FROM e GROUP BY 1) y ON x.repo_id = y.repo_id")
+def repos(c):
+    return c.repos()
+
+
+@query("""SELECT x.*, coalesce(cc, 0) AS cycle_candidates FROM (SELECT repo_id, count(*) AS node_count, count(DISTINCT CASE WHEN hash NOT LIKE 'ext:%' AND module <> '__external__' THEN module END) AS module_count,
+count(*) FILTER (hash NOT LIKE 'ext:%' AND caller_count = 0 AND kind IN ('function', 'method', 'class')) AS dead_count, count(*) FILTER (hash NOT LIKE 'ext:%' AND risk IN ('high', 'critical')) AS high_risk_count FROM alln GROUP BY 1) x
+LEFT JOIN (SELECT repo_id, count(*) AS cc FROM (SELECT repo_id, caller_hash AS h FROM e INTERSECT SELECT repo_id, callee_hash FROM e) GROUP BY 1) y ON y.repo_id = x.repo_id""")
+def overview(c):
+    return c.overview()
+
+
+@query("SELECT repo_id, risk, count(*) AS n FROM n GROUP BY ALL")
+def risks(c):
+    return c.risks()
+
+
+@query("SELECT repo_id, caller_hash, callee_hash, count(*) AS weight FROM e WHERE callee_hash NOT LIKE 'ext:%' GROUP BY ALL")
+def weighted_edges(c):
+    return c.weighted_edges()
+
+
+@query("SELECT repo_id, caller_hash, callee_hash FROM e WHERE callee_hash NOT LIKE 'ext:%' AND (repo_id, caller_hash) IN (SELECT (repo_id, hash) FROM n WHERE kind = 'class') AND (repo_id, callee_hash) IN (SELECT (repo_id, hash) FROM n WHERE kind = 'class')")
+def edges_within(c):
+    return c.edges_within(c.nodes.where(C("kind") == "class")).select("repo_id", "caller_hash", "callee_hash")
+
+
+@query("""SELECT n.repo_id, module, count(*) AS symbol_count, CAST(coalesce(sum(complexity), 0) AS BIGINT) AS total_complexity, coalesce(round(avg(complexity), 6), 0) AS avg_complexity FROM n WHERE module <> '__external__' GROUP BY ALL""")
+def module_symbol_stats(c):
+    return c.module_stats()
+
+
+_COUP = """coup AS (SELECT repo_id, module, CAST(coalesce(sum(ca), 0) AS BIGINT) AS ca, CAST(coalesce(sum(ce), 0) AS BIGINT) AS ce FROM (SELECT repo_id, callee_module AS module, edge_count AS ca, 0 AS ce FROM me WHERE caller_module <> callee_module UNION ALL SELECT repo_id, caller_module, 0, edge_count FROM me WHERE caller_module <> callee_module) GROUP BY ALL)"""
+
+
+@query(f", {_COUP} SELECT repo_id, module, ca, ce, round_even(CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0 END, 3) AS instability FROM coup")
+def coupling(c):
+    return A.coupling(c)
+
+
+@query(f", {_COUP} SELECT s.repo_id, s.module, symbol_count, total_complexity, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM (SELECT repo_id, module, count(*) AS symbol_count, CAST(coalesce(sum(complexity), 0) AS BIGINT) AS total_complexity FROM n WHERE module <> '__external__' GROUP BY ALL) s LEFT JOIN coup ON coup.repo_id = s.repo_id AND coup.module = s.module")
+def module_stats(c):
+    return A.module_stats(c).drop("avg_complexity", "instability")
+
+
+@query("""SELECT repo_id, id, CAST(sum(k) AS BIGINT) AS symbol_count, CAST(sum(x) AS BIGINT) AS complexity, count(*) FILTER (module <> id) AS submodule_count FROM (SELECT repo_id, module, count(*) AS k, coalesce(sum(complexity), 0) AS x,
+CASE WHEN coalesce(module, '') = '' THEN '__unknown__' WHEN module LIKE '\\_\\_%' ESCAPE '\\' THEN module ELSE split_part(replace(module, '/', '.'), '.', 1) END AS id FROM n GROUP BY ALL) WHERE id NOT LIKE '\\_\\_%' ESCAPE '\\' GROUP BY ALL""")
+def module_graph_nodes(c):
+    return A.module_graph(c)[0].select("repo_id", "id", "symbol_count", "complexity", "submodule_count")
+
+
+@query()
+def module_graph_edges(c):
+    return A.module_graph(c)[1]
+
+
+_FANIN = "SELECT repo_id, callee_hash AS hash, t_name AS name, t_module AS module, t_callers AS caller_count, count(DISTINCT s_module) AS calling_module_count FROM calls GROUP BY ALL HAVING count(DISTINCT s_module) >= 3"
+
+
+@query(_FANIN)
+def high_fan_in(c):
+    return A.high_fan_in(c)
+
+
+_WORDS = ", ".join(f"'{w}'" for w in scalars.LOAD_BEARING_WORDS)
+
+
+@query(f"SELECT *, CASE WHEN lower(coalesce(module, '')) LIKE '%engine%' THEN 'explicit' WHEN list_has_any(string_split(translate(lower(coalesce(module, '')), '.-', '//'), '/'), [{_WORDS}]) THEN 'auto' ELSE 'unexpected' END AS declaration FROM ({_FANIN})")
+def load_bearing(c):
+    return A.load_bearing(c, ["engine"])
+
+
+@query("SELECT repo_id, s_name AS caller, t_name AS callee, coalesce(call_count, 1) AS call_count FROM calls WHERE s_module = 'core' AND t_module = 'common.util'")
+def module_edge_details(c):
+    return A.edge_details(c, "core", "common.util")
+
+
+def _any(column: str, parts: list[str], ends: bool) -> str:
+    return " OR ".join((f"starts_with({column}, '{p}') OR ends_with({column}, '{p}')" if ends else f"contains({column}, '{p}')") for p in parts)
+
+
+_DEADSQL = f"""SELECT repo_id, hash, name, module, file_path, kind, complexity, CASE WHEN lower(coalesce(name, '')) IN ({", ".join(f"'{x}'" for x in A.ENTRYPOINTS)}) OR {_any("coalesce(name, '')", A.FRAMEWORK_NAMES, True)} OR {_any("lower(coalesce(file_path, ''))", A.FRAMEWORK_PATHS, False)} OR kind = 'class' THEN 'caution'
+WHEN starts_with(coalesce(name, ''), '_') AND coalesce(complexity, 0) <= 8 THEN 'safe' ELSE 'review' END AS confidence FROM n WHERE caller_count = 0 AND kind IN ('function', 'method', 'class')"""
+
+
+@query(_DEADSQL)
+def dead_code(c):
+    return A.dead_code(c)
+
+
+@query(f"""SELECT t.repo_id, total, coalesce(dead, 0) AS dead, coalesce(safe, 0) AS safe, coalesce(review, 0) AS review, coalesce(caution, 0) AS caution, round_even(coalesce(dead, 0) / total, 3) AS dead_ratio FROM (SELECT repo_id, count(*) AS total FROM n GROUP BY 1) t
+LEFT JOIN (SELECT repo_id, count(*) AS dead, count(*) FILTER (confidence = 'safe') AS safe, count(*) FILTER (confidence = 'review') AS review, count(*) FILTER (confidence = 'caution') AS caution FROM ({_DEADSQL}) GROUP BY 1) d ON d.repo_id = t.repo_id""")
+def dead_summary(c):
+    return A.dead_summary(c)
+
+
+@query("SELECT repo_id, file_path, count(*) AS total, count(*) FILTER (caller_count = 0) AS dead FROM n WHERE kind IN ('function', 'method', 'class') AND file_path IS NOT NULL GROUP BY ALL HAVING total >= 5 AND dead / total >= 0.6")
+def dead_files(c):
+    return A.dead_files(c)
+
+
+@query("""SELECT repo_id, hash, name, module, caller_count, CASE WHEN p > 0.6 THEN 0 WHEN p > 0.3 THEN 1 WHEN p > 0.1 THEN 2 WHEN p > 0.02 THEN 3 ELSE 4 END AS layer FROM (
+SELECT *, coalesce(caller_count / nullif(max(caller_count) OVER (PARTITION BY repo_id), 0), 0) AS p FROM n QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY caller_count DESC NULLS LAST, hash) <= 200)""")
+def building(c):
+    return A.building(c).drop("load_bearing")
+
+
+_SEEDS = "(SELECT repo_id, min(hash) AS h FROM n WHERE caller_count > 0 GROUP BY repo_id)"
+
+
+@query(f""", bfs AS (SELECT repo_id, h AS node, 0 AS d FROM {_SEEDS} UNION SELECT ed.repo_id, ed.src, d + 1 FROM bfs JOIN ed ON ed.repo_id = bfs.repo_id AND ed.dst = bfs.node WHERE d < 5)
+SELECT repo_id, node AS hash, min(d) AS depth FROM bfs GROUP BY ALL HAVING min(d) > 0""")
+def blast_radius(c):
+    seeds = c.internal_nodes.where(C("caller_count") > 0).groupBy("repo_id").agg(F.min("hash").alias("hash"))
+    return A.blast_radius(c, seeds, 5)
+
+
+@query()
+def cycles(c):
+    return A.cycles(c)
+
+
+@query("""SELECT repo_id, least_ AS node, CAST(count(*) AS BIGINT) AS triangles FROM (WITH u AS (SELECT DISTINCT repo_id, least(src, dst) AS a, greatest(src, dst) AS b FROM ed WHERE src <> dst)
+SELECT x.repo_id, unnest([x.a, x.b, y.b]) AS least_ FROM u x JOIN u y ON y.repo_id = x.repo_id AND y.a = x.b JOIN u z ON z.repo_id = x.repo_id AND z.a = x.a AND z.b = y.b) GROUP BY ALL""")
+def triangles(c):
+    return graph.clustering(c.edges_distinct).where(C("triangles") > 0).select("repo_id", "node", "triangles")
+
+
+def _graph(c: Catalog) -> tuple[DataFrame, DataFrame]:
+    return keep(c.edges_distinct, "edges"), keep(c.internal_nodes.select("repo_id", C("hash").alias("node")), "nodes")
+
+
+@query()
+def pagerank(c):
+    return graph.pagerank(*_graph(c)).select("repo_id", "node", F.round("rank", 8).alias("rank"))
+
+
+@query()
+def hits(c):
+    return graph.hits(*_graph(c)).select("repo_id", "node", F.round("hub", 8).alias("hub"), F.round("authority", 8).alias("authority"))
+
+
+@query()
+def betweenness(c):
+    return graph.betweenness(*_graph(c))
+
+
+@query()
+def communities(c):
+    e, n = _graph(c)
+    return A.community_report(c, keep(graph.communities(e, n), "labels"))
+
+
+@query("SELECT repo_id, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT repo_id, caller_hash AS node, 0 AS i, 1 AS o FROM calls UNION ALL SELECT repo_id, callee_hash, 1, 0 FROM calls) GROUP BY ALL")
+def degrees(c):
+    return graph.degrees(c.calls.select("repo_id", C("caller_hash").alias("src"), C("callee_hash").alias("dst")))
+
+
+@query("""SELECT n.repo_id, n.hash, coalesce(fi, 0) AS xmod_fan_in, coalesce(fo, 0) AS xmod_fan_out, coalesce(ratio, 0) AS xmod_call_ratio FROM n
+LEFT JOIN (SELECT e.repo_id, callee_hash AS hash, count(DISTINCT s.module) AS fi FROM e JOIN alln s ON s.repo_id = e.repo_id AND s.hash = caller_hash JOIN alln t ON t.repo_id = e.repo_id AND t.hash = callee_hash WHERE s.module <> t.module AND s.module <> '__external__' GROUP BY ALL) a ON a.repo_id = n.repo_id AND a.hash = n.hash
+LEFT JOIN (SELECT e.repo_id, caller_hash AS hash, count(DISTINCT CASE WHEN s.module <> t.module AND t.module <> '__external__' THEN t.module END) AS fo, round(avg(CASE WHEN s.module <> t.module THEN 1.0 ELSE 0.0 END), 4) AS ratio
+FROM e JOIN alln s ON s.repo_id = e.repo_id AND s.hash = caller_hash JOIN alln t ON t.repo_id = e.repo_id AND t.hash = callee_hash WHERE callee_hash NOT LIKE 'ext:%' GROUP BY ALL) b ON b.repo_id = n.repo_id AND b.hash = n.hash""")
+def boundary_signals(c):
+    return A.boundary_signals(c).select("repo_id", "hash", "xmod_fan_in", "xmod_fan_out", "xmod_call_ratio")
+
+
+@query("SELECT repo_id, hash, round(rank() OVER (PARTITION BY repo_id ORDER BY coalesce(complexity, 0)) / count(*) OVER (PARTITION BY repo_id), 4) AS complexity_pct FROM n")
+def complexity_rank(c):
+    return A.complexity_rank(c)
+
+
+@query("""SELECT repo_id, hash, round(CASE WHEN caller_count + callee_count > 0 THEN callee_count / (caller_count + callee_count) ELSE 0.5 END, 4) AS stability_rank,
+round(CASE WHEN caller_count = 0 OR callee_count = 0 THEN 0 ELSE least(ln(1 + caller_count) * ln(1 + callee_count) / (1 + coalesce(complexity, 0)) / 10, 1) END, 4) AS middleman_score FROM n""")
+def simple_signals(c):
+    return A.simple_signals(c)
+
+
+@query()
+def enrich(c):
+    return A.enrich(c)
+
+
+@query(""", d AS (SELECT repo_id, node, sum(i) AS i, sum(o) AS o FROM (SELECT repo_id, caller_hash AS node, 0 AS i, 1 AS o FROM calls UNION ALL SELECT repo_id, callee_hash, 1, 0 FROM calls) GROUP BY ALL),
+p AS (SELECT c.repo_id, c.caller_hash AS node, count(*) FILTER (d.i <= 2) AS narrow, count(*) FILTER (d.i <= 2 AND s_module = t_module) AS same, count(*) FILTER (d.i = 1) AS single, count(DISTINCT CASE WHEN s_module <> t_module THEN t_module END) AS mods FROM calls c JOIN d ON d.repo_id = c.repo_id AND d.node = c.callee_hash GROUP BY ALL)
+SELECT repo_id, pattern, node AS hash, CAST(round_even(least(cap, conf), 2) AS DOUBLE) AS confidence FROM (
+SELECT repo_id, node, 'factory_method' AS pattern, 0.50 + 0.06 * same AS conf, 0.90 AS cap FROM p WHERE same >= 3
+UNION ALL SELECT p.repo_id, p.node, 'observer', 0.55 + 0.05 * narrow, 0.92 FROM p JOIN d ON d.repo_id = p.repo_id AND d.node = p.node WHERE o >= 5 AND narrow >= 4
+UNION ALL SELECT repo_id, node, 'facade', 0.50 + 0.08 * mods, 0.90 FROM p WHERE mods >= 3
+UNION ALL SELECT repo_id, node, 'template_method', 0.48 + 0.05 * narrow, 0.87 FROM p WHERE narrow >= 5
+UNION ALL SELECT repo_id, node, 'command', 0.50 + 0.05 * single, 0.88 FROM p WHERE single >= 5)""")
+def fan_out_patterns(c):
+    return A.fan_out_patterns(c).where(C("pattern").isin("factory_method", "observer", "facade", "template_method", "command"))
+
+
+@query()
+def all_fan_out_patterns(c):
+    return A.fan_out_patterns(c)
+
+
+@query()
+def chain_patterns(c):
+    return A.chain_patterns(c)
+
+
+@query("SELECT DISTINCT repo_id, s_module AS caller_module, t_module AS callee_module FROM calls a WHERE s_module <> t_module AND NOT EXISTS (SELECT 1 FROM calls b WHERE b.repo_id = a.repo_id AND b.s_module = a.t_module AND b.t_module = a.s_module)")
+def layered_modules(c):
+    return A.layered_modules(c)
+
+
+_STATUS = """, ex AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY exported_at, repo_id) AS o FROM snapshots WHERE export_state = 'complete'),
+sy AS (SELECT repo_id, module || '::' || name AS symbol, CASE WHEN strpos(max(hash), ':') = 0 THEN max(hash) ELSE substr(max(hash), strpos(max(hash), ':') + 1) END AS body FROM n WHERE module IS NOT NULL AND name IS NOT NULL GROUP BY ALL),
+x AS (SELECT sy.*, project, o FROM sy JOIN ex ON ex.repo_id = sy.repo_id), la AS (SELECT project, max(o) AS l FROM ex GROUP BY 1),
+st AS (SELECT coalesce(a.project, b.project) AS project, coalesce(b.o, a.o + 1) AS o, coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL THEN 'added' WHEN b.symbol IS NULL THEN 'removed' WHEN a.body <> b.body THEN 'modified' ELSE 'unchanged' END AS status
+FROM (SELECT x.* FROM x JOIN la USING (project) WHERE o < l) a FULL OUTER JOIN (SELECT * FROM x WHERE o > 1) b ON a.project = b.project AND a.o + 1 = b.o AND a.symbol = b.symbol)
+"""
+
+
+@query(_STATUS + "SELECT ex.repo_id, symbol, status FROM st JOIN ex ON ex.project = st.project AND ex.o = st.o")
+def diff_status(c):
+    return A.symbol_status(c)
+
+
+@query(_STATUS + """SELECT ex.repo_id, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'unchanged') AS unchanged,
+round_even(count(*) FILTER (status IN ('modified', 'unchanged')) / count(*), 3) AS similarity FROM st JOIN ex ON ex.project = st.project AND ex.o = st.o GROUP BY 1""")
+def diff_summary(c):
+    return A.diff_summary(c)
+
+
+_FEW = ["pagerank", "hub_score", "utility_score", "complexity_pct", "xmod_fan_in"]
+
+
+@query(f", m AS (SELECT {', '.join(f'CASE WHEN {x} IS NULL OR isnan({x}) THEN 0 ELSE {x} END AS {x}' for x in _FEW[:4])}, coalesce(xmod_fan_in, 0) AS xmod_fan_in FROM nf) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM m" for i, a in enumerate(_FEW) for b in _FEW[i + 1 :]))
+def feature_correlations(c):
+    return statistics.correlations(c.features, _FEW)
+
+
+@query()
+def feature_components(c):
+    got = statistics.principal_components(c.features, 3)
+    return c.spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(got["explained"])], "component int, explained double")
+
+
+@query()
+def feature_importances(c):
+    rows = c.features.join(c.internal_nodes.select("repo_id", "hash", (C("risk").isin("high", "critical")).cast("int").alias("risky")), ["repo_id", "hash"]).where(C("risky").isNotNull())
+    got = statistics.importances(rows, "risky", trees=20, folds=3)
+    return c.spark.createDataFrame([(k, v) for k, v in got["importances"].items()], "feature string, importance double")
