@@ -20,21 +20,23 @@ from symgrid.sources.tables import keep, small
 #: Nodes up to which a component is walked by one task (some 100 MB of Python objects at most).
 LARGEST = 100_000
 ON_CYCLE, BELOW_CYCLE = -1, -2
-_SEP = "\x00"
 _OUT = "repo_id string, hash string, root_hash string, depth int, path array<string>, n_descendants long"
 
 
-def _walk(parent: dict[str, str | None]) -> dict[str, tuple[str, int, list[str] | None, int]]:
+Node = tuple[str | None, str]
+
+
+def _walk(parent: dict[Node, Node | None]) -> dict[Node, tuple[str, int, list[str] | None, int]]:
     """Of each node: root, depth, path from the root, number of descendants. ``parent`` has every node of whole components."""
-    children: dict[str, list[str]] = {}
+    children: dict[Node, list[Node]] = {}
     for c, p in parent.items():
         if p is not None and c != p:
             children.setdefault(p, []).append(c)
-    out: dict[str, tuple[str, int, list[str] | None, int]] = {}
+    out: dict[Node, tuple[str, int, list[str] | None, int]] = {}
     WHITE, GREY, BLACK = 0, 1, 2
     colour = dict.fromkeys(parent, WHITE)
 
-    def down(start: str, root: str, depth: int, step: int, path: list[str] | None) -> None:
+    def down(start: Node, root: str, depth: int, step: int, path: list[str] | None) -> None:
         """Depth-first from start; step is added to the depth at each level. Descendants are counted on the way back."""
         stack = [(start, depth, path, iter(children.get(start, ())))]
         colour[start], below = GREY, [0]
@@ -43,7 +45,7 @@ def _walk(parent: dict[str, str | None]) -> dict[str, tuple[str, int, list[str]
             for child in rest:
                 if colour[child] == WHITE:
                     colour[child] = GREY
-                    stack.append((child, d + step, None if way is None else [*way, child], iter(children.get(child, ()))))
+                    stack.append((child, d + step, None if way is None else [*way, child[1]], iter(children.get(child, ()))))
                     below.append(0)
                     break
             else:
@@ -55,7 +57,7 @@ def _walk(parent: dict[str, str | None]) -> dict[str, tuple[str, int, list[str]
 
     for node, p in parent.items():
         if p is None:
-            down(node, node, 0, 1, [node])
+            down(node, node[1], 0, 1, [node[1]])
     for node in parent:  # what no root reaches hangs on a cycle: go up until a grey node closes it
         if colour[node] != WHITE:
             continue
@@ -85,22 +87,22 @@ def _walk_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Batches sorted by component in, one row a node out."""
     schema = pa.schema([("repo_id", pa.string()), ("hash", pa.string()), ("root_hash", pa.string()), ("depth", pa.int32()), ("path", pa.list_(pa.string())), ("n_descendants", pa.int64())])
     done: list[tuple] = []
-    last, parent, repo = None, {}, None
+    last, parent = None, {}
 
     def finish() -> None:
-        done.extend((repo, h, *r) for h, r in _walk(parent).items())
+        done.extend((*node, *r) for node, r in _walk(parent).items())
 
     for batch in batches:
         for comp, r, child, par in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if comp != last:
                 if parent:
                     finish()
-                last, parent, repo = comp, {}, r
+                last, parent = comp, {}
             if par is not None:
-                parent[child] = par
-                parent.setdefault(par, None)
+                parent[r, child] = (r, par)
+                parent.setdefault((r, par), None)
             else:
-                parent.setdefault(child, None)
+                parent.setdefault((r, child), None)
             if len(done) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), schema.types)], schema=schema)
                 done = []
@@ -147,7 +149,8 @@ def hierarchies(inheritance: DataFrame, largest: int = LARGEST) -> DataFrame:
     """
     rows = latest_parents(inheritance).withColumn("parent_hash", F.when(is_reference("parent_hash"), F.col("parent_hash")))
     rows = keep(rows.withColumn("repo_key", F.coalesce("repo_id", F.lit(""))), "parents")
-    node = lambda c: F.concat("repo_key", F.lit(_SEP), c)
+    # 64 bits name a node here: should two share them, their components are only walked together
+    node = lambda c: F.xxhash64(F.col("repo_id").isNull(), "repo_key", c)
     links = rows.select(node("child_hash").alias("a"), F.coalesce(node("parent_hash"), node("child_hash")).alias("b"))
     comp = keep(components(links, "a", "b"), "components")
     rows = rows.withColumn("id", node("child_hash")).join(comp, "id").select("component", "repo_id", F.col("child_hash").alias("child"), F.col("parent_hash").alias("parent"))
