@@ -26,8 +26,9 @@ from symgrid.sources.tables import keep
 
 #: Encodings that are tried; of several that explain a pair the first is taken.
 ONE_BYTE = ["cp1252", "mac_roman", "cp437", "cp1250", "cp1251", "koi8-r", "cp850", "cp866", "iso8859-2", "iso8859-5", "iso8859-15", "mac_cyrillic", "cp1257", "cp1254", "cp1253"]
-#: Distinct pairs of runs that a step must explain.
-LEAST_EVIDENCE = 2
+#: Distinct pairs of runs that a step must explain, and their share of what the best step of its kind explains: unlike
+#: twins, lines that are alike by chance grow in number with the corpus.
+LEAST_EVIDENCE, EVIDENCE_SHARE = 2, 0.015
 #: A word is known if at least this share of the documents, and 3 of them, has it. So there are at most
 #: 1 / share times the words of an average document: the known words are broadcast.
 WORD_SHARE = 1 / 2000
@@ -35,6 +36,8 @@ WORD_SHARE = 1 / 2000
 CHARACTER_SHARE = 1 / 1000
 #: ASCII characters that a line needs to tell its twins.
 LEAST_LINE = 20
+#: Times that the word which a step brings out must be as frequent as the word as it stands.
+CLEARLY = 5
 LOST = "\ufffd"
 
 _LINES = regex.compile(r"[^\n]*[^\x00-\x7f\n][^\n]*").findall
@@ -116,6 +119,10 @@ def explain(garbled: str, clean: str) -> list[Step]:
     return steps
 
 
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, item, n): lines by their ASCII part with their runs; documents by word and by character."""
     lines: Counter = Counter()
@@ -139,7 +146,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rest = _RUNS.sub("\x01", line)
                 runs = _RUNS.findall(line)
                 if len(rest) - len(runs) >= LEAST_LINE:
-                    lines[(xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass")) - (1 << 63), "\x00".join(runs))] += 1
+                    together = "\x00".join(runs)
+                    lines[_key(rest), together] += 1
+                    if len(together) > 2 * len(runs) + LEAST_LINE // 2:
+                        # whole words: many lines have the same ASCII rest; one-byte steps keep lengths, which tells twins
+                        lines[_key(rest + "\x00" + ",".join([str(len(r)) for r in runs])), together] += 1
             seen[0].update({w for w in set(_WORDS(text)) if len(w) < 64})
             seen[1].update({c for w in set(_RUNS.findall(text)) for c in w})
         if len(lines) + len(seen[0]) > 200_000:
@@ -160,7 +171,7 @@ class Knowledge(NamedTuple):
     """What is learned from all documents. Sizes are bounded: steps by the encodings, words by ``WORD_SHARE``, characters by Unicode."""
 
     steps: list[Step]
-    words: frozenset[str]
+    words: dict[str, int]
     characters: frozenset[str]
 
 
@@ -180,9 +191,10 @@ def learn(documents: DataFrame, text: str = "text") -> Knowledge:
     # evidence is summed by step and characters, which bounds what the driver gets by the encodings' characters
     by_step = found.select("wrong", "right", F.explode(F.arrays_zip(F.split("garbled", "").alias("g"), F.split("clean", "").alias("c"))).alias("p"), "garbled", "clean").groupBy("wrong", "right").agg(F.countDistinct("garbled", "clean").alias("n"), F.collect_set(F.col("p.g")).alias("g"), F.collect_set(F.col("p.c")).alias("c")).collect()
     steps, clean, wrong = [], set(), set()
+    most = {kind: max([r.n for r in by_step if (r.right == "utf-8") == kind], default=0) for kind in (True, False)}
     for r in by_step:
         step = Step(r.wrong, r.right)
-        if r.n < LEAST_EVIDENCE:
+        if r.n < max(LEAST_EVIDENCE, EVIDENCE_SHARE * most[step.right == "utf-8"]):
             continue
         if step.right != "utf-8":
             # the garbled side has characters that the corpus hardly has
@@ -194,9 +206,9 @@ def learn(documents: DataFrame, text: str = "text") -> Knowledge:
             wrong |= {x for x in r.g if x}
         steps.append(step)
     steps.sort(key=lambda s: (s.right != "utf-8", ONE_BYTE.index(s.wrong)))
-    words = got.where(F.col("kind") == "word").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n_docs * WORD_SHARE)).select("item").collect()
+    words = got.where(F.col("kind") == "word").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, n_docs * WORD_SHARE)).collect()
     known = frozenset(c for c, n in seen.items() if n >= max(3, n_docs * CHARACTER_SHARE)) | (clean - wrong)
-    return Knowledge(steps, frozenset(r.item for r in words), known)
+    return Knowledge(steps, {r.item: r.n for r in words}, known)
 
 
 def _cyrillic(s: str) -> bool:
@@ -235,13 +247,18 @@ class Detector:
         return run
 
     def _words(self, text: str) -> Step | None:
-        """A step between one-byte encodings that brings out two known words or more where there were none."""
-        strange = {w for w in _WORDS(text) if len(w) > 1 and w not in self.known.words}
-        for step in self.one_byte if strange else ():
-            if len({f for w in strange if (f := unicodedata.normalize("NFC", repair(w, step))) != w and f in self.known.words}) > 1:
+        """A step between one-byte encodings that brings out two known words or more."""
+        words = {w for w in _WORDS(text) if len(w) > 1} if self.one_byte else ()
+        for step in self.one_byte:
+            if sum(self._better(w, step) for w in words) > 1:
                 return step
         return None
 
+    def _better(self, word: str, step: Step) -> bool:
+        """Whether a step makes a word one that is ``CLEARLY`` times as frequent. Garbled words may be known themselves."""
+        other = unicodedata.normalize("NFC", repair(word, step))
+        return other != word and self.known.words.get(other, 0) > CLEARLY * self.known.words.get(word, 0)
+
     def garbled(self, text: str) -> bool:
         if not text or text.isascii():
             return False
@@ -257,9 +274,11 @@ class Detector:
         text = _VERB(lambda m: held.append(m.group()) or f"\x00{len(held) - 1}\x00", text)
         text = _RUNS.sub(lambda m: self._fix(m.group()), text)
         if step := self._words(unicodedata.normalize("NFC", text)):
-            good = self.known.words
+            # by line: where a step helps no word and some word is known as it stands, nothing is changed
             lines = text.split("\n")
-            text = "\n".join(repair(x, step) if sum(w not in good and len(w) > 1 for w in _WORDS(x)) * 2 > len(_WORDS(x)) or "\x80" <= max(x, default="") and not any(w in good for w in _WORDS(x)) else x for x in lines)
+            helps = [[self._better(unicodedata.normalize("NFC", w), step) for w in _WORDS(x)] for x in lines]
+            plain = [any(len(w) > 1 and w in self.known.words for w in _WORDS(x)) for x in lines]
+            text = "\n".join(repair(x, step) if any(h) or (h and not p) else x for x, h, p in zip(lines, helps, plain))
         return regex.sub("\x00(\\d+)\x00", lambda m: held[int(m.group(1))], text)
 
 
