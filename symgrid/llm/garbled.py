@@ -185,7 +185,9 @@ def learn(documents: DataFrame, text: str = "text") -> Knowledge:
     twins = lines.join(best, "key").where(F.col("item") != F.col("best"))
     x, y = F.split("best", "\x00"), F.split("item", "\x00")
     pairs = twins.where(F.size(x) == F.size(y)).select(F.explode(F.arrays_zip(x.alias("x"), y.alias("y"))).alias("p")).select("p.x", "p.y").where(F.col("x") != F.col("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    found = pairs.mapInArrow(_evidence, "wrong string, right string, garbled string, clean string, n long")
+    # few bytes but much work a pair: spread by count, which adaptive execution would not do
+    spread = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pairs.repartition(spread).mapInArrow(_evidence, "wrong string, right string, garbled string, clean string, n long")
     common = got.where(F.col("kind") == "character").groupBy(F.col("item").alias("c")).agg(F.sum("n").alias("n"))
     seen = {r.c: r.n for r in common.collect()}  # at most one row for each code point
     # evidence is summed by step and characters, which bounds what the driver gets by the encodings' characters
