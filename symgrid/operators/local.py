@@ -172,31 +172,46 @@ def hits(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray) -
     return [hub, auth]
 
 
-def betweenness(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray, pivots: int = 500) -> list:
-    """Paths counted level by level from each source, dependencies added up backwards. size orders the sources."""
+def betweenness(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray, pivots: int = 500, exact: int = 3000) -> list:
+    """Paths counted level by level from each source, dependencies added up backwards. size orders the sources.
+
+    All nodes are sources up to ``exact`` nodes, else ``pivots``. Many sources are walked together: a place is the number
+    of the source in its batch times n plus the node.
+    """
     n = len(names)
-    ways = [np.array(x, dtype=np.int64) for x in _lists(n, src, dst)]
+    by_src = np.argsort(src, kind="stable")
+    ways, out = dst[by_src], np.bincount(src, minlength=n)
+    first = np.cumsum(out) - out
     score = np.zeros(n)
-    sources = sorted(range(n), key=lambda i: (size[i], names[i]))[:pivots]
-    for s in sources:
-        level, paths = np.full(n, -1), np.zeros(n)
-        level[s], paths[s] = 0, 1
-        steps, front = [], np.array([s])
+    order = sorted(range(n), key=lambda i: (size[i], names[i]))
+    sources = np.array(order if n <= exact else order[:pivots], dtype=np.int64)
+    batch = max(1, 250_000 // max(n, 1))
+    for at in range(0, len(sources), batch):
+        some = sources[at : at + batch]
+        level, paths = np.full(len(some) * n, -1, dtype=np.int32), np.zeros(len(some) * n)
+        turn = np.zeros(len(some) * n, dtype=np.int64)
+        starts = front = np.arange(len(some)) * n + some
+        level[front], paths[front] = 0, 1
+        steps, depth = [], 0
         while len(front):
-            a = np.repeat(front, [len(ways[v]) for v in front])
-            b = np.concatenate([ways[v] for v in front]) if len(a) else np.array([], dtype=np.int64)
-            new = np.unique(b[level[b] < 0])
-            level[new] = level[front[0]] + 1
-            down = level[b] == level[front[0]] + 1
+            depth += 1
+            node = front % n
+            k = out[node]
+            a = np.repeat(front, k)
+            way = np.repeat(first[node] - (np.cumsum(k) - k), k) + np.arange(len(a))
+            b = np.repeat(front - node, k) + ways[way]
+            down = level[b] < 0
             a, b = a[down], b[down]
+            level[b] = depth
             np.add.at(paths, b, paths[a])
             steps.append((a, b))
-            front = new
-        gain = np.zeros(n)
+            turn[b] = np.arange(len(b))
+            front = b[turn[b] == np.arange(len(b))]
+        gain = np.zeros(len(some) * n)
         for a, b in reversed(steps):
             np.add.at(gain, a, paths[a] / paths[b] * (1 + gain[b]))
-        gain[s] = 0
-        score += gain
-    if n > 2 and sources:
+        gain[starts] = 0
+        score += gain.reshape(len(some), n).sum(axis=0)
+    if n > 2 and len(sources):
         score *= n / len(sources) / ((n - 1) * (n - 2))
     return [np.floor(score * 1e6 + 0.5) / 1e6]

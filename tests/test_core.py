@@ -170,6 +170,47 @@ def test_small_and_large_snapshots_alike(spark, random_graph, name):
             assert x == y if name == "scc" else x == pytest.approx(y, abs=2e-5 if name == "pagerank" else 1e-4)
 
 
+def _brandes(nodes, ways, sources):
+    score = dict.fromkeys(nodes, 0.0)
+    for s in sources:
+        dist, paths, order, at = {s: 0}, Counter({s: 1}), [s], 0
+        while at < len(order):
+            v, at = order[at], at + 1
+            for w in ways[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        gain = Counter()
+        for v in reversed(order):
+            for w in ways[v]:
+                if dist[w] == dist[v] + 1:
+                    gain[v] += paths[v] / paths[w] * (1 + gain[w])
+        for v in order[1:]:
+            score[v] += gain[v]
+    n = len(nodes)
+    return {v: x * n / len(sources) / ((n - 1) * (n - 2)) for v, x in score.items()}
+
+
+@pytest.mark.parametrize("largest", [10**6, 0])
+def test_betweenness_is_exact_above_500_nodes(spark, largest):
+    rng = random.Random(6)
+    leaf, hub = lambda: f"{rng.randint(10, 299):03d}", lambda: f"{rng.randint(0, 9):03d}"
+    e = sorted({(f"{i:03d}", hub()) for i in range(10, 300)} | {(hub(), f"{i:03d}") for i in range(300, 600)} | {(leaf(), hub()) for _ in range(80)} | {(hub(), hub()) for _ in range(12)})
+    df = spark.createDataFrame([("r", *x) for x in e], "repo_id string, src string, dst string")
+    ways = defaultdict(list)
+    for a, b in e:
+        ways[a].append(b)
+    nodes = sorted({x for ab in e for x in ab})
+    assert len(nodes) > 510
+    want = _brandes(nodes, ways, nodes)
+    got = {r.node: r.score for r in graph.betweenness(df, graph.nodes_of(df), largest=largest).collect()}
+    assert got == pytest.approx(want, abs=6e-7)
+    some = {r.node: r.score for r in graph.betweenness(df, graph.nodes_of(df), pivots=100, largest=largest, exact=len(nodes) - 1).collect()}
+    assert some != pytest.approx(want, abs=6e-7)  # above the limit: a sample
+
+
 def test_dag_depth_and_paths(spark):
     e = spark.createDataFrame([("r", "a", "b"), ("r", "a", "c"), ("r", "b", "d"), ("r", "c", "d"), ("r", "d", "e")], "repo_id string, src string, dst string")
     n = graph.nodes_of(e)
