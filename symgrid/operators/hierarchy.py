@@ -1,8 +1,8 @@
 """Problem 6: parent-child rows to paths, depths, roots, descendants and cycles.
 
 Connected components are found with joins; each component is brought to one task, which walks it depth-first without
-recursion and colours its nodes. Components above ``LARGEST`` nodes are not brought together: their ancestors are
-found by doubling the distance of each node's pointer, with joins alone.
+recursion and colours its nodes. Components above ``LARGEST`` nodes are not brought together: their circles and then
+their ancestors are found by doubling the distance of each node's pointer, with joins alone.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrid.operators.components import components
@@ -112,30 +112,50 @@ def _walk_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), schema.types)], schema=schema)
 
 
+def _repo() -> Column:
+    """repo_id as a key that joins nulls with nulls."""
+    return F.coalesce(F.concat(F.lit("r"), "repo_id"), F.lit(""))
+
+
+def _circles(links: DataFrame) -> DataFrame:
+    """(repo, node) of the nodes on circles. links: repo, node, anc, every node once.
+
+    A round doubles the distance of each pointer; nodes whose pointer would pass a root are dropped. If a round drops
+    none, only nodes on and below circles are left, since a deeper tree has nodes for each round. Once the distance is as
+    large as their number, every pointer stands on a circle, and the pointers of a circle cover it.
+    """
+    open_, distance, left = keep(links.where(F.col("anc").isNotNull()), "circles"), 1, None
+    while (n := open_.count()) and (n != left or distance < n):
+        left, distance = n, distance * 2
+        up = open_.select("repo", F.col("node").alias("anc"), F.col("anc").alias("next"))
+        open_ = keep(open_.join(up, ["repo", "anc"]).select("repo", "node", F.col("next").alias("anc")), "circles")
+    return keep(open_.select("repo", F.col("anc").alias("node")).distinct(), "circles")
+
+
 def _double(links: DataFrame) -> DataFrame:
     """The same columns for components of any size. links: component, repo_id, child, parent (null for a root), every node once."""
-    key = ["repo_id", "node"]
-    state = links.select("repo_id", F.col("child").alias("node"), F.col("parent").alias("anc"), F.array("child").alias("path"))
-    state = keep(state, "double")
-    left, seen = None, False
-    while True:
-        open_ = state.where(F.col("anc").isNotNull())
-        n = open_.count()
-        if n == 0 or n == left:
-            break
-        left, seen = n, True
-        up = state.select("repo_id", F.col("node").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("above"))
-        moved = open_.join(up, ["repo_id", "anc"]).select(*key, F.col("next").alias("anc"), F.concat("above", "path").alias("path"))
+    key = ["repo", "node"]
+    links = keep(links.select("component", _repo().alias("repo"), F.col("child").alias("node"), F.col("parent").alias("anc")), "double")
+    circles = _circles(links.drop("component")).withColumn("on", F.lit(True))
+    # with the nodes on circles as roots the rest is trees
+    state = keep(links.join(circles, key, "left").select("component", *key, F.when(F.col("on").isNull(), F.col("anc")).alias("anc"), F.array("node").alias("path")), "double")
+    while (open_ := state.where(F.col("anc").isNotNull())).limit(1).count():
+        up = state.select("repo", F.col("node").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("above"))
+        moved = open_.join(up, ["repo", "anc"]).select("component", *key, F.col("next").alias("anc"), F.concat("above", "path").alias("path"))
         state = keep(state.where(F.col("anc").isNull()).unionByName(moved), "double")
-    del seen
-    tree = state.where(F.col("anc").isNull()).select(*key, F.col("path")[0].alias("root_hash"), (F.size("path") - 1).alias("depth"), "path")
-    below = tree.select("repo_id", F.explode("path").alias("node")).groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
-    tree = tree.join(below, key)
-    # after 2^k >= longest-tail steps every pointer of the rest stands on a cycle, and the pointers of a cycle cover it
-    rest = state.where(F.col("anc").isNotNull())
-    on = rest.select("repo_id", F.col("anc").alias("node")).distinct().withColumn("on", F.lit(True))
-    rest = rest.join(on, key, "left").select(*key, F.lit("").alias("root_hash"), F.when(F.col("on"), ON_CYCLE).otherwise(BELOW_CYCLE).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("n_descendants"))
-    return tree.unionByName(rest).select("repo_id", F.col("node").alias("hash"), "root_hash", F.col("depth").cast("int").alias("depth"), "path", "n_descendants")
+    below = state.select("repo", F.explode("path").alias("node")).groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("n"))
+    tops = circles.select("repo", F.col("node").alias("top"), "on")
+    found = keep(state.withColumn("top", F.col("path")[0]).join(below, key).join(tops, ["repo", "top"], "left"), "double")
+    around = found.where("on").groupBy("component").agg(F.count(F.lit(1)).alias("around"))
+    is_top = F.size("path") == 1
+    return found.join(around, "component", "left").select(
+        F.when(F.col("repo") != "", F.expr("substring(repo, 2)")).alias("repo_id"),
+        F.col("node").alias("hash"),
+        F.when(F.col("on"), "").otherwise(F.col("top")).alias("root_hash"),
+        F.when(F.col("on") & is_top, ON_CYCLE).when(F.col("on"), BELOW_CYCLE).otherwise(F.size("path") - 1).cast("int").alias("depth"),
+        F.when(F.col("on").isNull(), F.col("path")).alias("path"),
+        F.when(F.col("on") & is_top, F.col("around")).otherwise(F.col("n")).alias("n_descendants"),
+    )
 
 
 def hierarchies(inheritance: DataFrame, largest: int = LARGEST) -> DataFrame:
@@ -143,8 +163,7 @@ def hierarchies(inheritance: DataFrame, largest: int = LARGEST) -> DataFrame:
 
     The counting row of a child gives its parent; null, empty and ``unresolved:`` parents make it a root. Roots have
     themselves as root and depth 0; hashes on a circle have root '' and depth -1, those below one '' and -2, both with
-    a null path. n_descendants doesn't count the hash itself but, on a circle, all of the circle; it is null for
-    circles in components above ``largest`` nodes. A child of null is no class; an empty child is one like any other.
+    a null path. n_descendants doesn't count the hash itself but, on a circle, all of the circle. A child of null is no class; an empty child is one like any other.
     An empty table gives no rows. Rows with null repo_id form a snapshot of their own.
     """
     rows = latest_parents(inheritance).withColumn("parent_hash", F.when(is_reference("parent_hash"), F.col("parent_hash")))
@@ -160,5 +179,5 @@ def hierarchies(inheritance: DataFrame, largest: int = LARGEST) -> DataFrame:
     if large.limit(1).count() == 0:
         return walked
     some = keep(rows_of("left_semi"), "large-rows")
-    tops = some.where(F.col("parent").isNotNull()).select("component", "repo_id", F.col("parent").alias("child")).join(some.select("repo_id", "child"), ["repo_id", "child"], "left_anti").distinct()
+    tops = some.where(F.col("parent").isNotNull()).select("component", "repo_id", F.col("parent").alias("child"), _repo().alias("repo")).join(some.select(_repo().alias("repo"), "child"), ["repo", "child"], "left_anti").drop("repo").distinct()
     return walked.unionByName(_double(some.unionByName(tops.select("component", "repo_id", "child", F.lit(None).cast("string").alias("parent")))))

@@ -124,6 +124,21 @@ def test_hierarchies(spark, largest):
     assert rows(hierarchy.hierarchies(df.limit(0))) == []
 
 
+def test_large_hierarchies_with_long_tails_on_circles(spark):
+    data = []
+    for repo in ("r", None):
+        parent = {"a": "b", "b": "a", "t0": "a", "self": "self", "s": "self", "top": None, "x": "top", "y": "gone", "z": "y"}
+        parent |= {f"t{i}": f"t{i - 1}" for i in range(1, 10)} | {f"u{i}": f"t{i}" for i in range(3)}
+        data += [(repo, c, p, at(1)) for c, p in parent.items()]
+    df = spark.createDataFrame(data, f"repo_id string, child_hash string, parent_hash string, loaded_at {TIME}")
+    large = hierarchy.hierarchies(df, 1)
+    assert rows(large) == rows(hierarchy.hierarchies(df))
+    got = {(r.repo_id, r.hash): (r.depth, r.n_descendants) for r in large.collect()}
+    for repo in ("r", None):
+        assert {h for (q, h), v in got.items() if q == repo and v[0] == -1} == {"a", "b", "self"}
+        assert got[repo, "t9"] == (-2, 0) and got[repo, "t0"] == (-2, 12) and got[repo, "b"] == (-1, 15) and got[repo, "gone"] == (0, 2)
+
+
 def test_snapshot_changes(spark, monkeypatch):
     monkeypatch.setattr(snapdiff, "CHUNK_KEYS", 4)
     rng = random.Random(4)
