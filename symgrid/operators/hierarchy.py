@@ -27,7 +27,7 @@ Node = tuple[str | None, str]
 
 
 def _walk(parent: dict[Node, Node | None]) -> dict[Node, tuple[str, int, list[str] | None, int]]:
-    """Of each node: root, depth, path from the root, number of descendants. ``parent`` has every node of whole components."""
+    """Of each node: root, depth, path from the root or the circle, number of descendants. ``parent`` has every node of whole components."""
     children: dict[Node, list[Node]] = {}
     for c, p in parent.items():
         if p is not None and c != p:
@@ -36,7 +36,7 @@ def _walk(parent: dict[Node, Node | None]) -> dict[Node, tuple[str, int, list[st
     WHITE, GREY, BLACK = 0, 1, 2
     colour = dict.fromkeys(parent, WHITE)
 
-    def down(start: Node, root: str, depth: int, step: int, path: list[str] | None) -> None:
+    def down(start: Node, root: str, depth: int, step: int, path: list[str]) -> None:
         """Depth-first from start; step is added to the depth at each level. Descendants are counted on the way back."""
         stack = [(start, depth, path, iter(children.get(start, ())))]
         colour[start], below = GREY, [0]
@@ -45,7 +45,7 @@ def _walk(parent: dict[Node, Node | None]) -> dict[Node, tuple[str, int, list[st
             for child in rest:
                 if colour[child] == WHITE:
                     colour[child] = GREY
-                    stack.append((child, d + step, None if way is None else [*way, child[1]], iter(children.get(child, ()))))
+                    stack.append((child, d + step, [*way, child[1]], iter(children.get(child, ()))))
                     below.append(0)
                     break
             else:
@@ -75,7 +75,7 @@ def _walk(parent: dict[Node, Node | None]) -> dict[Node, tuple[str, int, list[st
         for x in circle:
             for child in children.get(x, ()):
                 if colour[child] == WHITE:
-                    down(child, "", BELOW_CYCLE, 0, None)
+                    down(child, "", BELOW_CYCLE, 0, [x[1], child[1]])
                     total += out[child][3] + 1
         for x in circle:
             colour[x] = BLACK
@@ -153,17 +153,49 @@ def _double(links: DataFrame) -> DataFrame:
         F.col("node").alias("hash"),
         F.when(F.col("on"), "").otherwise(F.col("top")).alias("root_hash"),
         F.when(F.col("on") & is_top, ON_CYCLE).when(F.col("on"), BELOW_CYCLE).otherwise(F.size("path") - 1).cast("int").alias("depth"),
-        F.when(F.col("on").isNull(), F.col("path")).alias("path"),
+        F.when(F.col("on").isNull() | ~is_top, F.col("path")).alias("path"),
         F.when(F.col("on") & is_top, F.col("around")).otherwise(F.col("n")).alias("n_descendants"),
     )
 
 
+def _rounds(links: DataFrame) -> DataFrame:
+    """(repo, top, node, distance): of each node on a circle those on it, itself at the circle's length. links: repo, node, top, the node above.
+
+    The ways known so far are doubled until each node has met itself.
+    """
+    ways, longest = keep(links.select("repo", "top", "node", F.lit(1).alias("distance")), "rounds"), 1
+    met = lambda: ways.where(F.col("top") == F.col("node")).groupBy("repo", "node").agg(F.min("distance").alias("length"))
+    while ways.select("repo", "node").distinct().join(met(), ["repo", "node"], "left_anti").limit(1).count():
+        far = ways.where(F.col("distance") == longest).select("repo", F.col("top").alias("at"), "node")
+        more = far.join(ways.select("repo", F.col("node").alias("at"), "top", "distance"), ["repo", "at"]).select("repo", "top", "node", (F.col("distance") + longest).alias("distance"))
+        ways, longest = keep(ways.unionByName(more), "rounds"), longest * 2
+    return ways.join(met(), ["repo", "node"]).where(F.col("distance") <= F.col("length")).select("repo", "top", "node", "distance")
+
+
+def descendants(inheritance: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(repo_id, hash, descendant_hash, distance): each class with all of its descendants and the number of steps down.
+
+    On a circle each class descends from all of it, itself included, which is once round; what hangs on a circle descends
+    from all of it too. Of several ways round the nearest counts.
+    """
+    tree = keep(hierarchies(inheritance, largest).select(_repo().alias("repo"), "hash", "depth", "path"), "descendants")
+    steps = F.size("path") - 1
+    down = tree.where(steps > 0).select("repo", F.posexplode("path").alias("at", "top"), F.col("hash").alias("node"), steps.alias("steps")).where(F.col("at") < F.col("steps")).select("repo", "top", "node", (F.col("steps") - F.col("at")).alias("distance"))
+    on = tree.where(F.col("depth") == ON_CYCLE).select("repo", F.col("hash").alias("node"))
+    above = latest_parents(inheritance).select(_repo().alias("repo"), F.col("child_hash").alias("node"), F.col("parent_hash").alias("top"))
+    rounds = keep(_rounds(on.join(above, ["repo", "node"])), "rounds")
+    hung = tree.where(F.col("depth") == BELOW_CYCLE).select("repo", F.col("path")[0].alias("at"), "hash", steps.alias("steps"))
+    up = rounds.where(F.col("top") != F.col("node")).select("repo", F.col("node").alias("at"), "top", "distance")
+    over = hung.join(up, ["repo", "at"]).select("repo", "top", F.col("hash").alias("node"), (F.col("steps") + F.col("distance")).alias("distance"))
+    return down.unionByName(rounds).unionByName(over).select(F.when(F.col("repo") != "", F.expr("substring(repo, 2)")).alias("repo_id"), F.col("top").alias("hash"), F.col("node").alias("descendant_hash"), "distance")
+
+
 def hierarchies(inheritance: DataFrame, largest: int = LARGEST) -> DataFrame:
     """(repo_id, hash, root_hash, depth, path, n_descendants): one row for each hash of each snapshot's hierarchies.
 
     The counting row of a child gives its parent; null, empty and ``unresolved:`` parents make it a root. Roots have
-    themselves as root and depth 0; hashes on a circle have root '' and depth -1, those below one '' and -2, both with
-    a null path. n_descendants doesn't count the hash itself but, on a circle, all of the circle. A child of null is no class; an empty child is one like any other.
+    themselves as root and depth 0; hashes on a circle have root '', depth -1 and a null path, those below one '', -2 and
+    their path from the nearest hash on it. n_descendants doesn't count the hash itself but, on a circle, all of the circle. A child of null is no class; an empty child is one like any other.
     An empty table gives no rows. Rows with null repo_id form a snapshot of their own.
     """
     rows = latest_parents(inheritance).withColumn("parent_hash", F.when(is_reference("parent_hash"), F.col("parent_hash")))

@@ -53,17 +53,22 @@ def p6_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each ancestor outside circles with each of its descendants and their distance."""
+    """Each ancestor outside circles with each of its descendants and their distance; p6_all_descendants has the rest too."""
     tree = hierarchy.hierarchies(table(spark, d, "inheritance")).where(F.col("depth") > 0)
     return tree.select("repo_id", F.posexplode("path").alias("at", "hash"), F.col("hash").alias("descendant_hash"), "depth").where(F.col("at") < F.col("depth")).select("repo_id", "hash", "descendant_hash", (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def p6_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Each class, on or below circles too, with each of its descendants and their distance."""
+    return hierarchy.descendants(table(spark, d, "inheritance"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     entries = snapdiff.node_entries(table(spark, d, "nodes")).unionByName(snapdiff.module_edge_entries(table(spark, d, "module_edges")))
     return snapdiff.changes(entries, snapdiff.complete_exports(table(spark, d, "snapshots")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profiles, p1_complexity_percentiles, p2_found, p2_counts, p6_found, p6_paths, p6_descendants, p7_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_profiles, p1_complexity_percentiles, p2_found, p2_counts, p6_found, p6_paths, p6_descendants, p6_all_descendants, p7_found)}
 
 _REF = "x IS NOT NULL AND x <> '' AND x NOT LIKE 'unresolved:%'"
 _ORPHANS = f"""refs AS (
@@ -104,6 +109,12 @@ SELECT repo_id, h AS hash, root AS root_hash, depth FROM tree
 UNION ALL SELECT repo_id, h, '', CASE WHEN bool_or(a = h) THEN -1 ELSE -2 END FROM walk GROUP BY repo_id, h""",
     "p6_descendants": f"""WITH RECURSIVE {_TREES}
 SELECT repo_id, way[i] AS hash, h AS descendant_hash, CAST(depth + 1 - i AS INTEGER) AS distance FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM tree)""",
+    "p6_all_descendants": f"""WITH RECURSIVE {_TREES},
+up AS (
+  SELECT repo_id, c AS h, p AS a, 1 AS distance, [p] AS seen FROM par WHERE p IS NOT NULL
+  UNION ALL SELECT up.repo_id, up.h, par.p, up.distance + 1, list_append(up.seen, par.p) FROM up JOIN par ON par.repo_id IS NOT DISTINCT FROM up.repo_id AND par.c = up.a
+  WHERE par.p IS NOT NULL AND NOT list_contains(up.seen, par.p))
+SELECT repo_id, a AS hash, h AS descendant_hash, distance FROM up""",
     "p7_found": """WITH ex AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY exported_at, repo_id) AS o FROM snapshots WHERE export_state = 'complete'),
 ent AS (
   SELECT 'node' AS entity, repo_id, module AS key_1, name AS key_2, CASE WHEN hash LIKE 'ext:%' OR strpos(hash, ':') = 0 THEN hash ELSE substr(hash, strpos(hash, ':') + 1) END AS v FROM (

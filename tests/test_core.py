@@ -139,6 +139,28 @@ def test_large_hierarchies_with_long_tails_on_circles(spark):
         assert got[repo, "t9"] == (-2, 0) and got[repo, "t0"] == (-2, 12) and got[repo, "b"] == (-1, 15) and got[repo, "gone"] == (0, 2)
 
 
+@pytest.mark.parametrize("largest", [100_000, 1])
+def test_descendants_on_and_below_circles(spark, largest):
+    rng = random.Random(7)
+    data, want = [], []
+    for repo in ("r", None):
+        parent = {f"c{i}": f"c{(i + 1) % 5}" for i in range(5)} | {"self": "self", "s": "self", "top": None, "q": "unresolved:x"}
+        parent |= {f"n{i}": rng.choice(["c0", "c3", "s", "top", "gone", f"n{rng.randint(0, 19)}"]) for i in range(20)}
+        data += [(repo, c, p, at(1)) for c, p in parent.items()]
+        for node in parent:
+            seen, x = {}, node
+            while (x := parent.get(x)) and not x.startswith("unresolved:") and x not in seen:
+                seen[x] = len(seen) + 1
+            want += [(repo, a, node, d) for a, d in seen.items()]
+    df = spark.createDataFrame(data, f"repo_id string, child_hash string, parent_hash string, loaded_at {TIME}")
+    assert rows(hierarchy.descendants(df, largest)) == sorted(want, key=repr)
+    below = Counter((repo, a) for repo, a, *_ in want)
+    for r in hierarchy.hierarchies(df, largest).collect():
+        assert r.n_descendants == below[r.repo_id, r.hash]
+        assert r.depth != -2 or (r.path[0] in {"c0", "c1", "c2", "c3", "c4", "self"} or r.path[0].startswith("n")) and r.path[-1] == r.hash
+    assert rows(hierarchy.descendants(df.limit(0), largest)) == []
+
+
 def test_snapshot_changes(spark, monkeypatch):
     monkeypatch.setattr(snapdiff, "CHUNK_KEYS", 4)
     rng = random.Random(4)
