@@ -7,7 +7,7 @@ folder, so a lost executor costs one round and plans stay short.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -121,39 +121,53 @@ def path_counts_by_joins(dag: DataFrame, sizes: DataFrame) -> DataFrame:
     return state.select(*_KEY, "n")
 
 
-def pagerank_by_joins(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
-    """(repo_id, node, rank): sums to 1 in each snapshot; nodes without outgoing edges give to all; ends when the mean change is below the tolerance."""
+def _ended(new: DataFrame, change: Column, tolerance: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of the snapshots whose change (an aggregate) is below the tolerance, and of the others; None for no snapshot. One row a large snapshot is collected."""
+    state = {True: [], False: []}
+    for r in new.groupBy("repo_id").agg((change < tolerance).alias("ended")).collect():
+        state[r.ended].append(r.repo_id)
+    part = lambda ended: None if not state[ended] else new if not state[not ended] else new.where(C("repo_id").isin(state[ended]))
+    return part(True), part(False)
+
+
+def _with(done: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
+    return done if more is None else more if done is None else done.unionByName(more)
+
+
+def pagerank_by_joins(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = local.ROUNDS, tolerance: float = local.RANK_TOLERANCE) -> DataFrame:
+    """(repo_id, node, rank): sums to 1 in each snapshot; nodes without outgoing edges give to all; a snapshot ends when its mean change is below the tolerance."""
     size = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     out = edges.groupBy("repo_id", C("src").alias("node")).agg(F.count(F.lit(1)).alias("o"))
     base = keep(nodes.join(size, "repo_id").join(out, _KEY, "left").select(*_KEY, "n", "o"), "rank-base")
-    weighted = keep(edges.join(base.select("repo_id", C("node").alias("src"), "o"), ["repo_id", "src"]), "rank-edges")
-    rank = base.select(*_KEY, "n", "o", (1 / C("n")).alias("rank"))
-    for i in range(rounds):
-        got = weighted.join(rank.select("repo_id", C("node").alias("src"), "rank"), ["repo_id", "src"]).groupBy("repo_id", C("dst").alias("node")).agg(F.sum(C("rank") / C("o")).alias("in"))
+    weighted = keep(edges.join(base.select("repo_id", C("node").alias("src"), "o"), ["repo_id", "src"]).select("repo_id", "src", "dst"), "rank-edges")
+    rank, done = base.select(*_KEY, "n", "o", (1 / C("n")).alias("rank")), None
+    for _ in range(rounds):
+        got = weighted.join(rank.select("repo_id", C("node").alias("src"), "rank", "o"), ["repo_id", "src"]).groupBy("repo_id", C("dst").alias("node")).agg(F.sum(C("rank") / C("o")).alias("in"))
         loose = rank.groupBy("repo_id").agg(F.coalesce(F.sum(F.when(C("o").isNull(), C("rank"))), F.lit(0.0)).alias("loose"))
         new = rank.join(got, _KEY, "left").join(loose, "repo_id").select(*_KEY, "n", "o", ((1 - damping) / C("n") + damping * (F.coalesce("in", F.lit(0.0)) + C("loose") / C("n"))).alias("rank"), C("rank").alias("old"))
-        new = keep(new, "rank")
-        rank = new.drop("old")
-        if i % 2 and not new.groupBy("repo_id").agg((F.sum(F.abs(C("rank") - C("old"))) / F.max("n")).alias("d")).where(C("d") >= tolerance).limit(1).count():
+        ended, rank = _ended(keep(new, "rank"), F.sum(F.abs(C("rank") - C("old"))) / F.max("n"), tolerance)
+        done = _with(done, ended)
+        if rank is None:
             break
-    return rank.select(*_KEY, "rank")
+        rank = rank.drop("old")
+    return _with(done.drop("old") if done is not None else None, rank).select(*_KEY, "rank")
 
 
-def hits_by_joins(edges: DataFrame, nodes: DataFrame, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
-    """(repo_id, node, hub, authority): power iteration, each summing to 1; zeros in a snapshot without edges."""
-    part = lambda df, c: C(c) / F.nullif(F.sum(c).over(Window.partitionBy("repo_id")), F.lit(0.0))
+def hits_by_joins(edges: DataFrame, nodes: DataFrame, rounds: int = local.ROUNDS, tolerance: float = local.HUB_TOLERANCE) -> DataFrame:
+    """(repo_id, node, hub, authority): power iteration, each summing to 1; zeros in a snapshot without edges. A snapshot ends when no hub changes by the tolerance."""
     total = lambda df, c: df.join(df.groupBy("repo_id").agg(F.sum(c).alias("t")), "repo_id").withColumn(c, F.coalesce(C(c) / F.nullif("t", F.lit(0.0)), F.lit(0.0))).drop("t")
-    del part
-    hub = keep(total(nodes.select(*_KEY).withColumn("hub", F.lit(1.0)), "hub"), "hits")
-    for i in range(rounds):
+    hub, done = keep(total(nodes.select(*_KEY).withColumn("hub", F.lit(1.0)), "hub"), "hits"), None
+    for _ in range(rounds):
         auth = total(edges.join(hub.select("repo_id", C("node").alias("src"), "hub"), ["repo_id", "src"]).groupBy("repo_id", C("dst").alias("node")).agg(F.sum("hub").alias("authority")), "authority")
         auth = keep(auth, "authority")
         back = edges.join(auth.select("repo_id", C("node").alias("dst"), "authority"), ["repo_id", "dst"]).groupBy("repo_id", C("src").alias("node")).agg(F.sum("authority").alias("h"))
-        new = keep(total(hub.withColumnRenamed("hub", "old").join(back, _KEY, "left").select(*_KEY, "old", F.coalesce("h", F.lit(0.0)).alias("hub")), "hub"), "hits")
-        hub = new.drop("old")
-        if i % 5 == 4 and not new.where(F.abs(C("hub") - C("old")) > tolerance).limit(1).count():
+        new = total(hub.select(*_KEY, C("hub").alias("old")).join(back, _KEY, "left").select(*_KEY, "old", F.coalesce("h", F.lit(0.0)).alias("hub")), "hub")
+        new = keep(new.join(auth, _KEY, "left").select(*_KEY, "old", "hub", F.coalesce("authority", F.lit(0.0)).alias("authority")), "hits")
+        ended, hub = _ended(new, F.max(F.abs(C("hub") - C("old"))), tolerance)
+        done = _with(done, ended)
+        if hub is None:
             break
-    return hub.join(auth, _KEY, "left").select(*_KEY, "hub", F.coalesce("authority", F.lit(0.0)).alias("authority"))
+    return _with(done, hub).select(*_KEY, "hub", "authority")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

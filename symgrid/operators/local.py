@@ -14,6 +14,8 @@ from symgrid.sources.tables import keep, small
 
 #: Edges of a snapshot up to which one task treats it (some 150 MB of Python objects at most).
 LARGEST = 300_000
+#: Rounds of pagerank and hits at most, the summed change a node that ends pagerank, the greatest change that ends hits.
+ROUNDS, RANK_TOLERANCE, HUB_TOLERANCE = 200, 1e-8, 1e-8
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
@@ -150,11 +152,11 @@ def pagerank(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarra
     n = len(names)
     out = np.bincount(src, minlength=n)
     rank = np.full(n, 1 / n)
-    for _ in range(200):
+    for _ in range(ROUNDS):
         got = np.bincount(dst, rank[src] / out[src], minlength=n)
         new = 0.15 / n + 0.85 * (got + rank[out == 0].sum() / n)
         change, rank = np.abs(new - rank).sum(), new
-        if change < n * 1e-6 * 1e-2:
+        if change < n * RANK_TOLERANCE:
             break
     return [rank]
 
@@ -162,12 +164,12 @@ def pagerank(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarra
 def hits(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray) -> list:
     n = len(names)
     hub, auth = np.full(n, 1 / n), np.zeros(n)
-    for _ in range(200):
+    for _ in range(ROUNDS):
         auth = np.bincount(dst, hub[src], minlength=n)
         new = np.bincount(src, auth[dst], minlength=n)
         auth, new = auth / (auth.sum() or 1), new / (new.sum() or 1)
         change, hub = np.abs(new - hub).max(), new
-        if change < 1e-8:
+        if change < HUB_TOLERANCE:
             break
     return [hub, auth]
 
