@@ -45,16 +45,18 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchies(table(spark, d, "inheritance")).select("repo_id", "hash", "root_hash", "depth")
+    return hierarchy.hierarchies(table(spark, d, "inheritance"), columns=["hash", "root_hash", "depth"])
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchies(table(spark, d, "inheritance")).select("repo_id", "hash", F.array_join("path", " > ").alias("path"), "n_descendants")
+    """Each class with its path, which is null on a circle, its number of descendants and the circle it is on or below."""
+    found = hierarchy.hierarchies(table(spark, d, "inheritance"))
+    return found.select("repo_id", "hash", F.array_join("path", " > ").alias("path"), "n_descendants", "circle", "closes")
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Each ancestor outside circles with each of its descendants and their distance; p6_all_descendants has the rest too."""
-    tree = hierarchy.hierarchies(table(spark, d, "inheritance")).where(F.col("depth") > 0)
+    tree = hierarchy.hierarchies(table(spark, d, "inheritance"), columns=["hash", "depth", "path"]).where(F.col("depth") > 0)
     return tree.select("repo_id", F.posexplode("path").alias("at", "hash"), F.col("hash").alias("descendant_hash"), "depth").where(F.col("at") < F.col("depth")).select("repo_id", "hash", "descendant_hash", (F.col("depth") - F.col("at")).alias("distance"))
 
 
@@ -93,6 +95,11 @@ walk AS (
   SELECT l.repo_id, l.h, par.p AS a FROM lost l JOIN par ON par.repo_id = l.repo_id AND par.c = l.h
   UNION SELECT walk.repo_id, walk.h, par.p FROM walk JOIN par ON par.repo_id = walk.repo_id AND par.c = walk.a)"""
 
+_UP = """up AS (
+  SELECT repo_id, c AS h, p AS a, 1 AS distance, [p] AS seen FROM par WHERE p IS NOT NULL
+  UNION ALL SELECT up.repo_id, up.h, par.p, up.distance + 1, list_append(up.seen, par.p) FROM up JOIN par ON par.repo_id IS NOT DISTINCT FROM up.repo_id AND par.c = up.a
+  WHERE par.p IS NOT NULL AND NOT list_contains(up.seen, par.p))"""
+
 ORACLE: dict[str, str] = {
     "p1_found": """SELECT 'edges' AS table_name, callee_hash AS key_value FROM edges WHERE callee_hash IS NOT NULL GROUP BY callee_hash HAVING count(*) >= 0.04 * (SELECT count(*) FROM edges)
 UNION ALL SELECT 'nodes', module FROM nodes WHERE module IS NOT NULL GROUP BY module HAVING count(*) >= 0.04 * (SELECT count(*) FROM nodes)""",
@@ -109,11 +116,19 @@ SELECT repo_id, h AS hash, root AS root_hash, depth FROM tree
 UNION ALL SELECT repo_id, h, '', CASE WHEN bool_or(a = h) THEN -1 ELSE -2 END FROM walk GROUP BY repo_id, h""",
     "p6_descendants": f"""WITH RECURSIVE {_TREES}
 SELECT repo_id, way[i] AS hash, h AS descendant_hash, CAST(depth + 1 - i AS INTEGER) AS distance FROM (SELECT *, unnest(range(1, depth + 1)) AS i FROM tree)""",
-    "p6_all_descendants": f"""WITH RECURSIVE {_TREES},
-up AS (
-  SELECT repo_id, c AS h, p AS a, 1 AS distance, [p] AS seen FROM par WHERE p IS NOT NULL
-  UNION ALL SELECT up.repo_id, up.h, par.p, up.distance + 1, list_append(up.seen, par.p) FROM up JOIN par ON par.repo_id IS NOT DISTINCT FROM up.repo_id AND par.c = up.a
-  WHERE par.p IS NOT NULL AND NOT list_contains(up.seen, par.p))
+    "p6_paths": f"""WITH RECURSIVE {_TREES}, {_UP},
+round AS (SELECT repo_id, h, a FROM up WHERE (repo_id, a, h) IN (SELECT (repo_id, h, a) FROM up)),
+circle AS (SELECT repo_id, h, min(a) AS circle FROM round GROUP BY ALL),
+hung AS (
+  SELECT repo_id, c AS h, p AS a, [c] AS way FROM par WHERE (repo_id, c) IN (SELECT (repo_id, h) FROM lost) AND (repo_id, c) NOT IN (SELECT (repo_id, h) FROM circle)
+  UNION ALL SELECT hung.repo_id, hung.h, par.p, list_prepend(hung.a, hung.way) FROM hung JOIN par ON par.repo_id = hung.repo_id AND par.c = hung.a WHERE (hung.repo_id, hung.a) NOT IN (SELECT (repo_id, h) FROM circle)),
+ways AS (
+  SELECT repo_id, h, way, NULL AS circle FROM tree
+  UNION ALL SELECT hung.repo_id, hung.h, list_prepend(hung.a, hung.way), circle.circle FROM hung JOIN circle ON circle.repo_id = hung.repo_id AND circle.h = hung.a
+  UNION ALL SELECT repo_id, h, NULL, circle FROM circle)
+SELECT w.repo_id, w.h AS hash, array_to_string(w.way, ' > ') AS path, count(up.h) AS n_descendants, w.circle, w.way IS NULL AND w.circle = w.h AS closes
+FROM ways w LEFT JOIN up ON up.repo_id = w.repo_id AND up.a = w.h GROUP BY w.repo_id, w.h, w.way, w.circle""",
+    "p6_all_descendants": f"""WITH RECURSIVE {_TREES}, {_UP}
 SELECT repo_id, a AS hash, h AS descendant_hash, distance FROM up""",
     "p7_found": """WITH ex AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY exported_at, repo_id) AS o FROM snapshots WHERE export_state = 'complete'),
 ent AS (

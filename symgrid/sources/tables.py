@@ -28,38 +28,60 @@ def shared_folder(spark: SparkSession) -> str:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = given.get() if given.isDefined() else None
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        found = "file://" + tempfile.mkdtemp(prefix="symgrid-")
-        spark.sparkContext.setCheckpointDir(found)
+        global _own
+        _own = _own or "file://" + tempfile.mkdtemp(prefix="symgrid-")
+        found = _own
     return found.rstrip("/")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_own: str | None = None
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone
+        pass
 
 
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone
-            pass
+    for path, spark in _written.items():
+        _delete(path, spark)
 
 
 atexit.register(_clean)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts the lineage and survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it again: cuts the lineage and survives lost executors.
+
+    What is kept stays until ``forget`` or the end of the interpreter.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/symgrid/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(*kept: DataFrame | None) -> None:
+    """Deletes what ``keep`` wrote, for rounds of a loop that nothing reads any more. Frames that weren't kept are left alone."""
+    for df in kept:
+        path = getattr(df, "_kept_at", None)
+        if path in _written:
+            _delete(path, _written.pop(path))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows (counted), else unchanged for a shuffled join."""
+    """``df`` with a broadcast hint if it has at most ``most`` rows (counted), else unchanged for a shuffled join.
+
+    Meant for kept or small sources: another plan would run once for the count and once for the join.
+    """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
