@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symgrid.sources.tables import keep, small
+from symgrid.sources.tables import BROADCAST_ROWS, keep, small
 
 #: Keys of a chunk on average.
 CHUNK_KEYS = 64
@@ -72,14 +72,20 @@ def changes(entries: DataFrame, exports: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange(*by).sortWithinPartitions(*by, "ord").withColumn("part", F.spark_partition_id())
     rows = keep(rows.mapInArrow(_number_chunks, "entity string, project string, ord int, key_1 string, key_2 string, value string, chunk long"), "chunks")
     place = ["entity", "project", "chunk"]
-    digest = rows.groupBy(*place, "ord").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key_1", "key_2", "value", F.col("value").isNull())).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "value", F.col("value").isNull(), "key_2", "key_1")).alias("y")).alias("d"))
+    null = F.col("value").isNull()
+    x, y = F.xxhash64("key_1", "key_2", "value", null), F.xxhash64(F.lit(1), "value", null, "key_2", "key_1")
+    digest = rows.groupBy(*place, "ord").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(x).alias("x"), F.bit_xor(y).alias("y")).alias("d"))
     # each digest speaks for its own export, and as the old side for the next one
     last = exports.groupBy("project").agg(F.max("ord").alias("last"))
-    sides = F.array(F.struct(F.col("ord").alias("o"), F.lit(True).alias("new")), F.struct((F.col("ord") + 1).alias("o"), F.lit(False).alias("new")))
-    as_sides = lambda df: df.withColumn("s", F.explode(sides)).drop("ord").select("*", F.col("s.o").alias("ord"), F.col("s.new").alias("new")).drop("s").join(small(last), "project").where((F.col("ord") > 1) & (F.col("ord") <= F.col("last"))).drop("last")
-    unmatched = as_sides(digest).groupBy(*place, "ord").agg(F.max(F.when(F.col("new"), F.col("d"))).alias("a"), F.max(F.when(~F.col("new"), F.col("d"))).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select(*place, "ord")
-    opened = as_sides(rows).join(unmatched, [*place, "ord"])
+    side = lambda o, new: F.struct(o.alias("o"), F.lit(new).alias("new"))
+    sides = digest.withColumn("s", F.explode(F.array(side(F.col("ord"), True), side(F.col("ord") + 1, False)))).drop("ord")
+    sides = sides.join(small(last), "project").where((F.col("s.o") > 1) & (F.col("s.o") <= F.col("last")))
+    pair = sides.groupBy(*place, F.col("s.o").alias("later")).agg(F.max(F.when(F.col("s.new"), F.col("d"))).alias("a"), F.max(F.when(~F.col("s.new"), F.col("d"))).alias("b"))
+    unmatched = keep(pair.where(~F.col("a").eqNullSafe(F.col("b"))).select(*place, "later"), "unmatched")
+    # rows of other chunks go no further: only what differs takes part in the join by key
+    wanted = unmatched.withColumn("s", F.explode(F.array(side(F.col("later"), True), side(F.col("later") - 1, False)))).select(*place, "later", F.col("s.o").alias("ord"), F.col("s.new").alias("new"))
+    opened = rows.join(small(wanted, 2 * BROADCAST_ROWS), [*place, "ord"])
     pick = lambda new: F.max(F.when(F.col("new") == new, F.struct("value")))
-    both = opened.groupBy("entity", "project", "ord", "key_1", "key_2").agg(pick(True).alias("a"), pick(False).alias("b"))
+    both = opened.groupBy("entity", "project", F.col("later").alias("ord"), "key_1", "key_2").agg(pick(True).alias("a"), pick(False).alias("b"))
     change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(~F.col("a.value").eqNullSafe(F.col("b.value")), "changed")
     return both.withColumn("change", change).where(F.col("change").isNotNull()).join(small(exports), ["project", "ord"]).select("entity", "repo_id", "key_1", "key_2", "change")
