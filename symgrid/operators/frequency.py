@@ -7,10 +7,15 @@ weighted values; the second grouping is pre-aggregated on the map side to one ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symgrid.sources.tables import keep
+
+#: Distinct values of a key's band that one task puts in order; larger bands are split into so many parts.
+IN_TASK, PARTS = 500_000, 1024
+
 
 def compress(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n) of each pair; null keys and values are kept as such."""
@@ -37,33 +42,59 @@ def heavy_keys(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
     return profile(compress(df, key, value)).where(F.col("n_rows") >= F.lit(share) * F.lit(total))
 
 
-def percentiles(freq: DataFrame, qs: list[float]) -> DataFrame:
+def _position(q: float) -> Column:
+    return F.lit(float(q)) * (F.col("total") - 1)
+
+
+def _wanted(bands: DataFrame, by: list[str], order: str, start: Column) -> DataFrame:
+    """Bands (by, order, rows, at, …) with the number of rows before them and the wanted positions that lie in them."""
+    before = start + F.coalesce(F.sum("rows").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = bands.withColumn("before", before)
+    inside = F.filter("at", lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("rows")))
+    return placed.withColumn("at", inside).where(F.size("at") > 0)
+
+
+def percentiles(freq: DataFrame, qs: list[float], in_task: int = IN_TASK) -> DataFrame:
     """(key, n, p_<q>…): linearly interpolated percentiles of weighted numeric values, exact.
 
     Null values and keys don't count; a key without values gives no row. Values of a key are spread over bands of
     like magnitude: only counts of bands are summed by key (at most 130 a key), and only the band that holds a wanted
-    position is opened. Within it the weighted distinct values are summed up in order.
+    position is opened. A band of more than ``in_task`` distinct values is split into ``PARTS`` of equal width again and
+    again, so no task sums up more than that many values in order, however many a key has. The large bands are at most
+    all distinct values / ``in_task``, which bounds their broadcast.
     """
     x = F.col("value").cast("double")
     rows = freq.where(F.col("key").isNotNull() & x.isNotNull() & ~F.isnan(x)).select("key", x.alias("value"), "n")
-    band = F.when(F.col("value") == 0, 0).otherwise(F.signum("value") * (F.floor(F.greatest(F.lit(-32.0), F.least(F.lit(32.0), F.log2(F.abs("value"))))) + 33)).cast("int")
-    rows = rows.withColumn("band", band)
-    bands = rows.groupBy("key", "band").agg(F.sum("n").alias("bn"))
-    by_key = Window.partitionBy("key")
-    bands = bands.withColumn("before", F.sum("bn").over(by_key.orderBy("band").rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("bn").over(by_key))
-    bands = bands.withColumn("before", F.coalesce("before", F.lit(0)))
-    positions = []
-    for q in qs:
-        at = F.lit(float(q)) * (F.col("total") - 1)
-        positions += [F.floor(at).cast("long"), F.ceil(at).cast("long")]
-    wanted = bands.select("key", "band", "before", "bn", "total", F.array_distinct(F.filter(F.array(*positions), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("bn")))).alias("at")).where(F.size("at") > 0)
-    inside = rows.join(wanted, ["key", "band"])
+    magnitude = F.floor(F.greatest(F.lit(-32.0), F.least(F.lit(32.0), F.log2(F.abs("value"))))) + 33
+    rows = keep(rows.withColumn("band", F.when(F.col("value") == 0, 0).otherwise(F.signum("value") * magnitude).cast("long")), "weighted")
+    size = [F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    bands = rows.groupBy("key", "band").agg(*size).withColumn("total", F.sum("rows").over(Window.partitionBy("key")))
+    positions = F.array_distinct(F.array(*[f(_position(q)).cast("long") for q in qs for f in (F.floor, F.ceil)]))
+    named = lambda df: df.withColumn("band", F.col("band").cast("string"))
+    state, rows = keep(named(_wanted(bands.withColumn("at", positions), ["key"], "band", F.lit(0))), "bands"), named(rows)
+    opened = None
+    while True:
+        fit = state.where((F.col("values") <= in_task) | (F.col("lo") == F.col("hi")))
+        part = rows.join(fit.select("key", "band", "before", "total", "at"), ["key", "band"])
+        opened = part if opened is None else opened.unionByName(part)
+        large = state.where((F.col("values") > in_task) & (F.col("lo") < F.col("hi")))
+        if not large.limit(1).count():
+            break
+        place = F.least(F.lit(PARTS - 1), F.floor((F.col("value") / F.lit(2.0) - F.col("lo") / F.lit(2.0)) / (F.col("hi") / F.lit(2.0) - F.col("lo") / F.lit(2.0)) * PARTS)).cast("long")
+        inner = rows.join(F.broadcast(large.select("key", "band", "lo", "hi", "before", "total", "at")), ["key", "band"]).withColumn("part", place)
+        inner = keep(inner.select("key", "band", "part", "value", "n", "before", "total", "at"), "inner")
+        parts = inner.groupBy("key", "band", "part", F.col("before").alias("start"), "total", "at").agg(*size)
+        state = _wanted(parts, ["key", "band"], "part", F.col("start"))
+        # a part is named after its band, apart from those of other rounds
+        name = F.concat_ws("/", "band", "part")
+        state = keep(state.select("key", name.alias("band"), "rows", "values", "lo", "hi", "total", "at", "before"), "bands")
+        rows = inner.select("key", "value", "n", name.alias("band"))
     end = F.sum("n").over(Window.partitionBy("key", "band").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    hit = inside.withColumn("end", end).withColumn("hit", F.expr("filter(at, p -> p < end and p >= end - n)")).where(F.size("hit") > 0)
+    hit = opened.withColumn("end", end).withColumn("hit", F.expr("filter(at, p -> p < end and p >= end - n)")).where(F.size("hit") > 0)
     found = hit.select("key", "total", F.explode("hit").alias("p"), "value").groupBy("key", "total").agg(F.map_from_entries(F.collect_list(F.struct("p", "value"))).alias("m"))
     out = []
     for q in qs:
-        at = F.lit(float(q)) * (F.col("total") - 1)
+        at = _position(q)
         lo, hi = F.col("m")[F.floor(at).cast("long")], F.col("m")[F.ceil(at).cast("long")]
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(f"p_{round(q * 100):02d}"))
     return found.select("key", F.col("total").alias("n"), *out)

@@ -45,9 +45,10 @@ def test_weighted_percentiles(spark):
         lo = int(i)
         return x[lo] + (x[min(lo + 1, len(x) - 1)] - x[lo]) * (i - lo)
 
-    got = {r.key: (r.n, r.p_50, r.p_90) for r in frequency.percentiles(frequency.compress(df, "k", "v"), [0.5, 0.9]).collect()}
-    for k, x in by.items():
-        assert got[k][0] == len(x) and got[k][1] == pytest.approx(q(x, 0.5)) and got[k][2] == pytest.approx(q(x, 0.9))
+    for in_task in (500_000, 2):  # with and without bands that are split
+        got = {r.key: (r.n, r.p_50, r.p_90) for r in frequency.percentiles(frequency.compress(df, "k", "v"), [0.5, 0.9], in_task).collect()}
+        for k, x in by.items():
+            assert got[k][0] == len(x) and got[k][1] == pytest.approx(q(x, 0.5)) and got[k][2] == pytest.approx(q(x, 0.9))
 
 
 def test_orphans(spark, monkeypatch):
@@ -80,6 +81,24 @@ def test_components(spark):
     assert got == sorted([(x, find(x)) for x in up], key=repr)
 
 
+def test_components_alike_in_one_task_and_by_stars(spark):
+    rng = random.Random(12)
+    links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, i) for i in range(5001, 5100)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(4)
+    assert rows(components(df, "a", "b", one_task=0)) == rows(components(df, "a", "b"))
+    assert rows(components(df.limit(0), "a", "b", one_task=0)) == rows(components(df.limit(0), "a", "b")) == []
+
+
+def test_a_long_chain_is_walked_without_copies_of_its_path():
+    from symgrid.operators.hierarchy import Walk
+
+    n = 100_000
+    w = Walk([-1, *range(n - 1)], [str(i) for i in range(n)])
+    assert w.level == list(range(n)) and w.below[0] == n - 1 and w.order == list(range(n))
+    at, row = next(r for r in w.rows(["hash", "path"]) if r[0] == 3)
+    assert row == ("3", ["0", "1", "2", "3"])
+
+
 def _brute(parent):
     out = {}
     for n in {*parent, *[p for p in parent.values() if p]}:
@@ -136,6 +155,8 @@ def test_large_hierarchies_with_long_tails_on_circles(spark):
     got = {(r.repo_id, r.hash): (r.depth, r.n_descendants) for r in large.collect()}
     for repo in ("r", None):
         assert {h for (q, h), v in got.items() if q == repo and v[0] == -1} == {"a", "b", "self"}
+        circle = {h: (r, c) for q, h, r, c in large.where("circle IS NOT NULL").select("repo_id", "hash", "circle", "closes").collect() if q == repo}
+        assert circle["t9"] == ("a", False) and circle["a"] == ("a", True) and circle["b"] == ("a", False) and circle["s"] == ("self", False) and circle["self"] == ("self", True)
         assert got[repo, "t9"] == (-2, 0) and got[repo, "t0"] == (-2, 12) and got[repo, "b"] == (-1, 15) and got[repo, "gone"] == (0, 2)
 
 
