@@ -1,8 +1,10 @@
 """Problem 3: the first N items of every group, by merging sorted runs.
 
 Each partition is sorted by group and order: a run. A run gives at most N items of a group and then seeks to the next
-group, so a group with a third of all rows leaves N rows a run. The cut runs are sent to buckets by group; each bucket
-merges its runs with a loser tree and again seeks to the next group after N outputs.
+group, so a group with a third of all rows leaves N rows a run. The cut runs are sent to buckets by group and lie there
+in the shuffle's files, sorted by group, run and order. A bucket is read one group at a time: a loser tree merges the
+runs of the group and, after N outputs, the reader seeks to the next group. So a task holds the rows of one group, at
+most N for each run.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,50 +54,104 @@ class LoserTree:
         return item
 
 
-def merge_top(runs: list[list[tuple]], n: int, depth: int) -> Iterator[tuple[tuple, int]]:
-    """(item, rank) of the first n items of each group; the first ``depth`` fields of an item are its group."""
+def merge_group(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
+    """The first n items of sorted runs."""
     tree = LoserTree(runs)
-    group, rank = None, 0
-    while tree.top >= 0 and (item := tree.head(tree.top)) is not None:
-        if item[:depth] != group:
-            group, rank = item[:depth], 0
-        if rank < n:
-            rank += 1
-            yield tree.pop(), rank
-        else:  # seek: past what is left of this group in the run
-            rows, at = tree.runs[tree.top], tree.at[tree.top]
-            while at < len(rows) and rows[at][:depth] == group:
-                at += 1
-            tree.pop(at)
-
-
-def _cut(n: int, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keeps the first n rows of each stretch of equal ``key`` (a hash of the group) in sorted batches."""
+    for _ in range(n):
+        if tree.top < 0 or tree.head(tree.top) is None:
+            return
+        yield tree.pop()
+
+
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Whether each row differs from the one before it in some column; the first row does."""
+    n = len(columns[0])
+    new = np.ones(n, dtype=bool)
+    if n > 1:
+        new[1:] = np.logical_or.reduce([pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in columns])
+    return new
+
+
+def _cut(n: int, group: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the first n rows of each group in sorted batches and seeks to the next one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            h = b.column(key).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            lengths = np.diff(np.append(starts, len(h)))
-            place = np.arange(len(h)) - np.repeat(starts, lengths)
-            if h[0] == last:
+            columns = [b.column(c) for c in group]
+            first = np.flatnonzero(_starts(columns))
+            lengths = np.diff(np.append(first, b.num_rows))
+            place = np.arange(b.num_rows) - np.repeat(first, lengths)
+            if [c[0].as_py() for c in columns] == last:
                 place[: lengths[0]] += seen
-            last, seen = h[-1], int(place[-1]) + 1
+            last, seen = [c[-1].as_py() for c in columns], int(place[-1]) + 1
             if (at := np.flatnonzero(place < n)).size:
                 yield b.take(pa.array(at)) if at.size < b.num_rows else b
 
     return cut
 
 
+def _merge(n: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by group, run and order in; (group…, rank, tie) of the first n of each group out."""
+    types = [*[pa.string()] * len(names), pa.int32(), pa.string()]
+    out_names = [*names, "r", "t"]
+
+    def treat(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        columns = [t.column(c).combine_chunks() for c in ("h", *names)]
+        new_group = _starts(columns)
+        new_run = new_group | _starts([t.column("run").combine_chunks()])
+        groups = np.append(np.flatnonzero(new_group), t.num_rows)
+        runs = np.append(np.flatnonzero(new_run), t.num_rows)
+        at_run = np.searchsorted(runs, groups)
+        score, tie = t.column("s").to_numpy(), t.column("t").combine_chunks()
+        keep_, rank = [], []
+        for i in range(len(groups) - 1):
+            lo, hi = groups[i], groups[i + 1]
+            some = runs[at_run[i] : at_run[i + 1] + 1]
+            if len(some) == 2:  # one run: it is in order
+                top = range(lo, min(hi, lo + n))
+            else:
+                keys = list(zip(score[lo:hi].tolist(), tie.slice(lo, hi - lo).to_pylist(), range(lo, hi)))
+                top = [x[2] for x in merge_group([keys[a - lo : b - lo] for a, b in zip(some, some[1:])], n)]
+            keep_ += top
+            rank += range(1, len(top) + 1)
+        taken = t.take(pa.array(keep_, pa.int64()))
+        columns = [*[taken.column(c).combine_chunks() for c in names], pa.array(rank, pa.int32()), taken.column("t").combine_chunks()]
+        return pa.RecordBatch.from_arrays([c.cast(ty) for c, ty in zip(columns, types)], names=out_names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(c) for c in ("h", *names)]
+            first = np.flatnonzero(_starts(columns))
+            ends = [held[-1].column(c)[-1].as_py() for c in ("h", *names)] if held else None
+            same = ends == [c[0].as_py() for c in columns]
+            # all groups but the last are whole once the next one begins
+            cut = int(first[-1])
+            if cut or (held and not same):
+                whole = [*held, b.slice(0, cut)]
+                yield treat(pa.Table.from_batches(whole))
+                held = [b.slice(cut)]
+            else:
+                held.append(b)
+        if held:
+            yield treat(pa.Table.from_batches(held))
+
+    return run
+
+
 def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets: int | None = None) -> DataFrame:
     """(group…, rank_no, tie) of the n rows of each group with the greatest ``score``, then the least ``tie`` (by bytes).
 
     group and tie are strings, score a double. Rows with null or NaN score or a null in group or tie are left out;
     rows alike in group, score and tie are items of their own, in any order. Other columns are dropped, so names
-    can't clash. n < 1 or an empty table gives no rows. -0.0 equals 0.0.
+    can't clash. n < 1 or an empty table gives no rows. -0.0 equals 0.0. Groups are told by all of their columns; their
+    hash only leads them to buckets.
     """
     names = [f"g{i}" for i in range(len(group))]
     value = F.col(score).cast("double") + F.lit(0.0)
@@ -104,30 +161,8 @@ def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, buckets
     rows = df.where(ok).select(*[F.col(g).alias(a) for g, a in zip(group, names)], (-value).alias("s"), F.col(tie).alias("t"))
     rows = rows.withColumn("h", F.xxhash64(*names))
     shape = ", ".join([*(f"{a} string" for a in names), "s double", "t string", "h long"])
-    runs = rows.sortWithinPartitions("h", *names, "s", "t").mapInArrow(_cut(n, "h"), shape).withColumn("run", F.spark_partition_id())
-    at = [F.col("h"), *names]
-    bucketed = runs.repartition(*([buckets] if buckets else []), *at).sortWithinPartitions("run", "h", *names, "s", "t")
-    depth = len(names)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for b in batches:
-            cols = [b.column(a).to_pylist() for a in (*names, "s", "t")]
-            for run, h, *row in zip(b.column("run").to_pylist(), b.column("h").to_pylist(), *cols):
-                held.setdefault(run, []).append((h, *row))
-        out: list[tuple] = []
-        types = [*[pa.string()] * depth, pa.int32(), pa.string()]
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), types)], names=[*names, "r", "t"])
-
-        for item, rank in merge_top(list(held.values()), n, depth + 1):
-            out.append((*item[1 : depth + 1], rank, item[-1]))
-            if len(out) >= 10_000:
-                yield batch()
-                out = []
-        if out:
-            yield batch()
-
-    merged = bucketed.mapInArrow(merge, ", ".join([*(f"{a} string" for a in names), "r int", "t string"]))
+    runs = rows.sortWithinPartitions("h", *names, "s", "t").mapInArrow(_cut(n, ["h", *names]), shape).withColumn("run", F.spark_partition_id())
+    by = ["h", *names]
+    bucketed = runs.repartition(*([buckets] if buckets else []), *by).sortWithinPartitions(*by, "run", "s", "t")
+    merged = bucketed.mapInArrow(_merge(n, names), ", ".join([*(f"{a} string" for a in names), "r int", "t string"]))
     return merged.select(*[F.col(a).alias(g) for g, a in zip(group, names)], F.col("r").alias("rank_no"), F.col("t").alias(tie))
