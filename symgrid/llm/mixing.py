@@ -2,7 +2,8 @@
 
 Each record has a place in [0, 2^60) by a hash of its key. Tokens are summed by source and bucket of places; the bucket
 in which a source's budget ends is split again, level by level, until the threshold lies between two records. A record
-is taken once more than its source's full rounds if its place is below the threshold: a filter, without a sort.
+is taken once more than its source's full rounds if its place is below the threshold: a filter, without a sort. Budgets
+and thresholds are tables, one row a source, so there may be any number of sources.
 """
 
 from __future__ import annotations
@@ -11,59 +12,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symgrid.sources.tables import small
+from symgrid.sources.tables import forget, keep, small
 
 BITS, LEVEL_BITS = 60, 10
-#: Sources in the targets at most; their budgets and thresholds pass through the driver.
-MOST_SOURCES = 10_000
 
 
-def budgets(tokens: DataFrame, targets: DataFrame, total: float | None = None) -> list[dict]:
-    """Of each source with a positive weight: its budget of tokens, full rounds and what is left for part of the records.
+def budgets(tokens: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """Of each source with a positive weight: target_weight, max_repeats, available, total, budget, full rounds and the rest of the budget.
 
     Weights are those of sources that have tokens, scaled to 1; of repeated targets the greatest weight, then the
     greatest cap counts. Null caps are 1, a cap under 1 takes a source out. ``total`` defaults to the greatest size at
     which every source reaches its share within its cap; with a greater one, sources stop at their caps.
     """
-    rows = targets.where(F.col("source").isNotNull() & (F.col("target_weight") > 0)).groupBy("source").agg(F.max(F.struct("target_weight", "max_repeats")).alias("t")).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError("too many sources")
-    wanted = {r.source: (float(r.t.target_weight), 1 if r.t.max_repeats is None else int(r.t.max_repeats)) for r in rows}
-    sums = tokens.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
-    have = {r.source: r.n for r in sums if r.n and wanted[r.source][1] >= 1}
-    scale = sum(wanted[s][0] for s in have)
-    if total is None and have:
-        total = min(have[s] * wanted[s][1] * scale / wanted[s][0] for s in have)
-    out = []
-    for s, (weight, cap) in sorted(wanted.items()):
-        n = have.get(s, 0)
-        budget = min(int(total * weight / scale + 1e-6), n * cap) if n else 0
-        out.append({"source": s, "target_weight": weight, "max_repeats": cap, "available": n, "budget": budget, "rounds": budget // n if n else 0, "rest": budget % n if n else 0})
-    return out
+    wanted = targets.where(F.col("source").isNotNull() & (F.col("target_weight") > 0)).groupBy("source").agg(F.max(F.struct("target_weight", "max_repeats")).alias("t"))
+    wanted = wanted.select("source", F.col("t.target_weight").cast("double").alias("target_weight"), F.coalesce("t.max_repeats", F.lit(1)).cast("int").alias("max_repeats"))
+    sums = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    rows = keep(wanted.join(sums, "source", "left").withColumn("available", F.when(F.col("max_repeats") >= 1, F.coalesce("n", F.lit(0))).otherwise(0)).drop("n"), "targets")
+    there = rows.where(F.col("available") > 0)
+    scale = there.agg(F.sum("target_weight")).first()[0] or 1.0
+    if total is None:
+        total = there.agg(F.min(F.col("available") * F.col("max_repeats") * scale / F.col("target_weight"))).first()[0] or 0.0
+    share = F.floor(F.lit(float(total)) * F.col("target_weight") / F.lit(float(scale)) + 1e-6)
+    budget = F.when(F.col("available") > 0, F.least(share, F.col("available") * F.col("max_repeats"))).otherwise(0).cast("long")
+    some = rows.withColumns({"total": F.lit(int(total)).cast("long"), "budget": budget})
+    n = F.nullif("available", F.lit(0))
+    rounds = F.coalesce(F.floor(F.col("budget") / n), F.lit(0)).cast("long")
+    return some.withColumn("rounds", rounds).withColumn("rest", F.col("budget") - F.col("rounds") * F.col("available"))
 
 
-def thresholds(placed: DataFrame, plan: list[dict]) -> dict[str, int]:
-    """The place below which records of each source fit into its rest; the next record would exceed it."""
-    spark = placed.sparkSession
-    open_ = {b["source"]: (0, b["rest"]) for b in plan if b["available"]}  # start of the boundary bucket, budget left in it
+def thresholds(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, below): the place below which records of each source fit into its rest; the next record would exceed it.
+
+    Each level sums the tokens of 1024 buckets of the boundary bucket of each source that is still open.
+    """
+    open_ = keep(plan.where(F.col("available") > 0).select("source", F.lit(0).cast("long").alias("lo"), "rest"), "open")
+    closed = None
     for level in range(BITS // LEVEL_BITS):
-        if not open_:
-            break
         width = BITS - LEVEL_BITS * (level + 1)
-        at = small(spark.createDataFrame([(s, lo, rest) for s, (lo, rest) in open_.items()], "source string, lo long, rest long"))
-        inside = placed.join(at, "source").where(F.shiftright("place", width + LEVEL_BITS) == F.shiftright("lo", width + LEVEL_BITS))
-        buckets = inside.groupBy("source", "lo", "rest", F.shiftright("place", width).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        inside = placed.join(small(open_), "source").where(F.shiftright("place", width + LEVEL_BITS) == F.shiftright("lo", width + LEVEL_BITS))
+        buckets = inside.groupBy("source", "rest", F.shiftright("place", width).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
         # at most 1024 buckets a source
-        w = Window.partitionBy("source").orderBy("bucket")
-        upto = buckets.withColumn("end", F.sum("n").over(w))
-        over = upto.where(F.col("end") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))).alias("b"))
-        found = {r.source: (r.b.bucket << width, r.b.left) for r in over.collect()}
-        open_ = {s: found.get(s, (1 << BITS, 0)) for s in open_}
-        if level == 0:
-            result = {s: lo for s, (lo, _) in open_.items()}
-        result |= {s: lo for s, (lo, _) in open_.items()}
-        open_ = {s: v for s, v in open_.items() if s in found}
-    return result if plan and any(b["available"] for b in plan) else {}
+        upto = buckets.withColumn("end", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
+        first = F.min(F.when(F.col("end") > F.col("rest"), F.struct("bucket", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))))
+        found = upto.groupBy("source").agg(first.alias("b"))
+        old, state = open_, keep(open_.select("source").join(found, "source", "left").select("source", "b"), "level")
+        # without a boundary all records fit
+        part = state.where(F.col("b").isNull()).select("source", F.lit(1 << BITS).cast("long").alias("below"))
+        closed = part if closed is None else closed.unionByName(part)
+        open_ = keep(state.where(F.col("b").isNotNull()).select("source", F.shiftleft(F.col("b.bucket"), width).alias("lo"), F.col("b.left").alias("rest")), "open")
+        forget(old)
+        if not open_.limit(1).count():
+            break
+    return closed.unionByName(open_.select("source", F.col("lo").alias("below")))
 
 
 def mix(tokens: DataFrame, targets: DataFrame, key: str = "doc_id", total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -72,16 +72,16 @@ def mix(tokens: DataFrame, targets: DataFrame, key: str = "doc_id", total: float
     selection: (key, source, n_tokens, repeats) of the records used at least once. Records with equal keys of a source
     share a place and are taken or left together; records without tokens are used like others; those with a null
     source, a null key's place being that of its hash, or a source without target are left out. shares: source,
-    target_weight, max_repeats, available, budget, tokens and share really reached; sources without records reach 0.
+    target_weight, max_repeats, available, budget, the total that budgets are shares of, tokens and share really
+    reached; sources without records reach 0.
     """
-    plan = budgets(tokens, targets, total)
+    plan = keep(budgets(tokens, targets, total), "budgets")
     placed = tokens.select(key, "source", "n_tokens", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(key).cast("string")), 64 - BITS).alias("place"))
-    limits = thresholds(placed, plan)
-    spark = tokens.sparkSession
-    rows = [(b["source"], b["target_weight"], b["max_repeats"], b["available"], b["budget"], b["rounds"], limits.get(b["source"], 0)) for b in plan]
-    of = small(spark.createDataFrame(rows, "source string, target_weight double, max_repeats int, available long, budget long, rounds long, below long"))
-    used = placed.join(of.select("source", "rounds", "below", "max_repeats"), "source").withColumn("repeats", F.least(F.col("max_repeats"), (F.col("rounds") + (F.col("place") < F.col("below")).cast("long")).cast("int"))).where(F.col("repeats") > 0).select(key, "source", "n_tokens", "repeats")
+    of = keep(plan.join(thresholds(placed, plan), "source", "left").withColumn("below", F.coalesce("below", F.lit(0))), "limits")
+    rounds = placed.join(small(of.select("source", "rounds", "below", "max_repeats")), "source")
+    repeats = F.least(F.col("max_repeats"), (F.col("rounds") + (F.col("place") < F.col("below")).cast("long")).cast("int"))
+    used = rounds.withColumn("repeats", repeats).where(F.col("repeats") > 0).select(key, "source", "n_tokens", "repeats")
     reached = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
     every = reached.agg(F.sum("tokens").alias("all"))
     shares = of.join(reached, "source", "left").join(F.broadcast(every), F.lit(True), "left")  # one row
-    return used, shares.select("source", "target_weight", "max_repeats", "available", "budget", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("share"))
+    return used, shares.select("source", "target_weight", "max_repeats", "available", "budget", "total", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all"), F.lit(0.0)).alias("share"))
