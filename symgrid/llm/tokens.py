@@ -3,8 +3,8 @@
 Texts are cut into words by the vocabulary's pattern. The merges of a word are found on a contiguous array of ranks:
 part boundaries with the rank of the pair that begins at each; the least rank is looked for again and again, its
 boundary deleted and the neighbouring ranks refreshed. That is quadratic in the word, so words above ``SHORT`` bytes
-(rulers of dashes, encoded blobs) use a heap with the same order of merges. Each Python worker remembers the words it
-has met, so by Zipf's law few words are merged at all.
+(rulers of dashes, encoded blobs) use a heap with the same order of merges. The vocabulary file is read once, on
+the driver. Each Python worker remembers the words it has met, so by Zipf's law few words are merged at all.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ SHORT = 96
 REMEMBERED = 400_000
 
 
+def read_vocabulary(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> bytes:
+    """The vocabulary file, read where the driver runs; tasks get its bytes (1 MB or so) as a broadcast."""
+    with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
+        return f.read()
+
+
 class Encoder:
     """Ids of texts without special tokens."""
 
@@ -39,10 +45,14 @@ class Encoder:
         self.seen: dict[str, list[int]] = {}
 
     @staticmethod
-    @functools.cache
+    @functools.lru_cache(4)
+    def of(vocabulary: bytes) -> Encoder:
+        """The encoder of a vocabulary file's bytes; a worker makes it once."""
+        return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a})
+
+    @staticmethod
     def load(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Encoder:
-        with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
-            return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return Encoder.of(read_vocabulary(folder, vocabulary))
 
     def merge_short(self, word: bytes) -> list[int]:
         """Ids of a word by the contiguous rank array."""
@@ -157,9 +167,10 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
     are ordinary text. Repeated rows give repeated results, extra columns are dropped. No shuffle.
     """
     kind = documents.schema[key].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(folder, vocabulary)
+        encoder = Encoder.of(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 1000):  # bounds the ids held at once
                 piece = b.slice(at, 1000)
@@ -174,9 +185,10 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
 def count(documents: DataFrame, keep: list[str], text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` and n_tokens (0 for null and empty texts) of each row. No shuffle."""
     fields = ", ".join(f"c{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    shared = documents.sparkSession.sparkContext.broadcast(read_vocabulary(folder, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(folder, vocabulary)
+        encoder = Encoder.of(shared.value)
         for b in batches:
             n = [encoder.count(t) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], names=[*[f"c{i}" for i in range(len(keep))], "n_tokens"])
