@@ -53,7 +53,8 @@ def p5_complexity(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_complexity_pct(spark: SparkSession, d: str) -> DataFrame:
     scores = latest(table(spark, d, "node_features"), ["repo_id", "hash"], "computed_at", ["complexity_pct"])
-    rows = scores.join(_modules(spark, d).drop("complexity"), ["repo_id", "hash"])
+    # a value without a row in nodes has no module and counts in its snapshot all the same
+    rows = scores.join(_modules(spark, d).drop("complexity", "project"), ["repo_id", "hash"], "left").withColumn("project", F.split("repo_id", "@")[0])
     return _by_levels(percentiles.counts(rows, ["project", "repo_id", "module"], "complexity_pct"))
 
 
@@ -96,5 +97,5 @@ r AS (SELECT nf.repo_id, nd.module, nf.hash, row_number() OVER (PARTITION BY nf.
 FROM nf JOIN nd ON nd.repo_id = nf.repo_id AND nd.hash = nf.hash WHERE nd.module IS NOT NULL AND nf.betweenness_centrality IS NOT NULL AND NOT isnan(nf.betweenness_centrality))
 SELECT repo_id, module, CAST(i AS INTEGER) AS rank_no, hash FROM r WHERE i <= 5""",
     "p5_complexity": f"WITH {_NODES}, x AS (SELECT project, repo_id, module, CAST(complexity AS DOUBLE) AS v FROM nd WHERE complexity IS NOT NULL AND complexity <> -1), {_LEVELS}",
-    "p5_complexity_pct": f"WITH {_NODES}, {_FEATURES}, x AS (SELECT nd.project, nd.repo_id, nd.module, nf.complexity_pct AS v FROM nf JOIN nd ON nd.repo_id = nf.repo_id AND nd.hash = nf.hash WHERE complexity_pct IS NOT NULL AND NOT isnan(complexity_pct) AND complexity_pct <> -1), {_LEVELS}",
+    "p5_complexity_pct": f"WITH {_NODES}, {_FEATURES}, x AS (SELECT split_part(nf.repo_id, '@', 1) AS project, nf.repo_id, nd.module, nf.complexity_pct AS v FROM nf LEFT JOIN nd ON nd.repo_id = nf.repo_id AND nd.hash = nf.hash WHERE complexity_pct IS NOT NULL AND NOT isnan(complexity_pct) AND complexity_pct <> -1), {_LEVELS}",
 }

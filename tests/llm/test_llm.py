@@ -31,6 +31,17 @@ def test_top_n_with_hot_group_ties_and_nulls(spark):
     assert rows(topn.top_n(df.limit(0), ["g"], "s", "h", 5)) == []
 
 
+def test_groups_with_one_hash_stay_apart():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"g0": ["a", "a", "b", "b"], "s": [0.0, 1.0, 0.0, 2.0], "t": ["x", "y", "x", "y"], "h": [7, 7, 7, 7]})
+    halves = [batch.slice(0, 1), batch.slice(1, 2), batch.slice(3, 1)]
+    assert sum((b.column("t").to_pylist() for b in topn._cut(1, ["h", "g0"])(iter(halves))), []) == ["x", "x"]
+    with_runs = [b.append_column("run", pa.array([0] * b.num_rows)) for b in halves]
+    got = [r for b in topn._merge(1, ["g0"])(iter(with_runs)) for r in zip(*b.to_pydict().values())]
+    assert got == [("a", 1, "x"), ("b", 1, "x")]
+
+
 def test_loser_tree_merges():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 8):
@@ -98,6 +109,18 @@ def test_mix_reaches_shares_within_caps(spark):
     assert rows(used) == [] and all(r.tokens == 0 for r in shares.collect())
 
 
+def test_mix_of_many_sources_and_a_given_total(spark):
+    rng = random.Random(15)
+    sources = [f"s{i}" for i in range(300)]
+    data = [(i, rng.choice(sources), rng.randint(1, 9)) for i in range(6000)]
+    df = spark.createDataFrame(data, "doc_id long, source string, n_tokens long").cache()
+    targets = spark.createDataFrame([(s, 1.0, 2) for s in sources] + [("s0", 0.5, 9), (None, 1.0, 1), ("s1", 1.0, None), ("zero", 0.0, 1)], "source string, target_weight double, max_repeats int")
+    _, shares = mixing.mix(df, targets, total=9000)
+    got = {r.source: r for r in shares.collect()}
+    assert got.keys() == set(sources) and {r.total for r in got.values()} == {9000}
+    assert all(0 <= r.budget - r.tokens <= 9 and r.budget <= r.available * r.max_repeats for r in got.values())
+
+
 def test_clusters_follow_the_space(spark):
     rng = np.random.default_rng(6)
     middles, data = [(-4.0, -4.0, 0.5), (-2.6, -4.0, 0.5), (-4.0, -2.5, 2.0)], []
@@ -114,6 +137,8 @@ def test_clusters_follow_the_space(spark):
     big = [max(v - {None}, key=lambda x: sum(got[h] == x for h in got)) for v in groups.values()]
     assert len(set(big)) == 3
     assert sum(got[h] == big[int(h[0])] for h in got if h[0] in "012" and "-" in h) > 0.97 * len(got)
+    every = {r.hash: r.group_id for r in clusters.membership(df, clusters.Grid(least_degree=1)).collect()}
+    assert None not in every.values() and got["far"] is None  # a record alone is a group only where asked
     summary = clusters.summary(df).collect()
     assert {r.group_id for r in summary} >= set(big) and all(1 <= len(r.typical) <= 3 for r in summary)
     assert rows(clusters.membership(df.limit(0))) == []
@@ -121,8 +146,23 @@ def test_clusters_follow_the_space(spark):
 
 def test_neighbouring_cells_are_told_by_similarity():
     d = np.array([[x, y, z] for x in range(-4, 5) for y in range(-4, 5) for z in range(-4, 5)])
-    near = (d**2).sum(1) <= clusters.REACH**2
-    assert ((clusters.jaccard(d) >= clusters.least_similarity() - 1e-12) == near).all()
+    grid = clusters.Grid()
+    near = (d**2).sum(1) <= grid.reach**2
+    assert ((grid.jaccard(d) >= grid.least_similarity - 1e-12) == near).all()
+
+
+def test_no_link_is_lost_and_bands_find_most(spark):
+    rng = np.random.default_rng(16)
+    places = np.unique(rng.integers(-12, 12, size=(900, 3)), axis=0)
+    items = spark.createDataFrame([(int(i), 1) for i in clusters._pack(places)], "item long, n long").cache()
+    far = ((places[:, None, :] - places[None]) ** 2).sum(2)
+    ids = clusters._pack(places)
+    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(*np.where((far <= 4) & (far > 0)))}
+    grid = clusters.Grid()
+    exact = [(r.a, r.b) for r in clusters.links(items, grid).collect()]
+    assert len(exact) == len(set(exact)) and set(exact) == want
+    by_bands = {(r.a, r.b) for r in clusters.links(items, clusters.Grid(exact=False)).collect()}
+    assert by_bands <= want and len(by_bands) > 0.9 * len(want)
 
 
 def _corpus():
