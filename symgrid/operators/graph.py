@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symgrid.operators import local
-from symgrid.sources.tables import keep
+from symgrid.operators import hierarchy, local
+from symgrid.sources.tables import Pile, keep
 
 C = F.col
 _KEY = ["repo_id", "node"]
@@ -32,18 +32,59 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy(*_KEY).agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, hops: int, upstream: bool = False) -> DataFrame:
-    """(repo_id, node, depth): least number of edges from a seed (repo_id, node), seeds at 0, up to ``hops``."""
-    step = reverse(edges) if upstream else edges
-    seen = keep(seeds.select(*_KEY).distinct().withColumn("depth", F.lit(0)), "bfs")
-    frontier = seen
+def bfs(edges: DataFrame, seeds: DataFrame, hops: int, upstream: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(repo_id, by…, node, depth): least number of edges from a seed (repo_id, by…, node), seeds at 0, up to ``hops``.
+
+    Seeds with different ``by`` are walked from apart.
+    """
+    step = (reverse(edges) if upstream else edges).select("repo_id", C("src").alias("node"), "dst")
+    key = ["repo_id", *(by or []), "node"]
+    seen = Pile("bfs")
+    frontier = seen.add(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
-        reached = frontier.join(step, (frontier["repo_id"] == step["repo_id"]) & (C("node") == C("src"))).select(step["repo_id"], C("dst").alias("node")).distinct()
-        frontier = keep(reached.join(seen, _KEY, "left_anti").withColumn("depth", F.lit(depth)), "bfs")
+        reached = frontier.join(step, _KEY).select("repo_id", *(by or []), C("dst").alias("node")).distinct()
+        frontier = seen.add(reached.join(seen.all(), key, "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+    return seen.all()
+
+
+def bfs_both(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(repo_id, node, depth): the smaller distance of callers and callees of the seeds."""
+    both = bfs(edges, seeds, hops).unionByName(bfs(edges, seeds, hops, upstream=True))
+    return both.groupBy(*_KEY).agg(F.min("depth").alias("depth"))
+
+
+def chain_edges(edges: DataFrame, chosen: DataFrame, hops: int) -> DataFrame:
+    """(repo_id, src, dst, length): edges on shortest-way chains between two of the chosen nodes (repo_id, node), and the least length of a chain.
+
+    Of a pair S, T an edge u, v counts if v is farther from S than u, nearer to T, if the distances and the edge sum up to
+    ``hops`` at most, and if u is reached from S and T from v over such edges only. A snapshot with fewer than two chosen
+    nodes gives no rows.
+    """
+    edges = keep(edges.select("repo_id", "src", "dst").distinct(), "edges")
+    ends = keep(chosen.select("repo_id", "node").distinct(), "chosen")
+    out = bfs(edges, ends.withColumn("s", C("node")), hops, by=["s"])
+    back = bfs(edges, ends.withColumn("t", C("node")), hops, upstream=True, by=["t"])
+    far = lambda df, who, end, name: df.select("repo_id", who, C("node").alias(end), C("depth").alias(name))
+    from_s = edges.join(far(out, "s", "src", "su"), ["repo_id", "src"]).join(far(out, "s", "dst", "sv"), ["repo_id", "s", "dst"]).where(C("sv") > C("su"))
+    to_t = edges.join(far(back, "t", "dst", "tv"), ["repo_id", "dst"]).join(far(back, "t", "src", "tu"), ["repo_id", "t", "src"]).where(C("tu") > C("tv"))
+    step = from_s.join(to_t, ["repo_id", "src", "dst"]).where((C("s") != C("t")) & (C("su") + 1 + C("tv") <= hops))
+    step = keep(step.select("repo_id", "s", "t", "src", "dst", (C("su") + 1 + C("tv")).alias("length")), "steps")
+    pair = ["repo_id", "s", "t"]
+
+    def reached(start: str, a: str, b: str) -> DataFrame:
+        seen = Pile("reached")
+        front = seen.add(step.select(*pair).distinct().withColumn("node", C(start)))
+        while front.limit(1).count():
+            more = front.join(step.select(*pair, C(a).alias("node"), C(b).alias("next")), [*pair, "node"]).select(*pair, C("next").alias("node")).distinct()
+            front = seen.add(more.join(seen.all(), [*pair, "node"], "left_anti"))
+        return seen.all()
+
+    ahead, behind = reached("s", "src", "dst"), reached("t", "dst", "src")
+    whole = ahead.where(C("node") == C("t")).select(*pair)
+    on = step.join(whole, pair, "left_semi").join(ahead.withColumnRenamed("node", "src"), [*pair, "src"], "left_semi").join(behind.withColumnRenamed("node", "dst"), [*pair, "dst"], "left_semi")
+    return on.groupBy("repo_id", "src", "dst").agg(F.min("length").alias("length"))
 
 
 def scc_by_joins(edges: DataFrame) -> DataFrame:
@@ -110,15 +151,27 @@ def longest_depth_by_joins(dag: DataFrame, nodes: DataFrame) -> DataFrame:
 def path_counts_by_joins(dag: DataFrame, sizes: DataFrame) -> DataFrame:
     """(repo_id, node, n): size of a component plus the counts of its successors, so a diamond counts twice.
 
-    sizes: (repo_id, node, size). Counts are doubles, since ways multiply with depth.
+    sizes: (repo_id, node, size). Counts are doubles, since ways multiply with depth. A level joins the edges that begin
+    in it with the counts so far and writes its own counts only.
     """
-    level = longest_depth_by_joins(reverse(dag), sizes.select(*_KEY))
-    state = keep(sizes.join(level, _KEY).select(*_KEY, C("size").cast("double").alias("n"), "depth"), "paths")
-    deepest = state.agg(F.max("depth")).first()[0] or 0
+    level = keep(longest_depth_by_joins(reverse(dag), sizes.select(*_KEY)), "levels")
+    base = keep(sizes.join(level, _KEY).select(*_KEY, C("size").cast("double").alias("size"), "depth"), "base")
+    steps = keep(dag.join(level.withColumnRenamed("node", "src"), ["repo_id", "src"]).select("repo_id", "src", "dst", "depth"), "steps")
+    deepest = base.agg(F.max("depth")).first()[0] or 0
+    counts = Pile("paths")
+    counts.add(base.where(C("depth") == 0).select(*_KEY, C("size").alias("n")))
     for d in range(1, deepest + 1):
-        below = dag.join(state.where(C("depth") < d).select("repo_id", C("node").alias("dst"), "n"), ["repo_id", "dst"]).groupBy("repo_id", C("src").alias("node")).agg(F.sum("n").alias("s"))
-        state = keep(state.join(below, _KEY, "left").select(*_KEY, F.when(C("depth") == d, C("n") + F.coalesce("s", F.lit(0.0))).otherwise(C("n")).alias("n"), "depth"), "paths")
-    return state.select(*_KEY, "n")
+        known = counts.all().withColumnRenamed("node", "dst")
+        below = steps.where(C("depth") == d).join(known, ["repo_id", "dst"]).groupBy("repo_id", C("src").alias("node")).agg(F.sum("n").alias("s"))
+        counts.add(base.where(C("depth") == d).join(below, _KEY).select(*_KEY, (C("size") + C("s")).alias("n")))
+    return counts.all()
+
+
+def reach_counts_by_joins(dag: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(repo_id, node, n): summed size of the distinct nodes that a node reaches, itself included."""
+    step = keep(dag.select("repo_id", "src", "dst"), "dag")
+    reach = bfs(step, sizes.select("repo_id", C("node").alias("from"), "node"), 1 << 30, by=["from"])
+    return reach.join(sizes, _KEY).groupBy("repo_id", C("from").alias("node")).agg(F.sum(C("size").cast("double")).alias("n"))
 
 
 def _ended(new: DataFrame, change: Column, tolerance: float) -> tuple[DataFrame | None, DataFrame | None]:
@@ -205,75 +258,54 @@ def betweenness_by_joins(edges: DataFrame, nodes: DataFrame, pivots: int = 500,
     sources = nodes.withColumns({"r": order, "n": F.count(F.lit(1)).over(Window.partitionBy("repo_id"))}).where((C("n") <= exact) | (C("r") <= pivots)).select("repo_id", C("node").alias("s"))
     k = sources.groupBy("repo_id").agg(F.count(F.lit(1)).alias("k"))
     at = ["repo_id", "s", "node"]
-    seen = keep(sources.select("repo_id", "s", C("s").alias("node"), F.lit(0).alias("level"), F.lit(1.0).alias("paths")), "bc")
-    front, level = seen, 0
-    while front.limit(1).count():
-        level += 1
-        reached = front.join(edges.withColumnRenamed("src", "node"), _KEY).groupBy("repo_id", "s", C("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = keep(reached.join(seen.select(*at), at, "left_anti").select("repo_id", "s", "node", F.lit(level).alias("level"), "paths"), "bc")
-        seen = seen.unionByName(front)
-    seen = keep(seen, "bc")
-    delta = keep(seen.withColumn("delta", F.lit(0.0)), "bc")
-    for lv in range(level - 1, 0, -1):
-        below = delta.where(C("level") == lv).select("repo_id", "s", C("node").alias("dst"), C("paths").alias("pw"), ((1 + C("delta")) / C("paths")).alias("share"))
-        gain = below.join(edges, ["repo_id", "dst"]).select("repo_id", "s", C("src").alias("node"), "share").join(delta.where(C("level") == lv - 1).select(*at, "paths"), at).groupBy(*at).agg(F.sum(C("share") * C("paths")).alias("gain"))
-        delta = keep(delta.join(gain, at, "left").select(*at, "level", "paths", (C("delta") + F.coalesce("gain", F.lit(0.0))).alias("delta")), "bc")
-    score = delta.where(C("node") != C("s")).groupBy(*_KEY).agg(F.sum("delta").alias("b"))
+    seen = Pile("bc")
+    fronts = [seen.add(sources.select("repo_id", "s", C("s").alias("node"), F.lit(1.0).alias("paths")))]
+    while fronts[-1].limit(1).count():
+        reached = fronts[-1].join(edges.withColumnRenamed("src", "node"), _KEY).groupBy("repo_id", "s", C("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        fronts.append(seen.add(reached.join(seen.all(), at, "left_anti").select(*at, "paths")))
+    gains, delta = Pile("gains"), fronts.pop().withColumn("delta", F.lit(0.0))  # the last level is empty
+    while len(fronts) > 1:  # from the deepest level to the first; the sources get nothing
+        level = fronts.pop()
+        below = delta.select("repo_id", "s", C("node").alias("dst"), ((1 + C("delta")) / C("paths")).alias("share"))
+        share = below.join(edges, ["repo_id", "dst"]).select("repo_id", "s", C("src").alias("node"), "share")
+        gain = share.join(level, at).groupBy(*at).agg(F.sum(C("share") * C("paths")).alias("gain"))
+        delta = gains.add(level.join(gain, at, "left").select(*at, "paths", F.coalesce("gain", F.lit(0.0)).alias("delta")))
+    score = gains.all().groupBy(*_KEY).agg(F.sum("delta").alias("b")) if gains.parts else nodes.select(*_KEY, F.lit(0.0).alias("b"))
     full = nodes.join(score, _KEY, "left").join(size, "repo_id").join(k, "repo_id")
-    return full.select(*_KEY, F.round(F.when(C("n") > 2, F.coalesce("b", F.lit(0.0)) * C("n") / C("k") / ((C("n") - 1) * (C("n") - 2))).otherwise(0.0), 6).alias("score"))
-
-
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 12) -> DataFrame:
-    """(repo_id, node, community): weighted label propagation on the undirected graph, ties to the least label.
-
-    Half of the nodes, by hash and round, may move at once, so two neighbours don't swap labels for ever.
+    value = F.coalesce("b", F.lit(0.0)) * C("n") / C("k") / ((C("n") - 1) * (C("n") - 2))
+    return full.select(*_KEY, F.round(F.when(C("n") > 2, value).otherwise(0.0), 6).alias("score"))
+
+
+def chains_by_joins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """As ``local.chains``: a run is a tree without branches, walked by doubling; a circle is cut before its least node and walked again."""
+    d = keep(degrees(edges), "degrees")
+    ones = lambda c, end: d.where(C(c) == 1).select("repo_id", C("node").alias(end))
+    link = edges.where(C("src") != C("dst")).join(ones("out_degree", "src"), ["repo_id", "src"], "left_semi").join(ones("in_degree", "dst"), ["repo_id", "dst"], "left_semi")
+    link = keep(link.select("repo_id", "src", "dst"), "links")
+    heads = link.select("repo_id", C("src").alias("child")).join(link.select("repo_id", C("dst").alias("child")), ["repo_id", "child"], "left_anti")
+    rows = link.select("repo_id", C("dst").alias("child"), C("src").alias("parent")).unionByName(heads.withColumn("parent", F.lit(None).cast("string")))
+    rows = keep(rows.withColumn("component", F.lit(0)), "links")
+    found = keep(hierarchy._double(rows, ["hash", "root_hash", "depth", "circle"]), "walked")
+    round_ = found.where(C("circle").isNotNull()).select("repo_id", C("hash").alias("child"), "circle")
+    cut = rows.join(round_, ["repo_id", "child"]).withColumn("parent", F.when(C("child") != C("circle"), C("parent"))).drop("circle")
+    again = hierarchy._double(cut, ["hash", "root_hash", "depth"]).withColumn("circle", F.lit(True))
+    runs = found.where(C("circle").isNull()).select("repo_id", "hash", "root_hash", "depth", F.lit(False).alias("circle")).unionByName(again)
+    runs = keep(runs, "runs")
+    length = runs.groupBy("repo_id", "root_hash").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    out = runs.join(length, ["repo_id", "root_hash"]).select("repo_id", C("hash").alias("node"), C("root_hash").alias("head"), C("depth").alias("place"), "length", "circle")
+    return nodes.join(out, _KEY, "left").select(*_KEY, "head", "place", "length", "circle")
+
+
+def chains(edges: DataFrame, listed: int = 9, largest: int = local.LARGEST) -> DataFrame:
+    """(repo_id, head, length, members, circle): maximal runs of nodes with one way out into nodes with one way in, two nodes at least.
+
+    edges count with repetitions. A head's own callers are not limited. A run that closes to a circle begins at its least
+    node. members has the first ``listed`` ones.
     """
-    pairs = edges.where(C("src") != C("dst")).select("repo_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).groupBy("repo_id", "u", "v").agg(F.count(F.lit(1)).alias("w"))
-    both = keep(pairs.union(pairs.select("repo_id", C("v"), C("u"), "w")), "both")
-    label = keep(nodes.select(*_KEY).withColumn("community", C("node")), "labels")
-    for i in range(rounds):
-        votes = both.join(label.select("repo_id", C("node").alias("v"), "community"), ["repo_id", "v"]).groupBy("repo_id", C("u").alias("node"), "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(*_KEY).agg(F.min(F.struct((-C("w")).alias("w"), C("community").alias("c"))).alias("b"))
-        may = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0
-        new = keep(label.join(best, _KEY, "left").select(*_KEY, F.when(may & C("b").isNotNull(), C("b.c")).otherwise(C("community")).alias("community"), C("community").alias("old")), "labels")
-        label = new.drop("old")
-        if not new.where(C("community") != C("old")).limit(1).count():
-            break
-    named = label.groupBy("repo_id", "community").agg(F.min("node").alias("name"))
-    return label.join(named, ["repo_id", "community"]).select(*_KEY, C("name").alias("community"))
-
-
-def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """(repo_id, modularity) of a division of the undirected graph, edge rows as weights."""
-    e = edges.where(C("src") != C("dst"))
-    of = lambda a: label.select("repo_id", C("node").alias(a), C("community").alias(f"c_{a}"))
-    e = e.join(of("src"), ["repo_id", "src"]).join(of("dst"), ["repo_id", "dst"])
-    inside = e.groupBy("repo_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(C("c_src") == C("c_dst")).alias("inside"))
-    ends = e.select("repo_id", C("c_src").alias("c")).union(e.select("repo_id", C("c_dst").alias("c"))).groupBy("repo_id", "c").agg(F.count(F.lit(1)).alias("d"))
-    square = ends.groupBy("repo_id").agg(F.sum(C("d") * C("d")).alias("dd"))
-    return inside.join(square, "repo_id").select("repo_id", (C("inside") / C("m") - C("dd") / (4 * C("m") * C("m"))).alias("modularity"))
-
-
-def chains(edges: DataFrame, least: int = 2) -> DataFrame:
-    """(repo_id, head, length, members): maximal runs of nodes with one way out into nodes with one way in.
-
-    edges count with repetitions. Runs that close to a circle have no head and give none. A head's own callers are not limited.
-    """
-    d = degrees(edges)
-    link = edges.distinct().join(d.where(C("out_degree") == 1).select("repo_id", C("node").alias("src")), ["repo_id", "src"], "left_semi").join(d.where(C("in_degree") == 1).select("repo_id", C("node").alias("dst")), ["repo_id", "dst"], "left_semi").where(C("src") != C("dst")).select("repo_id", "src", "dst")
-    link = keep(link, "chain")
-    heads = link.select("repo_id", C("src").alias("node")).join(link.select("repo_id", C("dst").alias("node")), _KEY, "left_anti")
-    way = keep(heads.select("repo_id", C("node").alias("head"), C("node").alias("at"), F.array("node").alias("members")), "chain")
-    done = None
-    while True:
-        on = way.join(link.select("repo_id", C("src").alias("at"), "dst"), ["repo_id", "at"], "left")
-        on = keep(on.select("repo_id", "head", "dst", "members"), "chain")
-        ended = on.where(C("dst").isNull()).select("repo_id", "head", "members")
-        done = ended if done is None else done.unionByName(ended)
-        way = on.where(C("dst").isNotNull()).select("repo_id", "head", C("dst").alias("at"), F.concat("members", F.array("dst")).alias("members"))
-        if not way.limit(1).count():
-            break
-    return done.where(F.size("members") >= least).select("repo_id", "head", F.size("members").alias("length"), "members")
+    rows = local.split(edges, nodes_of(edges), local.chains, "head string, place int, length int, circle boolean", chains_by_joins, largest)
+    rows = rows.where(C("head").isNotNull() & (C("length") > 1))
+    first = F.transform(F.array_sort(F.collect_list(F.when(C("place") < listed, F.struct("place", "node")))), lambda x: x["node"])
+    return rows.groupBy("repo_id", "head").agg(F.max("length").alias("length"), first.alias("members"), F.max("circle").alias("circle"))
 
 
 def scc(edges: DataFrame, largest: int = local.LARGEST) -> DataFrame:
@@ -291,6 +323,11 @@ def path_counts(dag: DataFrame, sizes: DataFrame, largest: int = local.LARGEST)
     return local.split(dag, sizes, local.path_counts, "n double", path_counts_by_joins, largest)
 
 
+def reach_counts(dag: DataFrame, sizes: DataFrame, largest: int = local.LARGEST) -> DataFrame:
+    """(repo_id, node, n): summed size of the distinct nodes that a node reaches, itself included, so a diamond counts once."""
+    return local.split(dag, sizes, local.reach_counts, "n double", reach_counts_by_joins, largest)
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, largest: int = local.LARGEST) -> DataFrame:
     """(repo_id, node, rank): damping 0.85, sums to 1 in each snapshot; nodes without outgoing edges give to all."""
     return local.split(edges, nodes, local.pagerank, "rank double", pagerank_by_joins, largest)

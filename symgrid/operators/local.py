@@ -7,16 +7,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgrid.sources.tables import keep, small
 
-#: Edges of a snapshot up to which one task treats it (some 150 MB of Python objects at most).
+#: Edges of a snapshot up to which one task treats it (some 50 MB of arrays and lists at most).
 LARGEST = 300_000
 #: Rounds of pagerank and hits at most, the summed change a node that ends pagerank, the greatest change that ends hits.
 ROUNDS, RANK_TOLERANCE, HUB_TOLERANCE = 200, 1e-8, 1e-8
-_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def split(edges: DataFrame, nodes: DataFrame, fn: Callable, out: str, by_joins: Callable[[DataFrame, DataFrame], DataFrame], largest: int = LARGEST) -> DataFrame:
@@ -33,14 +34,17 @@ def split(edges: DataFrame, nodes: DataFrame, fn: Callable, out: str, by_joins:
     types = [pa.string(), pa.string(), *[_TYPES[t] for _, t in names]]
 
     def treat(repo: str | None, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(batches).to_pydict()
-        of = {a: s for a, b, s in zip(t["a"], t["b"], t["size"]) if b is None}
-        order = sorted(of)
-        number = {x: i for i, x in enumerate(order)}
-        ends = [(number[a], number[b]) for a, b in zip(t["a"], t["b"]) if b is not None and a in number and b in number]
-        src, dst = (np.array(x, dtype=np.int64) for x in (zip(*ends) if ends else ([], [])))
-        got = fn(order, src, dst, np.array([of[x] for x in order]))
-        return pa.RecordBatch.from_arrays([pa.array([repo] * len(order), pa.string()), pa.array(order, pa.string()), *[pa.array(c, ty) for c, ty in zip(got, types[2:])]], names=["repo_id", "node", *[x for x, _ in names]])
+        t = pa.Table.from_batches(batches)
+        is_node = pc.is_null(t.column("b"))
+        nodes_, ends = t.filter(is_node).sort_by("a"), t.filter(pc.invert(is_node))
+        order = pc.unique(nodes_.column("a"))
+        first = pc.index_in(order, value_set=nodes_.column("a"))
+        sizes = nodes_.column("size").take(first).to_numpy()
+        src, dst = (pc.index_in(ends.column(c), value_set=order).to_numpy() for c in ("a", "b"))
+        known = ~(np.isnan(src) | np.isnan(dst)) if src.dtype.kind == "f" or dst.dtype.kind == "f" else slice(None)
+        got = fn(order.to_pylist(), src[known].astype(np.int64), dst[known].astype(np.int64), sizes)
+        columns = [pa.array([repo] * len(order), pa.string()), order.cast(pa.string()), *[pa.array(c, ty) for c, ty in zip(got, types[2:])]]
+        return pa.RecordBatch.from_arrays(columns, names=["repo_id", "node", *[x for x, _ in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -148,6 +152,58 @@ def path_counts(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.nda
     return [n]
 
 
+def reach_counts(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray, block: int = 4096) -> list:
+    """Summed size of the distinct nodes that each node reaches, itself included; ``block`` targets at a time, as bits of one number."""
+    n = len(names)
+    ways, counts = _lists(n, src, dst), np.zeros(n)
+    order = _topological(n, ways)[::-1]
+    for lo in range(0, n, block):
+        hi = min(lo + block, n)
+        sizes = size[lo:hi]
+        reach = [0] * n
+        for v in order:
+            seen = 1 << (v - lo) if lo <= v < hi else 0
+            for w in ways[v]:
+                seen |= reach[w]
+            reach[v] = seen
+        plain = (sizes == 1).all()
+        for v in range(n):
+            if not reach[v]:
+                continue
+            if plain:
+                counts[v] += reach[v].bit_count()
+            else:
+                bits = np.unpackbits(np.frombuffer(reach[v].to_bytes((hi - lo + 7) // 8, "little"), dtype=np.uint8), bitorder="little")
+                counts[v] += sizes[bits[: hi - lo].astype(bool)].sum()
+    return [counts]
+
+
+def chains(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray) -> list:
+    """Head, place and length of the run of each node, and whether it is a circle; null for nodes of no run."""
+    n = len(names)
+    single = (np.bincount(src, minlength=n)[src] == 1) & (np.bincount(dst, minlength=n)[dst] == 1) & (src != dst)
+    after, before = np.full(n, -1), np.full(n, -1)
+    after[src[single]], before[dst[single]] = dst[single], src[single]
+    head: list[str | None] = [None] * n
+    place, length, circle = [None] * n, [None] * n, [None] * n
+    nexts = after.tolist()
+
+    def walk(start: int, round_: bool) -> None:
+        way, at = [], start
+        while at >= 0 and not (way and at == start):
+            way.append(at)
+            at = nexts[at]
+        for i, v in enumerate(way):
+            head[v], place[v], length[v], circle[v] = names[start], i, len(way), round_
+
+    for v in np.flatnonzero((before < 0) & (after >= 0)).tolist():
+        walk(v, False)
+    for v in np.flatnonzero(after >= 0).tolist():  # what has no head is a circle, which begins at its least node
+        if head[v] is None:
+            walk(v, True)
+    return [head, place, length, circle]
+
+
 def pagerank(names: list[str], src: np.ndarray, dst: np.ndarray, size: np.ndarray) -> list:
     n = len(names)
     out = np.bincount(src, minlength=n)

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from symgrid.functions.scalars import dirname, symbol
-from symgrid.sources.catalog import Catalog
-from symgrid.sources.tables import small
+from symgrid.functions.scalars import blend_colours, dirname, symbol
+from symgrid.plans import filters
+from symgrid.sources.catalog import NODE_COLUMNS, SCHEMA_COLUMNS, Catalog, internal
+from symgrid.sources.tables import keep, small
 
 C = F.col
+#: Symbols that a view without dimensions shows of a snapshot.
+SYMBOLS = 500
 DIMENSIONS: dict[str, Callable[[], Column]] = {
     "module": lambda: C("module"),
     "class": lambda: F.coalesce("class_name", F.lit("(top-level)")),
@@ -94,6 +97,34 @@ def measure_type(token: str) -> str:
     return "int" if agg == "count" else "float" if agg in ("avg", "stddev") else FIELDS[name][1]
 
 
+#: Dimensions that aren't shown by their own name.
+DIMENSION_LABELS = {"dead": "dead/alive", "high_risk": "high-risk", "in_cycle": "in-cycle"}
+
+
+def parse_dimension(token: str) -> tuple[str, str | None] | None:
+    """(name, None) of a plain dimension, (field, mode) of a bucketed one; None for what is unknown."""
+    if token in DIMENSIONS:
+        return token, None
+    name, _, mode = token.partition(":")
+    return (name, mode) if name in BUCKETS and mode in MODES else None
+
+
+def parse_list(text: str | None, default: list[str] = ()) -> list[str]:
+    """Tokens parted by commas, empty ones left out."""
+    return [x.strip() for x in text.split(",") if x.strip()] if text else list(default)
+
+
+def dimension_label(token: str) -> str:
+    """What a dimension is shown as: its name, of a bucketed one with the mode; unknown ones as they are."""
+    name, mode = parse_dimension(token) or (token, None)
+    return f"{name.replace('_', ' ')} ({mode})" if mode else DIMENSION_LABELS.get(name, name)
+
+
+def measure_label(token: str) -> str:
+    """What a measure is shown as: its field or name without the aggregate."""
+    return token.partition(":")[0].replace("_", " ")
+
+
 def metadata() -> dict:
     """What may be asked for."""
     return {"dimensions": list(DIMENSIONS), "bucket_fields": list(BUCKETS), "bucket_modes": {k: len(v) for k, v in MODES.items()}, "fields": {k: v[1] for k, v in FIELDS.items()}, "aggregates": list(AGGREGATES), "specials": {k: v[1] for k, v in SPECIALS.items()}}
@@ -119,6 +150,20 @@ def thresholds(rows: DataFrame, value: Column, k: int) -> DataFrame:
     return hits.groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("cuts"))
 
 
+@dataclass
+class Pivot:
+    """What a pivot view shows. ``rows`` is None if no dimension or no measure is left."""
+
+    rows: DataFrame | None
+    dimensions: list[str]
+    measures: list[str]
+    types: dict[str, str]
+    enriched: bool
+    edges: DataFrame
+    leaf_edges: DataFrame
+    totals: DataFrame | None
+
+
 @dataclass
 class Explore:
     """A pivot over a catalog. Unknown dimensions and measures, and those whose data is missing, are dropped silently."""
@@ -150,7 +195,8 @@ class Explore:
             if ":" in d:
                 name, mode = d.split(":")
                 value, labels = BUCKETS[name][0](), MODES[mode]
-                cuts = thresholds(df, value, len(labels))
+                # one row a snapshot, kept so that its count doesn't run it again
+                cuts = keep(thresholds(df, value, len(labels)), "cuts")
                 df = df.join(small(cuts), "repo_id", "left")
                 case = F.when(F.lit(False), labels[0])
                 for j, label in enumerate(labels[:-1]):
@@ -184,15 +230,92 @@ class Explore:
         depth = F.lit(n) - F.bit_count("gid")
         return grouped.select("repo_id", depth.cast("int").alias("depth"), *[C(x).alias(alias(d)) for x, d in zip(names, self.dimensions)], *[alias(m) for m in self.measures])
 
-    def symbols(self, limit: int = 500) -> DataFrame:
+    def ordered_tree(self) -> DataFrame:
+        """The tree with ``place``: that of a row among the children of its parent, those of most symbols first, then by value."""
+        tree = self.tree()
+        names = [alias(d) for d in self.dimensions]
+        depth = C("depth")
+        parent = [F.when(depth > i + 1, C(x)) for i, x in enumerate(names)]
+        own = F.coalesce(*[F.when(depth == i + 1, C(x).cast("string")) for i, x in enumerate(names)])
+        by = [C("symbol_count").desc()] if "symbol_count" in self.measures else []
+        w = Window.partitionBy("repo_id", "depth", *parent).orderBy(*by, own.asc_nulls_first())
+        return tree.withColumn("place", F.row_number().over(w))
+
+    def leaves(self, tree: DataFrame) -> DataFrame:
+        """The innermost rows of a tree."""
+        return tree.where(C("depth") == len(self.dimensions))
+
+    def group_key(self, level: int) -> Column:
+        """The values down to a level (0 …) as one text; null values are ''."""
+        return F.concat_ws("::", *[F.coalesce(C(alias(d)).cast("string"), F.lit("")) for d in self.dimensions[: level + 1]])
+
+    def graph_nodes(self, size: str = "symbol_count", colour: str | None = None, tree: DataFrame | None = None) -> DataFrame:
+        """(repo_id, id, group_path, radius, shade, colour): the innermost rows of a pivot as nodes of a graph.
+
+        id is the innermost value; if it lies in several groups, the row of greatest size counts, ties to the least group.
+        radius grows with the root of the size's share of the greatest one, from 4 to 22. shade, from 0 to 1, is the place
+        of the colour measure between its least and greatest finite value; half without a colour measure.
+        """
+        names = [alias(d) for d in self.dimensions]
+        rows = self.leaves(self.tree() if tree is None else tree).where(C(names[-1]).isNotNull())
+        path = F.array(*[C(x).cast("string") for x in names[:-1]]) if len(names) > 1 else F.array().cast("array<string>")
+        value = F.coalesce(C(alias(size)).cast("double"), F.lit(0.0))
+        shown = C(alias(colour)).cast("double") if colour else F.lit(None).cast("double")
+        finite = F.when(shown.isNotNull() & ~F.isnan(shown) & (F.abs(shown) < float("inf")), shown)
+        rows = rows.select("repo_id", C(names[-1]).cast("string").alias("id"), path.alias("group_path"), value.alias("size"), shown.alias("shown"), finite.alias("finite"))
+        spans = rows.groupBy("repo_id").agg(F.greatest(F.lit(1.0), F.max("size")).alias("most"), F.min("finite").alias("lo"), F.max("finite").alias("hi"))
+        spans = spans.withColumn("hi", F.when(C("hi") == C("lo"), C("lo") + 1).otherwise(C("hi")))
+        best = rows.groupBy("repo_id", "id").agg(F.min(F.struct((-C("size")).alias("s"), "group_path", "shown")).alias("b"))
+        shade = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (C("b.shown") - C("lo")) / (C("hi") - C("lo")))), F.lit(0.5))
+        radius = F.sqrt(F.when(C("b.s") == 0, 1.0).otherwise(-C("b.s")) / C("most")) * 18 + 4
+        out = best.join(small(spans), "repo_id").select("repo_id", "id", C("b.group_path").alias("group_path"), F.round(radius, 6).alias("radius"), F.round(shade, 6).alias("shade"))
+        return out.withColumn("colour", blend_colours("#3fb950", "#f85149", C("shade")))
+
+    def graph_data(self, size: str = "symbol_count", colour: str | None = None, least_weight: int = 1, top: int | None = None, connected: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges) of a pivot: edges over the innermost dimension, thinned, with both ends among the nodes; nodes without edges left out if ``connected``."""
+        nodes = self.graph_nodes(size, colour)
+        edges = filters.valid_edges(filters.thin_edges(self.induced_edges(self.dimensions[-1]), least_weight, top), nodes)
+        return (filters.without_isolated(nodes, edges) if connected else nodes), edges
+
+    def envelope(self) -> Pivot:
+        """All that a pivot view shows; symbols where no dimension or only the symbol is asked for."""
+        by_symbol = self.dimensions in ([], ["symbol"])
+        rows = self.symbols() if by_symbol else self.ordered_tree() if self.dimensions and self.measures else None
+        none = lambda: self.induced_edges("")
+        return Pivot(
+            rows=rows,
+            dimensions=["symbol"] if by_symbol else self.dimensions,
+            measures=[alias(m) for m in self.measures],
+            types={alias(m): measure_type(m) for m in self.measures},
+            enriched=self.catalog.has_features,
+            edges=self.symbol_edges() if by_symbol else self.induced_edges(self.dimensions[0]) if self.dimensions else none(),
+            leaf_edges=self.induced_edges(self.dimensions[-1]) if len(self.dimensions) > 1 else none(),
+            totals=self.totals(SYMBOLS) if by_symbol else None,
+        )
+
+    def symbols(self, limit: int = SYMBOLS) -> DataFrame:
         """Symbol grain: raw fields under the measures' names, most callers first, ``limit`` rows a snapshot."""
         fields = []
         for m in self.measures:
             name, agg = parse_measure(m)  # type: ignore[misc]
             fields.append((C(FIELDS[name][0]) if agg else _FIELD_OF_SPECIAL[name]()).alias(alias(m)))
         first = Window.partitionBy("repo_id").orderBy(C("caller_count").desc_nulls_last(), C("name").asc_nulls_first(), "hash")
-        rows = self.rows().withColumn("r", F.row_number().over(first)).where(C("r") <= limit)
-        return rows.select("repo_id", "hash", symbol(C("module"), C("name")).alias("symbol"), *fields)
+        rows = self.rows().withColumn("row_no", F.row_number().over(first)).where(C("row_no") <= limit)
+        return rows.select("repo_id", "row_no", "hash", symbol(C("module"), C("name")).alias("symbol"), *fields)
+
+    def totals(self, limit: int) -> DataFrame:
+        """(repo_id, total_count, shown_count, truncated) of a list of symbols that shows ``limit`` a snapshot."""
+        n = self.rows().groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_count"))
+        return n.select("repo_id", "total_count", F.least("total_count", F.lit(limit)).alias("shown_count"), (C("total_count") > limit).alias("truncated"))
+
+    def symbol_edges(self, symbols: int = SYMBOLS, limit: int = 2000) -> DataFrame:
+        """(repo_id, row_no, source, target, weight): edge rows among the symbols shown, most calls first, ``limit`` a snapshot."""
+        shown = keep(self.symbols(symbols).select("repo_id", "hash", "symbol"), "shown")
+        e = self.catalog.edges.select("repo_id", "caller_hash", "callee_hash", "call_count")
+        for end, name in (("caller_hash", "source"), ("callee_hash", "target")):
+            e = e.join(shown.select("repo_id", C("hash").alias(end), C("symbol").alias(name)), ["repo_id", end])
+        first = Window.partitionBy("repo_id").orderBy(C("call_count").desc_nulls_last(), "caller_hash", "callee_hash")
+        return e.withColumn("row_no", F.row_number().over(first)).where(C("row_no") <= limit).select("repo_id", "row_no", "source", "target", C("call_count").alias("weight"))
 
     def induced_edges(self, dimension: str) -> DataFrame:
         """source, target, weight: the quotient graph over a dimension, null and equal ends left out, edge rows counted."""
@@ -205,31 +328,52 @@ class Explore:
 
     def picker_values(self) -> DataFrame:
         """Distinct non-null values of the short dimensions: (repo_id, dimension, value), in one pass."""
-        dims = ["module", "risk", "kind", "directory", "dead", "high_risk", "framework", "async", "exported", *(["in_cycle", "community"] if self.catalog.has_features else [])]
-        df = self.catalog.enriched if self.catalog.has_features else self.catalog.internal_nodes
+        c = self.catalog
+        dims = ["module", "risk", "kind", "directory", "dead", "high_risk", *(["framework", "async", "exported"] if c.has_schema else []), *(["community"] if c.has_features else [])]
+        df = c.enriched if c.has_features else c.internal_nodes
+        if self.kinds:
+            df = df.where(C("kind").isin(self.kinds))
         pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), DIMENSIONS[d]().alias("value")) for d in dims]))
         return df.select("repo_id", pairs.alias("p")).select("repo_id", "p.dimension", "p.value").where(C("value").isNotNull()).distinct()
 
-    def node_table(self, sort: str = "caller_count", descending: bool = True, limit: int = 1000) -> DataFrame:
-        """Raw symbols by an allowed column (else caller_count), the hash breaking ties, with their 8 widest callees."""
-        allowed = {"caller_count", "callee_count", "complexity", "name", "module", "utility_score", "pagerank", "xmod_fan_in"}
-        by = C(sort if sort in allowed else "caller_count")
+    def merged_picker_values(self) -> DataFrame:
+        """The values of the short dimensions and those that the pivot itself shows, buckets included; empty ones left out."""
+        names = [(d, alias(d)) for d in self.dimensions]
+        pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), C(x).cast("string").alias("value")) for d, x in names]))
+        shown = self.pivot().select("repo_id", pairs.alias("p")).select("repo_id", "p.dimension", "p.value").where(C("value") != "")
+        return self.picker_values().unionByName(shown).distinct()
+
+    def node_table(self, sort: str = "caller_count", descending: bool = True, limit: int = 300) -> DataFrame:
+        """Raw symbols by an allowed column (else caller_count), the hash breaking ties, with the 8 calls of greatest count each."""
+        allowed = {"caller_count", "callee_count", "complexity", "name", "module"}
+        enriched = {"utility_score", "pagerank", "xmod_fan_in"}
+        c = self.catalog
+        by = C(sort if sort in allowed or (sort in enriched and c.has_features) else "caller_count")
         by = by.desc_nulls_last() if descending else by.asc_nulls_first()
-        df = self.catalog.enriched if self.catalog.has_features else self.catalog.internal_nodes
+        df = c.enriched if c.has_features else c.internal_nodes
+        if self.kinds:
+            df = df.where(C("kind").isin(self.kinds))
         rows = df.withColumn("row_no", F.row_number().over(Window.partitionBy("repo_id").orderBy(by, "hash"))).where(C("row_no") <= limit)
-        return rows.join(top_callees(self.catalog), ["repo_id", "hash"], "left")
+        signals = [x for x in ("utility_score", "pagerank", "xmod_fan_in", "xmod_fan_out", "scc_size", "topological_depth", "complexity_pct") if x in df.columns]
+        rows = keep(rows.select("repo_id", "row_no", "hash", *NODE_COLUMNS, *SCHEMA_COLUMNS, *signals), "node-table")
+        return rows.join(top_callees(c, rows), ["repo_id", "hash"], "left")
 
 
-def top_callees(catalog: Catalog, n: int = 8) -> DataFrame:
-    """(repo_id, hash, callees): names of the n internal callees with most calls, ties by hash, in one join for all."""
-    calls = catalog.calls.groupBy("repo_id", "caller_hash", "callee_hash", "t_name").agg(F.sum(F.coalesce("call_count", F.lit(1))).alias("calls"))
-    w = Window.partitionBy("repo_id", "caller_hash").orderBy(C("calls").desc(), "callee_hash")
-    top = calls.withColumn("r", F.row_number().over(w)).where(C("r") <= n)
-    return top.groupBy("repo_id", C("caller_hash").alias("hash")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "t_name"))), lambda s: F.coalesce(s["t_name"], F.lit(""))).alias("callees"))
+def top_callees(catalog: Catalog, of: DataFrame | None = None, n: int = 8) -> DataFrame:
+    """(repo_id, hash, outbound): the n edge rows of greatest count of each symbol (of ``of``), ties by the callee's hash, in one join for all."""
+    e = catalog.edges.where(internal("callee_hash")).select("repo_id", C("caller_hash").alias("hash"), "callee_hash", "call_count")
+    if of is not None:
+        e = e.join(of.select("repo_id", "hash"), ["repo_id", "hash"], "left_semi")
+    callee = catalog.internal_nodes.select("repo_id", C("hash").alias("callee_hash"), "name", "module")
+    w = Window.partitionBy("repo_id", "hash").orderBy(C("call_count").desc_nulls_last(), "callee_hash")
+    top = e.join(callee, ["repo_id", "callee_hash"]).withColumn("r", F.row_number().over(w)).where(C("r") <= n)
+    one = F.struct("r", C("callee_hash").alias("hash"), "name", "module", "call_count")
+    return top.groupBy("repo_id", "hash").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("r")).alias("outbound"))
 
 
 def search(catalog: Catalog, text: str, limit: int = 20) -> DataFrame:
     """Internal symbols whose name holds the text in any case, most callers first. ``%`` and ``_`` are wild."""
     rows = catalog.internal_nodes.where(C("name").ilike(f"%{text}%"))
     w = Window.partitionBy("repo_id").orderBy(C("caller_count").desc_nulls_last(), "hash")
-    return rows.withColumn("r", F.row_number().over(w)).where(C("r") <= limit).select("repo_id", "hash", "name", "module", "kind", "caller_count")
+    fields = ["hash", "name", "kind", "module", "file_path", "line_start", "caller_count", "callee_count", "risk"]
+    return rows.withColumn("row_no", F.row_number().over(w)).where(C("row_no") <= limit).select("repo_id", "row_no", *fields)

@@ -79,6 +79,22 @@ def forget(*kept: DataFrame | None) -> None:
             _delete(path, _written.pop(path))
 
 
+class Pile:
+    """A table that grows by parts in the shared folder: a round writes its own rows only, and all are one scan."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.parts = name, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes a part and returns it."""
+        self.parts.append(keep(df, self.name))
+        return self.parts[-1]
+
+    def all(self) -> DataFrame:
+        first = self.parts[0]
+        return first.sparkSession.read.schema(first.schema).parquet(*[p._kept_at for p in self.parts])
+
+
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows (counted), else unchanged for a shuffled join.
 

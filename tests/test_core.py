@@ -290,9 +290,112 @@ def test_dag_depth_and_paths(spark):
         assert counts == {"e": 1, "d": 2, "b": 3, "c": 3, "a": 7}  # the diamond counts twice
 
 
-def test_chains_stop_at_branches(spark):
-    e = spark.createDataFrame([("r", *x) for x in ("ab", "bc", "cd", "xd", "pq", "qp")], "repo_id string, src string, dst string")
-    assert [(r.head, r.members) for r in graph.chains(e).collect()] == [("a", ["a", "b", "c"])]
+@pytest.mark.parametrize("largest", [10**6, 0])
+def test_chains_stop_at_branches_and_go_round(spark, largest):
+    e = spark.createDataFrame([("r", *x) for x in ("ab", "bc", "cd", "xd", "pq", "qp", "mn", "nn")], "repo_id string, src string, dst string")
+    got = {r.head: (r.length, r.members, r.circle) for r in graph.chains(e, largest=largest).collect()}
+    assert got == {"a": (3, ["a", "b", "c"], False), "p": (2, ["p", "q"], True)}
+
+
+@pytest.mark.parametrize("largest", [10**6, 0])
+def test_distinct_reach_counts_a_diamond_once(spark, largest):
+    e = spark.createDataFrame([("r", "a", "b"), ("r", "a", "c"), ("r", "b", "d"), ("r", "c", "d")], "repo_id string, src string, dst string")
+    sizes = graph.nodes_of(e).withColumn("size", F.when(F.col("node") == "d", 3).otherwise(1))
+    assert {r.node: r.n for r in graph.reach_counts(e, sizes, largest).collect()} == {"a": 6, "b": 4, "c": 4, "d": 3}
+
+
+def test_reach_in_blocks():
+    import numpy as np
+
+    from symgrid.operators import local
+
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 60, 150), rng.integers(0, 60, 150)
+    src, dst = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    size = rng.integers(1, 4, 60).astype(float)
+    names = [str(i) for i in range(60)]
+    assert (local.reach_counts(names, src, dst, size, block=7)[0] == local.reach_counts(names, src, dst, size)[0]).all()
+
+
+def _undirected_modularity(edges, of):
+    m, inside, degree = 0, 0, Counter()
+    for _, a, b in edges:
+        m += 1
+        inside += of[a] == of[b]
+        degree[of[a]] += 1
+        degree[of[b]] += 1
+    return inside / m - sum(d * d for d in degree.values()) / (4 * m * m)
+
+
+def test_communities_alike_in_one_task_and_by_joins(spark):
+    from symgrid.operators import communities
+
+    rng = random.Random(8)
+    groups = [[f"{g}{i:02d}" for i in range(8)] for g in "xyz"]
+    e = [("r", rng.choice(g), rng.choice(g)) for g in groups for _ in range(30)] + [("r", rng.choice(groups[0]), rng.choice(groups[1])), ("r", "x00", "x00"), ("r", "z01", "y01")]
+    df = spark.createDataFrame(e, "repo_id string, src string, dst string").coalesce(2).cache()
+    nodes = graph.nodes_of(df).unionByName(spark.createDataFrame([("r", "alone")], "repo_id string, node string"))
+    for resolution in (1.0, 2.0):
+        a, b = ({r.node: r.community for r in communities.louvain(df, nodes, resolution, largest=n).collect()} for n in (10**6, 0))
+        assert a == b and a["alone"] == "alone"
+        assert all(c == min(n for n in a if a[n] == c) for c in a.values())
+    a = {r.node: r.community for r in communities.louvain(df, nodes).collect()}
+    best = _undirected_modularity(e, {n: n[0] for n in a})
+    assert _undirected_modularity(e, a) > best - 0.02
+    got = communities.modularity(df, spark.createDataFrame([("r", n, c) for n, c in a.items()], "repo_id string, node string, community string")).first().modularity
+    assert got == pytest.approx(_undirected_modularity(e, a))
+
+
+def test_runs_of_calls_are_patterns(spark, tmp_path):
+    from symgrid.operators.patterns import Detector
+    from symgrid.sources.catalog import Catalog
+
+    calls = [(f"a{i}", f"a{i + 1}") for i in range(5)] + [("u", "a0"), ("v", "a0")] + [(f"b{i}", f"b{i + 1}") for i in range(5)] + [(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)]
+    calls += [("h", f"m{i}") for i in range(4)] + [(f"m{i}", "red") for i in range(3)]
+    _catalog(spark, tmp_path, sorted({x for ab in calls for x in ab}), calls)
+    found = {(r.pattern, r.hash): r.nodes for r in Detector(Catalog(spark, str(tmp_path))).every().collect()}
+    assert found["decorator_chain", "a0"] == ["a0", "a1", "a2", "a3", "a4", "a5"]
+    assert found["chain_of_responsibility", "a1"] == ["a1", "a2", "a3", "a4", "a5"]  # a0 has two callers
+    assert found["chain_of_responsibility", "b0"][-1] == "b5" and found["pipeline", "b1"] == ["b1", "b2", "b3", "b4", "b5"]
+    assert found["pipeline", "c0"] == found["mutual_recursion", "c0"] == ["c0", "c1", "c2", "c3", "c4"]
+    assert found["map_reduce", "h"] == ["h", "m0", "m1", "m2", "m3", "red"]
+    assert Detector(Catalog(spark, str(tmp_path)), ["class"]).every().count() == 0
+
+
+def _catalog(spark, folder, names, calls, modules=lambda x: x[0]):
+    """Tables of one snapshot."""
+    into, out = Counter(b for _, b in calls), Counter(a for a, _ in calls)
+    rows = [("r@1", x, x, modules(x), f"{modules(x)}.py", 1, 2, "function", "low", 1, into[x], out[x], at(0)) for x in names]
+    spark.createDataFrame(rows, f"repo_id string, hash string, name string, module string, file_path string, line_start int, line_end int, kind string, risk string, complexity int, caller_count int, callee_count int, loaded_at {TIME}").write.parquet(f"{folder}/nodes.parquet")
+    spark.createDataFrame([("r@1", a, b, 1, "call") for a, b in calls], "repo_id string, caller_hash string, callee_hash string, call_count int, edge_kind string").write.parquet(f"{folder}/edges.parquet")
+
+
+def test_missing_tables_and_snapshots_are_told(spark, tmp_path):
+    from symgrid.sources.catalog import Catalog, RepoNotFound, UnreadableSnapshot
+
+    _catalog(spark, tmp_path, ["a", "b"], [("a", "b")])
+    c = Catalog(spark, str(tmp_path))
+    assert not c.has_features and not c.has_schema and c.open("r@1").nodes.count() == 2
+    with pytest.raises(RepoNotFound):
+        c.open("none")
+    with pytest.raises(UnreadableSnapshot):
+        c.raw("inheritance")
+
+
+def test_enrichment_of_a_diamond(spark, tmp_path):
+    from symgrid.operators import analyses
+    from symgrid.sources.catalog import Catalog
+
+    _catalog(spark, tmp_path, list("abcde"), [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], modules=lambda x: "m" if x in "ab" else "n")
+    c = Catalog(spark, str(tmp_path))
+    got = {r.hash: r for r in analyses.enrich(c).collect()}
+    assert got["a"].transitive_callees == 4 and got["d"].transitive_callers == 4  # the diamond counts twice
+    assert (got["d"].topological_depth, got["a"].reverse_topological_depth) == (2, 2)
+    assert sum(r.pagerank for r in got.values()) == pytest.approx(1, abs=1e-5)
+    assert got["d"].xmod_fan_in == 1 and got["b"].stability_rank == 1.0 and got["a"].xmod_call_ratio == 0.5
+    assert got["e"].community_dominant_mod == "n" and got["e"].community_alignment == 1 and got["e"].scc_size == 1
+    assert analyses.enrich_to(c, str(tmp_path / "out")) == {}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
 def test_bucket_thresholds_differ_from_percentile_disc(spark):
@@ -305,9 +408,84 @@ def test_bucket_thresholds_differ_from_percentile_disc(spark):
 def test_filters(spark):
     from symgrid.plans import filters
 
-    df = spark.createDataFrame([(1.0,), (3.0,), (None,)], "x double")
+    df = spark.createDataFrame([(0.0,), (1.0,), (3.0,), (None,)], "x double")
     keep = lambda t: [r.x for r in df.where(filters.match_expression(F.col("x"), t)).collect()]
-    assert keep("> 2") == [3.0, None] and keep("!1..2") == [3.0, None] and keep("= 1") == [1.0, None] and keep("huh") == [1.0, 3.0, None] and keep("") == [1.0, 3.0, None]
+    assert keep("> 2") == [3.0, None] and keep("!1..2") == [0.0, 3.0, None] and keep("= 1") == keep("==1") == [1.0, None]
+    assert keep("! 0") == keep("!= 0") == [1.0, 3.0, None] and keep("1..3") == [1.0, 3.0, None]
+    every = [0.0, 1.0, 3.0, None]
+    assert keep("huh") == keep("") == keep(None) == keep("> -1") == keep("> 1.2.3") == every
+    names = spark.createDataFrame([("Test",), ("core",), ("!x",), (None,)], "x string")
+    match = lambda p: [r.x for r in names.where(filters.match_regex(F.col("x"), p)).collect()]
+    assert match("test") == ["Test"] and match("!test") == ["core", "!x", None] and match("!!x") == ["Test", "core", None]
+    assert match("(") == match("") == match("!") == match("(?P<n>a)") == ["Test", "core", "!x", None]  # not a pattern where it runs
+    assert filters.parse_filters("[{") == [] and filters.parse_filters('[{"kind": "dim"}]') == [{"kind": "dim"}]
+
+
+def test_paths_of_folders(spark):
+    from symgrid.functions import scalars
+
+    df = spark.createDataFrame([("a/b/c.py",), ("b/c.py",), ("c.py",), ("/x",), ("a//b/c",), ("",), (None,)], "p string")
+    got = [tuple(r) for r in df.select(scalars.dirname(F.col("p")), scalars.dirdir(F.col("p"))).collect()]
+    assert got == [("a/b", "a/b"), ("b", "b"), (".", "."), ("/", "/"), ("a//b", "a/b"), (None, None), (None, None)]
+
+
+def test_formats_and_addresses(spark):
+    from symgrid.functions import scalars
+
+    df = spark.createDataFrame([(0.4214,), (0.0012,), (0.0,), (2.5,), (None,)], "x double")
+    got = [tuple(r) for r in df.select(*[scalars.format_measure(F.col("x"), k) for k in ("ratio", "float", "int")]).collect()]
+    assert got == [("42.1%", "0.421", "0"), ("0.1%", "1.20e-3", "0"), ("0.0%", "0.000", "0"), ("250.0%", "2.500", "3"), (None, None, None)]
+    assert scalars.compare_url("https://h/o/p/", "p@a", "p@b") == "https://h/o/p/compare/a...b"
+    assert scalars.compare_url("https://h/o/p", "p", "p@b").endswith("HEAD...b") and scalars.compare_url("https://h", "p@a", "q@a") is None
+    assert df.limit(1).select(scalars.blend_colours("#000000", "#ff8000", F.lit(0.5))).first()[0] == "#804000"
+    assert [s["arrow"] for s in scalars.steps(3)] == [8, 6, 4] and scalars.steps(1)[0]["colour"] == "rgb(255,149,0)"
+    assert scalars.parse_symbol("a::b::c") == ("a", "b::c")
+
+
+def test_rank_statistics(spark):
+    from symgrid.operators import statistics
+
+    rng = random.Random(11)
+    data = [(rng.choice([0.0, 1.0, 2.0, rng.random()]), rng.choice([0.0, 1.0, rng.random()]), rng.randint(0, 1)) for _ in range(200)] + [(None, 1.0, 1), (float("nan"), 1.0, 0)]
+    df = spark.createDataFrame(data, "a double, b double, l int").repartition(5)
+    ok = [x for x in data if x[0] is not None and x[0] == x[0]]
+
+    def ranks(v):
+        s = sorted(v)
+        return [(s.index(x) + 1 + len(s) - s[::-1].index(x)) / 2 for x in v]
+
+    import numpy as np
+
+    want = np.corrcoef(ranks([x[0] for x in ok]), ranks([x[1] for x in ok]))[0, 1]
+    assert statistics.spearman(df, "a", "b").first().rho == pytest.approx(want)
+    u = sum((x[0] > y[0]) + 0.5 * (x[0] == y[0]) for x in ok for y in ok if x[2] == 1 and y[2] == 0)
+    assert statistics.mann_whitney(df, "a", "l").first().u == pytest.approx(u)
+    assert statistics.mann_whitney(df.limit(0), "a", "l").first().u is None
+
+
+def test_components_and_projection(spark):
+    import numpy as np
+
+    from symgrid.operators import statistics
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3)) @ np.array([[3, 1, 0], [0, 1, 0.2], [0, 0, 0.5]])
+    rows = [("r", f"h{i}", "n", "m", *map(float, r), 7.0) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "repo_id string, hash string, name string, module string, a double, b double, c double, d double")
+    got = statistics.principal_components(df, 2, list("abcd"))
+    z = (x - x.mean(0)) / x.std(0)
+    values = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1]
+    assert got["dropped"] == ["d"] and got["explained"] == pytest.approx((values / values.sum())[:2].tolist())
+    scores = np.array([r.scores for r in got["scores"].orderBy("hash").collect()])
+    order = np.argsort([f"h{i}" for i in range(60)])
+    w = np.array([[got["loadings"][k][c] for c in "abc"] for k in range(2)])
+    assert scores == pytest.approx(z[order] @ w.T, abs=1e-3)
+    flat = statistics.projection(df, "tsne", list("abcd"), perplexity=10)
+    assert flat.count() == 60 and flat.select("x", "y").distinct().count() == 60
+    with pytest.raises(ValueError):
+        statistics.projection(df, "tsne", list("abcd"), most=10)
+    with pytest.raises(ValueError):
+        statistics.principal_components(df.limit(1), 2, list("abcd"))
 
 
 def test_queries_without_optional_package():
