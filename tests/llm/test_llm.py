@@ -185,13 +185,45 @@ def test_garbled_found_and_restored(spark):
     bad[3000] = (clean[30], clean[30].replace("ü", "�", 1) if "ü" in clean[30] else "x�")
     data = [(i, t) for i, t in enumerate(clean)] + [(i, g) for i, (_, g) in bad.items()] + [(5000, None), (5001, ""), (5002, "We quote \\verb|Ã©| only: größe"), (5003, "ascii")]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("k", F.lit(0))
-    got = {r.doc_id: r.restored for r in garbled.find(df, restored=True).collect()}
-    assert got.keys() == bad.keys()
+    rows_ = garbled.find(df, restored=True).collect()
+    got = {r.doc_id: r.restored for r in rows_}
+    assert got.keys() == bad.keys() == {r.doc_id for r in garbled.find(df).collect()}
+    assert {r.doc_id for r in rows_ if r.kind == "lost"} == {3000}
+    assert got[3000] == bad[3000][0] or "ü" not in bad[3000][0]  # from the line of its copy
     whole = [i for i in bad if i < 2000]
     assert sum(got[i] == bad[i][0] for i in whole) >= len(whole) - 1
     assert rows(garbled.find(df.limit(0))) == []
 
 
+def test_mappings_that_no_encoding_explains_are_learned(spark):
+    clean = _corpus()
+    odd = str.maketrans({"ö": "Ⴆ", "ü": "Ⴇ", "ß": "Ⴈ", "ä": "Ⴉ"})
+    bad = {1000 + i: clean[i].translate(odd) for i in range(8)}
+    unseen = clean[20].replace("natürlich", "Ⴇberall", 1) if "natürlich" in clean[20] else "Ⴇber"
+    data = list(enumerate(clean)) + list(bad.items()) + [(2000, unseen)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    known = garbled.learn(df)
+    assert {"Ⴆ": "ö", "Ⴇ": "ü"}.items() <= known.mappings.items()
+    got = {r.doc_id: r.restored for r in garbled.find(df, restored=True).collect()}
+    assert got.keys() == bad.keys() | {2000} and all(got[i] == clean[i - 1000] for i in bad)
+
+
+def test_characters_that_stand_for_many_are_losses(spark):
+    clean = _corpus()
+    data = list(enumerate(clean)) + [(1000 + i, clean[i].translate(str.maketrans(dict.fromkeys("öüßä", "Ⴟ")))) for i in range(10)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert garbled.learn(df).lost == {"Ⴟ", "\ufffd"}
+    got = {r.doc_id: (r.kind, r.restored) for r in garbled.find(df, restored=True).collect()}
+    assert got == {1000 + i: ("lost", clean[i]) for i in range(10)}
+
+
+def test_patch_needs_runs_that_correspond():
+    lost = frozenset("\ufffd")
+    assert garbled.patch("a\ufffdb é", "\ufffd\x00é", "ö\x00é", lost) == "aöb é"
+    assert garbled.patch("a\ufffdb é", "\ufffd\x00é", "ö\x00è", lost) == "a\ufffdb é"
+    assert garbled.patch("a\ufffdb", "\ufffd", "ö\x00è", lost) == "a\ufffdb"
+
+
 def test_explain_tells_steps():
     assert garbled.Step("cp1252", "utf-8") in garbled.explain("Ã©", "é")
     assert garbled.Step("cp1252", "utf-8") in garbled.explain("ÃƒÂ©", "é")
