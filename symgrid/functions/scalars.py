@@ -62,8 +62,9 @@ def utility(transitive_callers: Column, module_fan_in: Column) -> Column:
 
 
 def parse_repo_url(url: str) -> dict[str, str] | None:
-    """Owner, repository and, where there is one, branch or tag of a repository's web address."""
-    m = re.match(r"^(?:https?://)?(?:www\.)?[\w.-]+/(?P<owner>[\w.-]+)/(?P<repo>[\w.-]+?)(?:\.git)?(?:/tree/(?P<ref>[^?#]+))?/?(?:[?#].*)?$", url.strip())
+    """Owner, repository and, where there is one, the branch, tag or commit of a repository's web address; None for others."""
+    page = r"(?:/(?:tree|commit|blob)/(?P<ref>[^/\s?#]+))?"
+    m = re.fullmatch(rf"https?://(?:www\.)?[\w.-]+/(?P<owner>[^/\s]+)/(?P<repo>[^/\s?#]+?)(?:\.git)?{page}", url.strip().rstrip("/"))
     return {k: v for k, v in m.groupdict().items() if v} if m else None
 
 

@@ -174,9 +174,10 @@ class Diff:
         Each dimension is compared with the edges of the earlier export over the same one.
         """
         key = [*_PAIR, "source", "target"]
-        edges = explore.induced_edges(dimension)
+        both = Explore(self.c, [dimension], [], explore.kinds)  # the view may show one export only
+        edges = both.induced_edges(dimension)
         base = self.side("repo_a", edges).select(*key, F.lit(True).alias("old"))
-        ends = Explore(explore.catalog, [dimension], [], explore.kinds).rows().select("repo_id", symbol(C("module"), C("name")).alias("symbol"), C("d_0").alias("group"))
+        ends = both.rows().select("repo_id", symbol(C("module"), C("name")).alias("symbol"), C("d_0").alias("group"))
         changed = self.status.where(C("status") != "unchanged").select(*_PAIR, "symbol")
         groups = self.side("repo_b", ends).unionByName(self.side("repo_a", ends)).join(changed, [*_PAIR, "symbol"], "left_semi").select(*_PAIR, "group").distinct()
         groups = keep(groups, "changed-groups")
