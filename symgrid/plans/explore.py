@@ -174,7 +174,7 @@ class Explore:
     kinds: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        c = self.catalog
+        c, self.asked = self.catalog, list(self.dimensions)
         ok = lambda d: (d in DIMENSIONS and (d not in ENRICHED or c.has_features) and (d not in NEEDS_SCHEMA or c.has_schema)) or (":" in d and d.split(":")[0] in BUCKETS and d.split(":")[1] in MODES and (c.has_features or not BUCKETS[d.split(":")[0]][1]))
         self.dimensions = [d for d in self.dimensions if ok(d)]
         self.measures = [m for m in self.measures if (p := parse_measure(m)) and (c.has_features or not (FIELDS[p[0]][2] if p[1] else SPECIALS[p[0]][2]))]
@@ -279,7 +279,7 @@ class Explore:
 
     def envelope(self) -> Pivot:
         """All that a pivot view shows; symbols where no dimension or only the symbol is asked for."""
-        by_symbol = self.dimensions in ([], ["symbol"])
+        by_symbol = self.asked in ([], ["symbol"])
         rows = self.symbols() if by_symbol else self.ordered_tree() if self.dimensions and self.measures else None
         none = lambda: self.induced_edges("")
         return Pivot(
