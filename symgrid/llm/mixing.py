@@ -43,23 +43,27 @@ def budgets(tokens: DataFrame, targets: DataFrame, total: float | None = None) -
 def thresholds(placed: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, below): the place below which records of each source fit into its rest; the next record would exceed it.
 
-    Each level sums the tokens of 1024 buckets of the boundary bucket of each source that is still open.
+    Each level sums the tokens of 1024 buckets of the boundary bucket of each source that is still open. A source is
+    settled once its boundary bucket has records at one place only, as its threshold lies before them then.
     """
     open_ = keep(plan.where(F.col("available") > 0).select("source", F.lit(0).cast("long").alias("lo"), "rest"), "open")
     closed = None
     for level in range(BITS // LEVEL_BITS):
         width = BITS - LEVEL_BITS * (level + 1)
         inside = placed.join(small(open_), "source").where(F.shiftright("place", width + LEVEL_BITS) == F.shiftright("lo", width + LEVEL_BITS))
-        buckets = inside.groupBy("source", "rest", F.shiftright("place", width).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        sums = [F.sum("n_tokens").alias("n"), F.min("place").alias("first"), F.max("place").alias("last")]
+        buckets = inside.groupBy("source", "rest", F.shiftright("place", width).alias("bucket")).agg(*sums)
         # at most 1024 buckets a source
         upto = buckets.withColumn("end", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")))
-        first = F.min(F.when(F.col("end") > F.col("rest"), F.struct("bucket", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))))
-        found = upto.groupBy("source").agg(first.alias("b"))
+        boundary = F.struct("bucket", (F.col("rest") - F.col("end") + F.col("n")).alias("left"), "first", "last")
+        found = upto.groupBy("source").agg(F.min(F.when(F.col("end") > F.col("rest"), boundary)).alias("b"))
         old, state = open_, keep(open_.select("source").join(found, "source", "left").select("source", "b"), "level")
         # without a boundary all records fit
-        part = state.where(F.col("b").isNull()).select("source", F.lit(1 << BITS).cast("long").alias("below"))
+        below = F.when(F.col("b").isNull(), F.lit(1 << BITS).cast("long")).when(F.col("b.first") == F.col("b.last"), F.col("b.first"))
+        part = state.select("source", below.alias("below")).where(F.col("below").isNotNull())
         closed = part if closed is None else closed.unionByName(part)
-        open_ = keep(state.where(F.col("b").isNotNull()).select("source", F.shiftleft(F.col("b.bucket"), width).alias("lo"), F.col("b.left").alias("rest")), "open")
+        more = state.where(F.col("b.first") < F.col("b.last")).select("source", F.shiftleft(F.col("b.bucket"), width).alias("lo"), F.col("b.left").alias("rest"))
+        open_ = keep(more, "open")
         forget(old)
         if not open_.limit(1).count():
             break
