@@ -221,11 +221,6 @@ def cycle_totals(c):
     return A.cycle_totals(A.cycles(c))
 
 
-@query()
-def centrality(c):
-    return A.centrality(c)
-
-
 @query(f"""{_CYCLES}, {_FANIN}, t1 AS (SELECT repo_id, 1 AS step, row_number() OVER (PARTITION BY repo_id ORDER BY row_no) AS place, 'unexpected_coupling' AS type, CASE WHEN calling_module_count >= 8 THEN 'high' ELSE 'medium' END AS severity, hash AS subject, calling_module_count AS n, module AS detail FROM ({_high(5, 100)}) WHERE coalesce(module, '') <> 'core' QUALIFY place <= 3),
 tr AS (SELECT repo_id, module, sum(ca) AS ca, sum(ce) AS ce FROM (SELECT repo_id, callee_module AS module, edge_count AS ca, 0 AS ce FROM me UNION ALL SELECT repo_id, caller_module, 0, edge_count FROM me) GROUP BY ALL),
 t2 AS (SELECT repo_id, 2, 1, 'unstable_module', 'medium', module, CAST(ca + ce AS BIGINT), CAST(round_even(ce / (ca + ce), 2) AS VARCHAR) FROM tr WHERE ca > 5 AND ce / (ca + ce) > 0.65 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ca + ce DESC, module) = 1),

@@ -131,15 +131,30 @@ def hits(c):
     return graph.hits(*_graph(c)).select("repo_id", "node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
-@query()
+#: Distances from each symbol, shortest ways by level, and what they give back from the farthest level on.
+_BC = """dist(repo_id, s, node, d) USING KEY (repo_id, s, node) AS (SELECT repo_id, hash, hash, 0 FROM n
+  UNION SELECT x.repo_id, x.s, ed.dst, min(x.d) + 1 FROM dist x JOIN ed ON ed.repo_id = x.repo_id AND ed.src = x.node WHERE NOT EXISTS (SELECT 1 FROM recurring.dist r WHERE r.repo_id = x.repo_id AND r.s = x.s AND r.node = ed.dst) GROUP BY x.repo_id, x.s, ed.dst),
+down AS (SELECT a.repo_id, a.s, a.node AS v, b.node AS w, b.d FROM dist a JOIN ed ON ed.repo_id = a.repo_id AND ed.src = a.node JOIN dist b ON b.repo_id = a.repo_id AND b.s = a.s AND b.node = ed.dst AND b.d = a.d + 1),
+sig AS (SELECT repo_id, s, node, d, 1.0::DOUBLE AS p FROM dist WHERE d = 0 UNION ALL SELECT x.repo_id, x.s, down.w, max(down.d), sum(x.p) FROM sig x JOIN down ON down.repo_id = x.repo_id AND down.s = x.s AND down.v = x.node GROUP BY x.repo_id, x.s, down.w),
+far AS (SELECT max(d) AS most FROM sig),
+bk AS (SELECT repo_id, s, node, d, p, 0.0::DOUBLE AS delta FROM sig, far WHERE d = most
+  UNION ALL SELECT g.repo_id, g.s, g.node, g.d, g.p, coalesce(g.p * c.share, 0) FROM sig g JOIN (SELECT max(d) - 1 AS d FROM bk) l ON l.d = g.d LEFT JOIN (SELECT down.repo_id, down.s, down.v, sum((1 + x.delta) / x.p) AS share FROM bk x JOIN down ON down.repo_id = x.repo_id AND down.s = x.s AND down.w = x.node GROUP BY ALL) c ON c.repo_id = g.repo_id AND c.s = g.s AND c.v = g.node WHERE g.d > 0),
+bc AS (SELECT n.repo_id, n.hash AS node, round(CASE WHEN z.k > 2 THEN coalesce(b, 0) / ((z.k - 1) * (z.k - 2)) ELSE 0 END, 6) AS score FROM n JOIN (SELECT repo_id, count(*) AS k FROM n GROUP BY 1) z ON z.repo_id = n.repo_id
+  LEFT JOIN (SELECT repo_id, node, sum(delta) AS b FROM bk WHERE node <> s GROUP BY ALL) q ON q.repo_id = n.repo_id AND q.node = n.hash)"""
+
+
+@query(f", {_BC} SELECT repo_id, node, score FROM bc")
 def betweenness(c):
     return graph.betweenness(*_graph(c))
 
 
-@query("""SELECT d.repo_id, d.node, coalesce(t, 0) AS triangles, degree, round(CASE WHEN degree > 1 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END, 4) AS coefficient FROM (
+_TRIANGLES = """tr AS (SELECT d.repo_id, d.node, coalesce(t, 0) AS triangles, degree, round(CASE WHEN degree > 1 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END, 4) AS coefficient FROM (
 SELECT repo_id, node, count(*) AS degree FROM (SELECT DISTINCT repo_id, src AS node, dst AS other FROM ed WHERE src <> dst UNION SELECT DISTINCT repo_id, dst, src FROM ed WHERE src <> dst) GROUP BY ALL) d LEFT JOIN (
 SELECT repo_id, node, CAST(count(*) AS BIGINT) AS t FROM (WITH u AS (SELECT DISTINCT repo_id, least(src, dst) AS a, greatest(src, dst) AS b FROM ed WHERE src <> dst)
-SELECT x.repo_id, unnest([x.a, x.b, y.b]) AS node FROM u x JOIN u y ON y.repo_id = x.repo_id AND y.a = x.b JOIN u z ON z.repo_id = x.repo_id AND z.a = x.a AND z.b = y.b) GROUP BY ALL) t ON t.repo_id = d.repo_id AND t.node = d.node""")
+SELECT x.repo_id, unnest([x.a, x.b, y.b]) AS node FROM u x JOIN u y ON y.repo_id = x.repo_id AND y.a = x.b JOIN u z ON z.repo_id = x.repo_id AND z.a = x.a AND z.b = y.b) GROUP BY ALL) t ON t.repo_id = d.repo_id AND t.node = d.node)"""
+
+
+@query(f", {_TRIANGLES} SELECT * FROM tr")
 def clustering(c):
     return graph.clustering(c.edges_distinct)
 
@@ -170,6 +185,32 @@ def enrich(c):
     return A.enrich(c)
 
 
+@query(f"""{_DAG}, {_DEPTH.format(name='down_', at='src', to='dst')}, {_DEPTH.format(name='up_', at='dst', to='src')},
+ce AS (SELECT repo_id, node, CAST(size AS DOUBLE) AS k FROM sup UNION ALL SELECT ce.repo_id, dag.src, sum(k) FROM ce JOIN dag ON dag.repo_id = ce.repo_id AND dag.dst = ce.node GROUP BY ce.repo_id, dag.src),
+cr AS (SELECT repo_id, node, CAST(size AS DOUBLE) AS k FROM sup UNION ALL SELECT cr.repo_id, dag.dst, sum(k) FROM cr JOIN dag ON dag.repo_id = cr.repo_id AND dag.src = cr.node GROUP BY cr.repo_id, dag.dst),
+ps AS (SELECT part.repo_id, scc, count(*) AS size, CAST(count(DISTINCT coalesce('m' || module, '')) > 1 AS INTEGER) AS several FROM part JOIN n ON n.repo_id = part.repo_id AND n.hash = part.node GROUP BY ALL)
+SELECT n.repo_id, n.hash, coalesce(ps.scc, n.hash) AS scc, coalesce(ps.size, 1) AS scc_size, coalesce(several, 0) AS scc_cross_module, coalesce((SELECT max(d) FROM down_ WHERE down_.repo_id = n.repo_id AND down_.node = ps.scc), 0) AS topological_depth, coalesce((SELECT max(d) FROM up_ WHERE up_.repo_id = n.repo_id AND up_.node = ps.scc), 0) AS reverse_topological_depth,
+coalesce((SELECT sum(k) - 1 FROM cr WHERE cr.repo_id = n.repo_id AND cr.node = ps.scc), 0) AS transitive_callers, coalesce((SELECT sum(k) - 1 FROM ce WHERE ce.repo_id = n.repo_id AND ce.node = ps.scc), 0) AS transitive_callees
+FROM n LEFT JOIN part ON part.repo_id = n.repo_id AND part.node = n.hash LEFT JOIN ps ON ps.repo_id = n.repo_id AND ps.scc = part.scc""")
+def reach_signals(c):
+    names = ["repo_id", "hash", "scc", "scc_size", "scc_cross_module", "topological_depth", "reverse_topological_depth", "transitive_callers", "transitive_callees"]
+    return A.enrich(c).select(*names)
+
+
+@query(f""", {_PR}, {_HITS}, {_TRIANGLES}, {_BC} SELECT n.repo_id, n.hash, bc.score AS betweenness_centrality, round(pr.rank, 6) AS pagerank, round(ht.hub, 6) AS hub_score, round(ht.auth, 6) AS authority_score, coalesce(tr.coefficient, 0) AS clustering_coeff
+FROM n JOIN bc ON bc.repo_id = n.repo_id AND bc.node = n.hash JOIN (SELECT * FROM pr QUALIFY i = max(i) OVER (PARTITION BY repo_id)) pr ON pr.repo_id = n.repo_id AND pr.node = n.hash JOIN (SELECT * FROM ht QUALIFY i = max(i) OVER (PARTITION BY repo_id)) ht ON ht.repo_id = n.repo_id AND ht.node = n.hash
+LEFT JOIN tr ON tr.repo_id = n.repo_id AND tr.node = n.hash""")
+def score_signals(c):
+    return A.enrich(c).select("repo_id", "hash", "betweenness_centrality", "pagerank", "hub_score", "authority_score", "clustering_coeff")
+
+
+@query(f""", {_BC}, zn AS (SELECT repo_id, count(*) AS k FROM n GROUP BY 1), dg AS (SELECT repo_id, dst AS node, count(*) AS i FROM ed GROUP BY ALL), cs AS (SELECT bc.repo_id, bc.node, CASE WHEN zn.k > 2000 THEN round(coalesce(i / max(i) OVER (PARTITION BY bc.repo_id), 0), 6) ELSE score END AS score
+FROM bc JOIN zn ON zn.repo_id = bc.repo_id LEFT JOIN dg ON dg.repo_id = bc.repo_id AND dg.node = bc.node) SELECT cs.repo_id, CAST(row_number() OVER (PARTITION BY cs.repo_id ORDER BY score DESC, cs.node) AS INTEGER) AS row_no, hash, name, module, file_path, caller_count, callee_count, risk, round_even(score, 4) AS centrality
+FROM cs JOIN n ON n.repo_id = cs.repo_id AND n.hash = cs.node QUALIFY row_no <= 30""")
+def centrality(c):
+    return A.centrality(c)
+
+
 # communities
 
 

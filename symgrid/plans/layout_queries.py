@@ -91,6 +91,39 @@ def layout_crossings(c):
     return found.select("scenario", _whole("edge_crossing_count"), F.round("edge_crossings", 6).alias("edge_crossings"))
 
 
+_LINKS = f"""{_PLACED}, g AS (SELECT scenario, id, grp, x, y, r FROM pl), md AS (SELECT scenario, grp, avg(x) AS cx, avg(y) AS cy FROM g GROUP BY ALL),
+un AS (SELECT DISTINCT le.scenario, unnest([source, target]) AS v, unnest([target, source]) AS w FROM le JOIN g a ON a.scenario = le.scenario AND a.id = source JOIN g b ON b.scenario = le.scenario AND b.id = target),
+hn AS (SELECT un.scenario, v, any_value(a.x) AS x, any_value(a.y) AS y, avg(b.x) AS mx, avg(b.y) AS my, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS far, count(*) AS k FROM un JOIN g a ON a.scenario = un.scenario AND a.id = v JOIN g b ON b.scenario = un.scenario AND b.id = w WHERE a.grp = b.grp GROUP BY un.scenario, v HAVING count(*) >= 3),
+hub AS (SELECT scenario, count(*) AS hubs, avg(CASE WHEN far > 0 THEN sqrt((x - mx) ** 2 + (y - my) ** 2) / far ELSE 0 END) AS err FROM hn GROUP BY 1),
+an AS (SELECT le.scenario, source AS v, atan2(b.y - a.y, b.x - a.x) AS t FROM le JOIN g a ON a.scenario = le.scenario AND a.id = source JOIN g b ON b.scenario = le.scenario AND b.id = target UNION ALL SELECT le.scenario, target, atan2(a.y - b.y, a.x - b.x) FROM le JOIN g a ON a.scenario = le.scenario AND a.id = source JOIN g b ON b.scenario = le.scenario AND b.id = target),
+aw AS (SELECT scenario, v, degrees(coalesce(lead(t) OVER (PARTITION BY scenario, v ORDER BY t) - t, min(t) OVER (PARTITION BY scenario, v) - t + 2 * pi())) AS turn, count(*) OVER (PARTITION BY scenario, v) AS k FROM an),
+am AS (SELECT scenario, min(least_) AS min_angle, avg(least_) AS avg_min_angle, count(*) FILTER (least_ < 15) AS poor FROM (SELECT scenario, v, min(turn) AS least_ FROM aw WHERE k > 1 GROUP BY ALL) GROUP BY 1),
+co AS (SELECT le.scenario, least(a.grp, b.grp) AS p, greatest(a.grp, b.grp) AS q, count(*) AS w FROM le JOIN g a ON a.scenario = le.scenario AND a.id = source JOIN g b ON b.scenario = le.scenario AND b.id = target WHERE a.grp <> b.grp GROUP BY ALL),
+cl AS (SELECT co.*, a.cx AS x1, a.cy AS y1, b.cx - a.cx AS dx, b.cy - a.cy AS dy, row_number() OVER (ORDER BY co.scenario, p, q) AS no FROM co JOIN md a ON a.scenario = co.scenario AND a.grp = p JOIN md b ON b.scenario = co.scenario AND b.grp = q),
+cp AS (SELECT a.scenario, a.w + b.w AS w, ((b.x1 - a.x1) * b.dy - (b.y1 - a.y1) * b.dx) / nullif(a.dx * b.dy - a.dy * b.dx, 0) AS t, ((b.x1 - a.x1) * a.dy - (b.y1 - a.y1) * a.dx) / nullif(a.dx * b.dy - a.dy * b.dx, 0) AS u FROM cl a JOIN cl b ON b.scenario = a.scenario AND a.no < b.no AND a.p <> b.p AND a.p <> b.q AND a.q <> b.p AND a.q <> b.q),
+cc AS (SELECT scenario, count(*) FILTER (t > 0.01 AND t < 0.99 AND u > 0.01 AND u < 0.99) AS k, coalesce(sum(CASE WHEN t > 0.01 AND t < 0.99 AND u > 0.01 AND u < 0.99 THEN w END), 0) / sum(w) AS ratio FROM cp GROUP BY 1),
+rr AS (SELECT g.scenario, g.grp, greatest(20, max(sqrt((x - cx) ** 2 + (y - cy) ** 2) + r + 8)) AS rad FROM g JOIN md ON md.scenario = g.scenario AND md.grp = g.grp GROUP BY ALL),
+bl AS (SELECT scenario, no, w, bool_or(grp NOT IN (p, q) AND t BETWEEN 0.15 AND 0.85 AND sqrt((cx - x1 - t * dx) ** 2 + (cy - y1 - t * dy) ** 2) < rad + 25) AS blocked FROM (SELECT cl.*, md.grp, md.cx, md.cy, rad, greatest(0, least(1, ((md.cx - x1) * dx + (md.cy - y1) * dy) / (dx * dx + dy * dy))) AS t FROM cl JOIN md ON md.scenario = cl.scenario JOIN rr ON rr.scenario = md.scenario AND rr.grp = md.grp) GROUP BY ALL),
+br AS (SELECT scenario, count(*) FILTER (blocked) AS blocked, 1 - coalesce(sum(CASE WHEN blocked THEN w END), 0) / sum(w) AS ratio FROM bl GROUP BY 1)
+SELECT s.scenario, coalesce(hubs, 0) AS hubs, round(coalesce(err, 0), 5) AS hub_centrality_error, round(coalesce(min_angle, 180), 4) AS min_angle, round(coalesce(avg_min_angle, 180), 4) AS avg_min_angle, coalesce(poor, 0) AS poor_angles, coalesce(k, 0) AS corridor_crossings, round(coalesce(cc.ratio, 0), 6) AS inter_module_crossings, coalesce(blocked, 0) AS blocked_corridors, round(coalesce(br.ratio, 1), 6) AS blob_edge_routing
+FROM (SELECT DISTINCT scenario FROM g) s LEFT JOIN hub ON hub.scenario = s.scenario LEFT JOIN am ON am.scenario = s.scenario LEFT JOIN cc ON cc.scenario = s.scenario LEFT JOIN br ON br.scenario = s.scenario"""
+_LINKED = {"hubs": None, "hub_centrality_error": 5, "min_angle": 4, "avg_min_angle": 4, "poor_angles": None, "corridor_crossings": None, "inter_module_crossings": 6, "blocked_corridors": None, "blob_edge_routing": 6}
+
+
+@query(f", {_LINKS}")
+def layout_links(c):
+    found = layout.facts(*_drawn(c))
+    return found.select("scenario", *[_whole(k) if d is None else F.round(k, d).alias(k) for k, d in _LINKED.items()])
+
+
+@query(f""", {_PLACED}, un AS (SELECT DISTINCT le.scenario, unnest([source, target]) AS v, unnest([target, source]) AS w FROM le JOIN pl a ON a.scenario = le.scenario AND a.id = source JOIN pl b ON b.scenario = le.scenario AND b.id = target),
+steps(scenario, s, node, d) USING KEY (scenario, s, node) AS (SELECT scenario, id, id, 0 FROM pl UNION SELECT x.scenario, x.s, un.w, min(x.d) + 1 FROM steps x JOIN un ON un.scenario = x.scenario AND un.v = x.node WHERE NOT EXISTS (SELECT 1 FROM recurring.steps r WHERE r.scenario = x.scenario AND r.s = x.s AND r.node = un.w) GROUP BY x.scenario, x.s, un.w),
+st AS (SELECT a.scenario, a.grp = b.grp AS within, ((sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - d * 120) / (d * 120)) ** 2 AS e FROM steps JOIN pl a ON a.scenario = steps.scenario AND a.id = s JOIN pl b ON b.scenario = steps.scenario AND b.id = node WHERE d > 0 AND s < node)
+SELECT s.scenario, round(coalesce(all_, 0), 5) AS global_stress, round(coalesce(own, 0), 5) AS layout_stress FROM (SELECT DISTINCT scenario FROM pl) s LEFT JOIN (SELECT scenario, avg(e) AS all_, avg(CASE WHEN within THEN e END) AS own FROM st GROUP BY 1) t ON t.scenario = s.scenario""")
+def layout_stress(c):
+    return layout.facts(*_drawn(c)).select("scenario", *[F.round(k, 5).alias(k) for k in ("global_stress", "layout_stress")])
+
+
 @query()
 def layout_measurements(c):
     return layout.facts(*_drawn(c)).drop("degrees", "edge_angles", "points", "chain_points")
