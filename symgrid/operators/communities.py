@@ -201,13 +201,19 @@ def dominant(label: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 class Report:
-    """Communities of two symbols or more: themselves, the calls between them, symbols that live elsewhere, totals."""
+    """Communities of two symbols or more: themselves, the calls between them, symbols that live elsewhere, totals.
 
-    def __init__(self, c: Catalog, resolution: float = 1.0) -> None:
-        edges = c.call_rows.select("repo_id", "src", "dst", F.explode(F.sequence(F.lit(1), C("n").cast("int"))).alias("i")).drop("i")
-        self.edges = keep(edges, "edges")
+    The division is that of ``louvain`` or a given one, ``label``: (repo_id, node, community).
+    """
+
+    def __init__(self, c: Catalog, resolution: float = 1.0, label: DataFrame | None = None) -> None:
+        # pairs with the number of their edge rows
+        self.calls = keep(c.call_rows.select("repo_id", "src", "dst", "n"), "calls")
         self.about = keep(c.internal_nodes.select("repo_id", C("hash").alias("node"), "name", "module", "file_path"), "about")
-        every = keep(louvain(self.edges, self.about.select(*_KEY), resolution), "communities")
+        if label is None:
+            rows = self.calls.select("repo_id", "src", "dst", F.explode(F.sequence(F.lit(1), C("n").cast("int")))).drop("col")
+            label = louvain(rows, self.about.select(*_KEY), resolution)
+        every = keep(label, "communities")
         self.modules = self.about.select(*_KEY, "module")
         self.sized = keep(dominant(every, self.modules).where(C("size") > 1), "sizes")
         self.label = keep(every.join(self.sized.select("repo_id", "community"), ["repo_id", "community"], "left_semi"), "labels")
@@ -224,8 +230,8 @@ class Report:
     def links(self) -> DataFrame:
         """(repo_id, a, b, count, weight): edge rows between two communities, a < b, and their share of the greatest number."""
         of = lambda end: self.label.select("repo_id", C("node").alias(end), C("community").alias(f"c_{end}"))
-        e = self.edges.join(of("src"), ["repo_id", "src"]).join(of("dst"), ["repo_id", "dst"]).where(C("c_src") != C("c_dst"))
-        n = e.groupBy("repo_id", F.least("c_src", "c_dst").alias("a"), F.greatest("c_src", "c_dst").alias("b")).agg(F.count(F.lit(1)).alias("count"))
+        e = self.calls.join(of("src"), ["repo_id", "src"]).join(of("dst"), ["repo_id", "dst"]).where(C("c_src") != C("c_dst"))
+        n = e.groupBy("repo_id", F.least("c_src", "c_dst").alias("a"), F.greatest("c_src", "c_dst").alias("b")).agg(F.sum("n").alias("count"))
         n = keep(n, "links")
         most = n.groupBy("repo_id").agg(F.max("count").alias("most"))
         return n.join(small(most), "repo_id").select("repo_id", "a", "b", "count", F.bround(C("count") / C("most"), 3).alias("weight"))

@@ -215,23 +215,41 @@ def centrality(c):
 
 
 @query()
-def communities(c):
+def louvain(c):
+    """The report on the communities that are found here."""
     return K.Report(c).communities()
 
 
-@query()
+_LABELS = """lb AS (SELECT n.repo_id, n.hash AS node, CAST(community_id AS VARCHAR) AS c, name, module, file_path FROM n JOIN nf ON nf.repo_id = n.repo_id AND nf.hash = n.hash WHERE community_id >= 0),
+ck AS (SELECT repo_id, c, module, count(*) AS k FROM lb GROUP BY ALL), cz AS (SELECT repo_id, c, CAST(sum(k) AS BIGINT) AS size, first(module ORDER BY k DESC, module NULLS LAST) AS dom, max(k) AS top FROM ck GROUP BY ALL HAVING sum(k) > 1)"""
+
+
+def _report(c: Catalog) -> K.Report:
+    """The report on the communities that came with the features."""
+    given = c.features.where(C("community_id") >= 0).join(c.internal_nodes.select("repo_id", "hash"), ["repo_id", "hash"])
+    return K.Report(c, label=given.select("repo_id", C("hash").alias("node"), C("community_id").cast("string").alias("community")))
+
+
+@query(f""", {_LABELS} SELECT cz.repo_id, CAST(row_number() OVER (PARTITION BY cz.repo_id ORDER BY size DESC, cz.c) AS INTEGER) AS row_no, cz.c AS community, size, dom AS dominant, round_even(top / size, 3) AS purity,
+(SELECT list(coalesce(module, '') || '=' || CAST(k AS VARCHAR) ORDER BY k DESC, module NULLS LAST)[:6] FROM ck WHERE ck.repo_id = cz.repo_id AND ck.c = cz.c) AS top_modules FROM cz""")
+def communities(c):
+    return _report(c).communities()
+
+
+@query(f""", {_LABELS}, cv AS (SELECT lb.* FROM lb JOIN cz ON cz.repo_id = lb.repo_id AND cz.c = lb.c), lc AS (SELECT calls.repo_id, least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, count(*) AS count FROM calls JOIN cv x ON x.repo_id = calls.repo_id AND x.node = caller_hash JOIN cv y ON y.repo_id = calls.repo_id AND y.node = callee_hash WHERE x.c <> y.c GROUP BY ALL)
+SELECT repo_id, a, b, count, round_even(count / max(count) OVER (PARTITION BY repo_id), 3) AS weight FROM lc""")
 def community_links(c):
-    return K.Report(c).links()
+    return _report(c).links()
 
 
-@query()
+@query(f""", {_LABELS} SELECT lb.repo_id, CAST(row_number() OVER (PARTITION BY lb.repo_id ORDER BY coalesce(module, ''), coalesce(name, ''), node) AS INTEGER) AS row_no, node AS hash, name, module AS declared_module, dom AS inferred_module, lb.c AS community, file_path FROM lb JOIN cz ON cz.repo_id = lb.repo_id AND cz.c = lb.c WHERE module IS DISTINCT FROM dom AND 2 * top >= size QUALIFY row_no <= 200""")
 def misaligned_symbols(c):
-    return K.Report(c).misaligned()
+    return _report(c).misaligned()
 
 
-@query()
+@query(f", {_LABELS} SELECT repo_id, count(*) AS community_count, CAST(sum(size) AS BIGINT) AS total_nodes, round_even(sum(top) / sum(size), 3) AS alignment_score FROM cz GROUP BY 1")
 def community_totals(c):
-    return K.Report(c).totals()
+    return _report(c).totals()
 
 
 # patterns

@@ -124,11 +124,6 @@ def layout_stress(c):
     return layout.facts(*_drawn(c)).select("scenario", *[F.round(k, 5).alias(k) for k in ("global_stress", "layout_stress")])
 
 
-@query()
-def layout_measurements(c):
-    return layout.facts(*_drawn(c)).drop("degrees", "edge_angles", "points", "chain_points")
-
-
 @query()
 def layout_orders(c):
     members, edges = _members(c)
