@@ -370,6 +370,28 @@ def _catalog(spark, folder, names, calls, modules=lambda x: x[0]):
     spark.createDataFrame([("r@1", a, b, 1, "call") for a, b in calls], "repo_id string, caller_hash string, callee_hash string, call_count int, edge_kind string").write.parquet(f"{folder}/edges.parquet")
 
 
+def _with(df, *names):
+    """Extra columns with names that operators use themselves."""
+    return df.withColumns({n: F.lit("extra") for n in names if n not in df.columns})
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = _with(spark.createDataFrame([("a", 1), ("a", 3), ("b", None), (None, 2)], "k string, v int"), "key", "value", "n", "band", "total", "rows", "at")
+    assert rows(frequency.profile(frequency.compress(df, "k", "v")).select("key", "n_rows", "n_distinct")) == [("a", 2, 2), ("b", 1, 0)]
+    assert [tuple(r) for r in frequency.percentiles(frequency.compress(df, "k", "v"), [0.5]).collect()] == [("a", 2, 2.0)]
+    nodes = _with(spark.createDataFrame([("r", "a", at(0))], f"repo_id string, hash string, loaded_at {TIME}"), "closed_at", "ref_hash", "n0", "h", "k")
+    snaps = _with(spark.createDataFrame([("r", at(5))], f"repo_id string, closed_at {TIME}"), "hash", "loaded_at")
+    edges = _with(spark.createDataFrame([("r", "a", "b")], "repo_id string, caller_hash string, callee_hash string"), "h", "k", "r", "ref_hash", "n0")
+    inh = _with(spark.createDataFrame([("r", "c")], "repo_id string, parent_hash string"), "h", "k", "child_hash")
+    assert rows(orphans.orphans(edges, inh, nodes, snaps)) == [("edges", "callee_hash", "r", "b", 1), ("inheritance", "parent_hash", "r", "c", 1)]
+    tree = _with(spark.createDataFrame([("r", "b", "a", at(0)), ("r", "s", "s", at(0))], f"repo_id string, child_hash string, parent_hash string, loaded_at {TIME}"), "id", "component", "repo", "node", "repo_key", "path", "child", "parent")
+    for largest in (100, 0):
+        assert {r.hash: r.depth for r in hierarchy.hierarchies(tree, largest).collect()} == {"a": 0, "b": 1, "s": -1}
+    n = _with(spark.createDataFrame([("p@1", "m", "f", "x:1", at(0)), ("p@2", "m", "f", "x:2", at(0))], f"repo_id string, module string, name string, hash string, loaded_at {TIME}"), "entity", "value", "key_1", "chunk", "h", "part", "ord", "project")
+    ex = _with(spark.createDataFrame([("p", f"p@{i}", "complete", at(i)) for i in (1, 2)], f"project string, repo_id string, export_state string, exported_at {TIME}"), "ord", "at", "last")
+    assert rows(snapdiff.changes(snapdiff.node_entries(n), snapdiff.complete_exports(ex))) == [("node", "p@2", "m", "f", "changed")]
+
+
 def test_missing_tables_and_snapshots_are_told(spark, tmp_path):
     from symgrid.sources.catalog import Catalog, RepoNotFound, UnreadableSnapshot
 
