@@ -42,6 +42,38 @@ def test_groups_with_one_hash_stay_apart():
     assert got == [("a", 1, "x"), ("b", 1, "x")]
 
 
+def _with(df, *names):
+    """Extra columns with names that operators use themselves."""
+    return df.withColumns({n: F.lit("extra") for n in names if n not in df.columns})
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = _with(spark.createDataFrame([("a", 1.0, "x"), ("a", 2.0, "y"), (None, 3.0, "z")], "grp string, score double, id string"), "g0", "s", "t", "h", "run", "rank_no", "r", "value", "n", "q", "part")
+    assert rows(topn.top_n(df, ["grp"], "score", "id", 1)) == [("a", 1, "y")]
+    state = percentiles.counts(df, ["grp"], "score")
+    assert rows(percentiles.percentiles(state, ["grp"], [0.5])) == rows(spark.createDataFrame([("a", 2, 0.5, 1.5), (None, 1, 0.5, 3.0)], "grp string, n long, q double, value double"))
+    f = _with(spark.createDataFrame([("r", f"h{i}", 0.1, 0.1, 1.0) for i in range(6)], "repo_id string, hash string, pagerank double, hub_score double, utility_score double"), "computed_at", "item", "n", "x", "y", "z", "group_id", "degree", "probes")
+    assert len({r.group_id for r in clusters.membership(f).collect()}) == 1
+    probes = _with(spark.createDataFrame([(1, "r", "h1"), (2, "r", "h2"), (3, "r", "gone"), (4, None, None)], "probe_id int, repo_id string, hash string"), "item", "n", "probes")
+    assert rows(clusters.probes_together(f, probes)) == [(1, 2)]
+    docs = _with(spark.createDataFrame([(1, "größe"), (2, ""), (3, None), (4, "x\ufffd" * 3)], "doc_id long, text string"), "k", "ids", "key", "kind", "restored", "id", "item", "n", "line")
+    assert {r.doc_id: len(r.ids) for r in tokens.encode(docs).collect()} | {1: 0, 4: 0} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert rows(garbled.find(docs)) == [(4,)] and rows(garbled.find(docs, restored=True)) == [(4, "lost", "x\ufffd" * 3)]
+    t = _with(spark.createDataFrame([(1, "s", 5), (1, "s", 5), (None, "s", 1), (2, None, 3)], "doc_id long, source string, n_tokens long"), "place", "bucket", "rest", "rounds", "below", "available")
+    goal = _with(spark.createDataFrame([("s", 1.0, 1)], "source string, target_weight double, max_repeats int"), "n", "t", "total", "budget", "available")
+    used, shares = mixing.mix(t, goal)
+    assert rows(used) == sorted([(1, "s", 5, 1), (1, "s", 5, 1), (None, "s", 1, 1)], key=repr) and shares.first().share == 1.0
+
+
+def test_very_long_texts(spark):
+    long = ("größe und straße " * 20_000) + "x" * 100_000 + "é" * 50_000
+    bad = long.encode().decode("cp1252", "replace")
+    known = garbled.Knowledge([garbled.Step("cp1252", "utf-8")], {}, frozenset("öße"), {}, frozenset({"\ufffd"}))
+    df = spark.createDataFrame([(1, long), (2, bad)], "doc_id long, text string")
+    assert rows(garbled.find(df, known)) == [(2,)]
+    assert tokens.count(df.where("doc_id = 1"), ["doc_id"]).first().n_tokens == len(tokens.encode(df.where("doc_id = 1")).first().ids) > 50_000
+
+
 def test_loser_tree_merges():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 7, 8):
