@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgrid.functions.scalars import has_load_bearing_word, instability, middleman, module_depth, rollup_module, utility
-from symgrid.operators import communities, graph
+from symgrid.operators import communities, graph, signals
 from symgrid.sources.catalog import EXTERNAL_MODULE, Catalog, internal
 from symgrid.sources.tables import keep, small
 
@@ -369,25 +369,17 @@ def enrich(c: Catalog, pivots: int = 500) -> DataFrame:
     c = c.kept()
     e, nodes = c.edges_distinct, c.internal_nodes.select("repo_id", C("hash").alias("node"))
     key = ["repo_id", "node"]
-    parts = keep(nodes.join(graph.scc(e), key, "left").select(*key, F.coalesce("scc", "node").alias("scc")), "scc")
     mods = c.internal_nodes.select("repo_id", C("hash").alias("node"), "module")
+    own = keep(signals.signals(e, nodes, pivots).join(mods, key), "signals")
     # a null module is one of its own here
     several = F.count_distinct(F.coalesce(F.concat(F.lit("m"), "module"), F.lit(""))) > 1
-    size = keep(parts.join(mods, key).groupBy("repo_id", "scc").agg(F.count(F.lit(1)).alias("scc_size"), several.cast("int").alias("scc_cross_module")), "sizes")
-    dag = keep(graph.condense(e, parts), "dag")
-    supers = size.select("repo_id", C("scc").alias("node"), C("scc_size").alias("size"))
-    up = graph.longest_depth(dag, supers).withColumnRenamed("depth", "topological_depth")
-    down = graph.longest_depth(graph.reverse(dag), supers).withColumnRenamed("depth", "reverse_topological_depth")
-    callees = graph.path_counts(dag, supers).select(*key, (C("n") - 1).alias("transitive_callees"))
-    callers = graph.path_counts(graph.reverse(dag), supers).select(*key, (C("n") - 1).alias("transitive_callers"))
-    of_scc = up.join(down, key).join(callees, key).join(callers, key).withColumnRenamed("node", "scc").join(size, ["repo_id", "scc"])
-    rank = graph.pagerank(e, nodes).select(*key, F.round("rank", 6).alias("pagerank"))
-    hub = graph.hits(e, nodes).select(*key, F.round("hub", 6).alias("hub_score"), F.round("authority", 6).alias("authority_score"))
+    size = own.groupBy("repo_id", "scc").agg(F.count(F.lit(1)).alias("scc_size"), several.cast("int").alias("scc_cross_module"))
     tri = graph.clustering(e).select(*key, C("coefficient").alias("clustering_coeff"))
-    between = graph.betweenness(e, nodes, pivots).withColumnRenamed("score", "betweenness_centrality")
-    label = keep(communities.louvain(communities.unweighted(e), nodes), "labels")
-    home = communities.dominant(label, mods).select("repo_id", "community", C("dominant").alias("community_dominant_mod"))
-    rows = parts.join(of_scc, ["repo_id", "scc"]).join(rank, key).join(hub, key).join(tri, key, "left").join(between, key).join(label, key).join(home, ["repo_id", "community"]).join(mods, key)
+    home = communities.dominant(own.select(*key, "community"), mods).select("repo_id", "community", C("dominant").alias("community_dominant_mod"))
+    rows = own.join(size, ["repo_id", "scc"]).join(tri, key, "left").join(home, ["repo_id", "community"])
+    names = {"rank": "pagerank", "hub": "hub_score", "authority": "authority_score", "score": "betweenness_centrality"}
+    rows = rows.withColumns({x: F.round(x, 6) for x in names}).withColumnsRenamed(names)
+    rows = rows.withColumns({f"transitive_{x}": C(x) - 1 for x in ("callers", "callees")}).drop("callers", "callees")
     rows = rows.withColumnRenamed("node", "hash")
     for more in (boundary_signals(c), complexity_rank(c), simple_signals(c)):
         rows = rows.join(more, ["repo_id", "hash"])

@@ -1,6 +1,6 @@
 """Communities of the undirected call graph by moving nodes for modularity, and reports on them.
 
-Nodes move to the neighbouring community of greatest gain, half of them at a time (by a bit of their hash), until two
+Nodes move to the neighbouring community of greatest gain, half of them at a time (by a bit of their place), until two
 sweeps in a row move none; the division of greatest modularity counts. Communities then become nodes and the same is
 done again, until nothing joins. Scores are whole numbers times the resolution, so both ways, in one task and by joins,
 take the same decisions.
@@ -19,8 +19,8 @@ from symgrid.sources.tables import forget, keep, small
 
 C = F.col
 _KEY = ["repo_id", "node"]
-#: Sweeps of a level and levels at most; bits of a node's hash that say in which sweeps it may move.
-SWEEPS, LEVELS, BITS = 40, 20, 40
+#: Sweeps of a level and levels at most.
+SWEEPS, LEVELS = 40, 20
 
 
 def unweighted(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,6 @@ def unweighted(edges: DataFrame) -> DataFrame:
     return edges.select("repo_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def _bits(node: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(7), node), F.lit(1 << BITS))
-
-
 def _move(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, degree: np.ndarray, label: np.ndarray, may: np.ndarray, twice: float, resolution: float) -> np.ndarray:
     """One sweep: the labels after the nodes that may move have moved. a, b, w: links both ways without loops."""
     size = np.bincount(label, degree, n)
@@ -74,7 +70,7 @@ def louvain_in_memory(names: list[str], src: np.ndarray, dst: np.ndarray, bits:
         label, best, still = np.arange(n), np.arange(n), 0
         top = _quality(a, b, ww, loops, degree, label, twice, resolution)
         for sweep in range(SWEEPS):
-            may = (bits.astype(np.int64) >> (sweep % BITS)) & 1 == 1
+            may = (bits.astype(np.int64) >> (sweep % local.BITS)) & 1 == 1
             new = _move(n, a, b, ww, degree, label, may, twice, resolution)
             moved, label = (new != label).any(), new
             still = 0 if moved else still + 1
@@ -126,7 +122,7 @@ def _level(pairs: DataFrame, nodes: DataFrame, twice: DataFrame, resolution: flo
         best = scored.withColumn("score", score).groupBy(*_KEY).agg(F.min(F.struct((-C("score")).alias("s"), "to")).alias("m"), F.max(F.when(inside, C("score"))).alias("own"))
         new = state.join(best, _KEY, "left").join(size, ["repo_id", "label"])
         own = F.coalesce("own", -resolution * C("degree") * (C("size") - C("degree")))
-        may = F.shiftright("bits", sweep % BITS).bitwiseAND(1) == 1
+        may = F.shiftright("bits", sweep % local.BITS).bitwiseAND(1) == 1
         goes = F.coalesce(may & (-C("m.s") > own), F.lit(False))
         new = new.select(*_KEY, "bits", "degree", F.when(goes, C("m.to")).otherwise(C("label")).alias("label"), "best", goes.alias("moved"))
         new = keep(new, "louvain")
@@ -152,7 +148,7 @@ def louvain_by_joins(edges: DataFrame, nodes: DataFrame, resolution: float) -> D
     pairs = keep(pairs, "pairs")
     twice = keep(pairs.groupBy("repo_id").agg((2 * F.sum("w")).alias("twice")), "twice")
     of = keep(nodes.select(*_KEY, C("node").alias("community")), "communities")
-    here = keep(nodes.select(*_KEY, _bits("node").alias("bits")), "level")
+    here = keep(nodes.select(*_KEY, local.bits("node").alias("bits")), "level")
     for _ in range(LEVELS):
         label = keep(_level(pairs, here, twice, resolution), "labels")
         names = label.groupBy("repo_id", "label").agg(F.min("node").alias("name"))
@@ -165,7 +161,7 @@ def louvain_by_joins(edges: DataFrame, nodes: DataFrame, resolution: float) -> D
         forget(old)
         merged = pairs.join(to("u"), ["repo_id", "u"]).join(to("v"), ["repo_id", "v"])
         pairs = keep(merged.groupBy("repo_id", F.least("n_u", "n_v").alias("u"), F.greatest("n_u", "n_v").alias("v")).agg(F.sum("w").alias("w")), "pairs")
-        here = keep(joined.select("repo_id", C("name").alias("node")).distinct().withColumn("bits", _bits("node")), "level")
+        here = keep(joined.select("repo_id", C("name").alias("node")).distinct().withColumn("bits", local.bits("node")), "level")
     return of
 
 
@@ -175,7 +171,7 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, largest
     The weight of two nodes is the number of edge rows between them in both directions; loops count too. A greater
     resolution gives smaller communities. Nodes without edges are communities of their own.
     """
-    ranked = nodes.select(*_KEY, _bits("node").cast("double").alias("size"))
+    ranked = nodes.select(*_KEY, local.bits("node").cast("double").alias("size"))
     return local.split(edges, ranked, lambda *a: louvain_in_memory(*a, resolution), "community string", lambda e, n: louvain_by_joins(e, n.select(*_KEY), resolution), largest)
 
 

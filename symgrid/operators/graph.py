@@ -247,14 +247,14 @@ def clustering(edges: DataFrame) -> DataFrame:
     return found.withColumn("coefficient", F.round(F.when(C("degree") > 1, 2 * C("triangles") / (C("degree") * (C("degree") - 1))).otherwise(0.0), 4))
 
 
-def betweenness_by_joins(edges: DataFrame, nodes: DataFrame, pivots: int = 500, seed: int = 42, exact: int = 3000) -> DataFrame:
+def betweenness_by_joins(edges: DataFrame, nodes: DataFrame, pivots: int = 500, exact: int = 3000) -> DataFrame:
     """(repo_id, node, score): shortest-path betweenness, exact in snapshots of up to ``exact`` nodes.
 
-    Larger ones have ``pivots`` sources, those of the least seeded hash, scaled to all. Paths are counted level by level
+    Larger ones have ``pivots`` sources, those of the first places by hash, scaled to all. Paths are counted level by level
     for all sources together, dependencies are added up backwards.
     """
     size = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
-    order = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.xxhash64(F.lit(seed), "node").cast("double"), "node"))
+    order = F.row_number().over(Window.partitionBy("repo_id").orderBy(local.bits("node"), "node"))
     sources = nodes.withColumns({"r": order, "n": F.count(F.lit(1)).over(Window.partitionBy("repo_id"))}).where((C("n") <= exact) | (C("r") <= pivots)).select("repo_id", C("node").alias("s"))
     k = sources.groupBy("repo_id").agg(F.count(F.lit(1)).alias("k"))
     at = ["repo_id", "s", "node"]
@@ -340,5 +340,5 @@ def hits(edges: DataFrame, nodes: DataFrame, largest: int = local.LARGEST) -> Da
 
 def betweenness(edges: DataFrame, nodes: DataFrame, pivots: int = 500, largest: int = local.LARGEST, exact: int = 3000) -> DataFrame:
     """(repo_id, node, score): exact in snapshots of up to ``exact`` nodes, else from ``pivots`` sources (those of the least hash), scaled."""
-    ranked = nodes.select("repo_id", "node", F.xxhash64(F.lit(42), "node").cast("double").alias("size"))
+    ranked = nodes.select("repo_id", "node", local.bits("node").cast("double").alias("size"))
     return local.split(edges, ranked, lambda *a: local.betweenness(*a, pivots=pivots, exact=exact), "score double", lambda e, n: betweenness_by_joins(e, n.select("repo_id", "node"), pivots, exact=exact), largest)

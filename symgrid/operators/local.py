@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgrid.sources.tables import keep, small
@@ -20,6 +20,14 @@ ROUNDS, RANK_TOLERANCE, HUB_TOLERANCE = 200, 1e-8, 1e-8
 _TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
+#: Bits of a node's hash that give it a place among the nodes, alike in every way of computing.
+BITS = 40
+
+
+def bits(node: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), node), F.lit(1 << BITS))
+
+
 def split(edges: DataFrame, nodes: DataFrame, fn: Callable, out: str, by_joins: Callable[[DataFrame, DataFrame], DataFrame], largest: int = LARGEST) -> DataFrame:
     """(repo_id, node, out…): ``fn`` on snapshots of at most ``largest`` edges, ``by_joins`` on the others.
 

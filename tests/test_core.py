@@ -228,6 +228,18 @@ def test_small_and_large_snapshots_alike(spark, random_graph, name):
             assert x == y if name == "scc" else x == pytest.approx(y, abs=2e-5 if name == "pagerank" else 1e-4)
 
 
+def test_all_signals_alike_in_small_and_large_snapshots(spark, random_graph):
+    from symgrid.operators import signals
+
+    _, df = random_graph
+    nodes = graph.nodes_of(df).unionByName(spark.createDataFrame([("a", "alone")], "repo_id string, node string"))
+    a, b = ({(r[0], r[1]): r[2:] for r in signals.signals(df, nodes, largest=n).collect()} for n in (10**6, 0))
+    assert a.keys() == b.keys() and a["a", "alone"][:5] == ("alone", 0, 0, 1.0, 1.0)
+    for k in a:
+        for x, y in zip(a[k], b[k]):
+            assert x == pytest.approx(y, abs=1e-6) if isinstance(x, float) else x == y
+
+
 @pytest.mark.parametrize("name", ["pagerank", "hits"])
 def test_rounds_end_alike_in_small_and_large_snapshots(spark, name):
     e = [("s", "x", f"x{i}") for i in range(6)] + [("s", "y", "x5"), ("s", "y", "y0"), ("s", "y0", "x"), ("t", "a", "b")]
