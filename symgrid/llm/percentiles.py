@@ -51,7 +51,8 @@ def percentiles(state: DataFrame, group: list[str], qs: list[float]) -> DataFram
     on = F.col("r.part") == F.col("o.part")
     for s in same:
         on &= s
-    opened = rows.alias("r").join(offsets.alias("o"), on).select(*[F.col(f"r.{a}") for a in g], F.col("r.part"), "value", "n", "start", "total", "at")
+    # both sides grow with the groups and sorted files are far smaller than their rows, so neither may be broadcast
+    opened = rows.alias("r").join(offsets.alias("o").hint("merge"), on).select(*[F.col(f"r.{a}") for a in g], F.col("r.part"), "value", "n", "start", "total", "at")
     end = F.sum("n").over(Window.partitionBy(*g, "part").orderBy("value")) + F.col("start")
     hits = opened.withColumn("end", end).withColumn("p", F.explode(F.expr("filter(at, p -> p < end and p >= end - n)")))
     found = hits.groupBy(*g, "total").agg(F.map_from_entries(F.collect_list(F.struct("p", "value"))).alias("m"))

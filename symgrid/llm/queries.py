@@ -54,7 +54,7 @@ def p5_complexity(spark: SparkSession, d: str) -> DataFrame:
 def p5_complexity_pct(spark: SparkSession, d: str) -> DataFrame:
     scores = latest(table(spark, d, "node_features"), ["repo_id", "hash"], "computed_at", ["complexity_pct"])
     # a value without a row in nodes has no module and counts in its snapshot all the same
-    rows = scores.join(_modules(spark, d).drop("complexity", "project"), ["repo_id", "hash"], "left").withColumn("project", F.split("repo_id", "@")[0])
+    rows = scores.join(_modules(spark, d).drop("complexity", "project").hint("merge"), ["repo_id", "hash"], "left").withColumn("project", F.split("repo_id", "@")[0])
     return _by_levels(percentiles.counts(rows, ["project", "repo_id", "module"], "complexity_pct"))
 
 

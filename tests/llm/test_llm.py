@@ -103,6 +103,15 @@ def test_percentiles_merge_to_those_of_all(spark):
     assert rows(percentiles.percentiles(state.limit(0), ["g"], [0.5])) == []
 
 
+def test_percentiles_broadcast_nothing(spark):
+    state = spark.range(2000).selectExpr("concat('g', id % 700) AS g", "id * 0.5 AS value", "1L AS n")
+    for group in (["g"], []):
+        found = percentiles.percentiles(percentiles.merge(state, group), group, [0.25, 0.5])
+        assert found.count() == 2 * (700 if group else 1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_tokens_equal_public_library(spark):
     import tiktoken
 
