@@ -1,7 +1,7 @@
 """Quality of drawn graphs: where things lie, what hides what, how far a drawing follows the graph's own structure.
 
 A drawing is one scenario: nodes (scenario, id, grp, x, y, r) and edges (scenario, source, target). Scenarios are spread
-over tasks; each is measured in memory with arrays, pairs in blocks, since a drawing is as large as a screen holds.
+over tasks; each is measured in memory with arrays, pairs in blocks. Only measurements that are asked for are made.
 Orders that the input leaves open are those of the ids. Nodes without a group are of no group; edges to unknown nodes
 count where a share of all edges is given, and draw nothing.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 C = F.col
-#: Rows of a block of pairs.
-BLOCK = 512
+#: Rows of a block of pairs; larger blocks leave the cache.
+BLOCK = 192
 GOLDEN = math.pi * (3 - math.sqrt(5))
 #: Parts of the quality score with their weights.
 WEIGHTS = {"edge_visibility": 25, "no_overlap": 20, "few_crossings": 15, "low_stress": 20, "gestalt_cohesion": 10, "blob_integrity": 10}
@@ -61,6 +61,55 @@ def crosses(p1: np.ndarray, p2: np.ndarray, p3: np.ndarray, p4: np.ndarray) -> n
     return ~parallel & (t > 0.01) & (t < 0.99) & (u > 0.01) & (u < 0.99)
 
 
+def count_crossings(a: np.ndarray, b: np.ndarray, ends: np.ndarray, weights: np.ndarray | None = None) -> tuple[int, int]:
+    """Pairs of segments a-b without a common end that ``crosses``, and the sum of the weights of both over these pairs.
+
+    Two segments cross if each, shortened by a hundredth at either end, has its ends on different sides of the other's
+    line. Sides come from products of matrices; where one is too near to a line to tell, ``crosses`` decides.
+    """
+    d = b - a
+    kept = np.nonzero(np.isfinite(d).all(1) & (d != 0).any(1))[0]  # a point is parallel to all
+    a, b, d, ends = a[kept], b[kept], d[kept], ends[kept]
+    w = np.zeros(len(kept), np.int64) if weights is None else weights[kept]
+    if len(a) < 2:
+        return 0, 0
+    middle = a.mean(0)
+    p, q = a - middle, b - middle
+    # what rounding may do to a side, with room to spare; also covers what ``crosses`` takes for parallel
+    blur = np.maximum(1e-10, 1e-12 * np.hypot(d[:, 0], d[:, 1]) * max(np.abs(a).max(), np.abs(b).max(), np.abs(p).max(), np.abs(q).max()))
+    line = np.stack([-d[:, 1], d[:, 0], d[:, 1] * p[:, 0] - d[:, 0] * p[:, 1]], 1) / blur[:, None]
+    one = np.ones(len(p))
+    first, last = (np.stack([*x.T, one]) for x in (p + 0.01 * d, q - 0.01 * d))
+    count, weight = 0, 0
+
+    def sides(i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Whether lines i part segments j, and where that is open."""
+        s, t = line[i] @ first[:, j], line[i] @ last[:, j]
+        apart = s * t < 0
+        np.abs(s, out=s)
+        np.abs(t, out=t)
+        return apart, np.minimum(s, t, out=s) < 1
+
+    for lo in range(0, len(a), BLOCK):
+        i = slice(lo, lo + BLOCK)
+        for at in range(lo, len(a), BLOCK):
+            j = slice(at, at + BLOCK)
+            hit, doubt = sides(i, j)
+            hit2, doubt2 = (hit, doubt) if at == lo else sides(j, i)
+            hit, doubt = hit & hit2.T, doubt | doubt2.T
+            if at == lo:
+                hit, doubt = np.triu(hit, 1), np.triu(doubt, 1)
+            if doubt.any():
+                x, y = np.nonzero(doubt)
+                k, m = x + lo, y + at
+                hit[x, y] = crosses(a[k], b[k], a[m], b[m]) & (ends[k][:, :, None] != ends[m][:, None]).all((1, 2))
+            count += int(np.count_nonzero(hit))
+            if weights is not None:
+                h = hit.astype(np.float32)
+                weight += int(w[i] @ h.sum(1).astype(np.int64)) + int(w[j] @ h.sum(0).astype(np.int64))
+    return count, weight
+
+
 def gini(values: np.ndarray) -> float:
     if not len(values) or not values.sum():
         return 0.0
@@ -124,6 +173,7 @@ class Drawing:
         self.n = len(self.ids)
         names = sorted({g for g in self.groups if g})
         place = {g: i for i, g in enumerate(names)}
+        self._found: dict[tuple, dict] = {}
         self.names, self.group = names, np.array([place.get(g, -1) for g in self.groups], dtype=np.int64)
 
     @cached_property
@@ -174,14 +224,8 @@ class Drawing:
         return {"ratio": count / pairs if pairs else 0.0, "count": count, "max_overlap": deepest}
 
     def edge_crossings(self) -> dict:
-        m, count = len(self.ends), 0
-        a, b = self.at[self.ends[:, 0]], self.at[self.ends[:, 1]]
-        for lo in range(0, m, BLOCK):
-            i = np.arange(lo, min(lo + BLOCK, m))
-            hit = crosses(a[i, None], b[i, None], a[None], b[None]) & (i[:, None] < np.arange(m)[None])
-            for x, y in itertools.product((0, 1), repeat=2):
-                hit &= self.ends[i, x][:, None] != self.ends[None, :, y]
-            count += int(hit.sum())
+        m = len(self.ends)
+        count = count_crossings(self.at[self.ends[:, 0]], self.at[self.ends[:, 1]], self.ends)[0]
         pairs = m * (m - 1) / 2
         return {"count": count, "ratio": count / pairs if pairs else 0.0, "normalised": count / m if m else 0.0}
 
@@ -379,79 +423,91 @@ class Drawing:
                 out.append(way)
         return out
 
+    def _of(self, measure: str, key: str, *args: float) -> object:
+        """One value of a measurement, which is made once for all of its values."""
+        if (measure, args) not in self._found:
+            self._found[measure, args] = getattr(self, measure)(*args)
+        return self._found[measure, args][key]
+
     def quality(self, ideal: float = 120.0) -> dict:
         parts = {
-            "edge_visibility": self.edge_visibility()["ratio"],
-            "no_overlap": 1 - min(1.0, self.node_overlap()["ratio"] * 20),
-            "few_crossings": 1 - min(1.0, self.edge_crossings()["normalised"]),
-            "low_stress": 1 - min(1.0, self.layout_stress(ideal)["per_edge"] / 2),
-            "gestalt_cohesion": self.gestalt_proximity()["cohesion"],
-            "blob_integrity": self.blob_integrity()["ratio"],
+            "edge_visibility": self._of("edge_visibility", "ratio"),
+            "no_overlap": 1 - min(1.0, self._of("node_overlap", "ratio") * 20),
+            "few_crossings": 1 - min(1.0, self._of("edge_crossings", "normalised")),
+            "low_stress": 1 - min(1.0, self._of("layout_stress", "per_edge", ideal) / 2),
+            "gestalt_cohesion": self._of("gestalt_proximity", "cohesion"),
+            "blob_integrity": self._of("blob_integrity", "ratio"),
         }
         score = sum(v * WEIGHTS[k] for k, v in parts.items()) / sum(WEIGHTS.values()) * 100
         return {"score": math.floor(score * 10 + 0.5) / 10, **parts}
 
-    def facts(self, ideal: float = 120.0) -> dict:
-        """All measurements, one value or list a column of ``FACTS``."""
-        lines = [linearity(self.at[c]) for c in self.chains]
-        mean = lambda k: float(np.mean([x[k] for x in lines])) if lines else 1.0
-        degrees = np.bincount(self.ends.reshape(-1), minlength=self.n)
-        a, b = self.ends.T
-        step = self.at[b] - self.at[a]
-        vis, cross, sep, gestalt = self.edge_visibility(), self.edge_crossings(), self.blob_separation(), self.gestalt_proximity()
-        overlap, routing, corridor, angle, length = self.node_overlap(), self.edge_routing(), self.corridor_crossings(), self.angular_resolution(), self.edge_length_uniformity()
-        between, size, stress, inner = self.cross_edge_visibility(), self.node_size_variation(), self.layout_stress(ideal), self.layout_stress(ideal, True)
-        hub = self.hub_centrality()
-        return {
-            "n_nodes": self.n,
-            "module_count": len(set(self.groups)),
-            "cross_edge_ratio": between["count"] / self.n_links if self.n_links else 0.0,
-            "edge_visibility": vis["ratio"],
-            "avg_gap": vis["avg_gap"],
-            "min_gap": vis["min_gap"],
-            "node_overlap": overlap["ratio"],
-            "overlapping_pairs": overlap["count"],
-            "max_overlap": overlap["max_overlap"],
-            "edge_crossing_count": cross["count"],
-            "edge_crossing_ratio": cross["ratio"],
-            "edge_crossings": cross["normalised"],
-            "global_stress": stress["per_edge"],
-            "layout_stress": inner["per_edge"],
-            "hubs": hub["hubs"],
-            "hub_centrality_error": hub["avg_normalised"],
-            "chains": len(lines),
-            "chain_elongation": mean("ratio"),
-            "chain_straightness": mean("straightness"),
-            "blob_integrity": self.blob_integrity()["ratio"],
-            "module_separation": sep["min_clearance"],
-            "avg_clearance": sep["avg_clearance"],
-            "separation_ratio": sep["separation_ratio"],
-            "overlapping_groups": sep["overlapping"],
-            "within_distance": gestalt["within"],
-            "between_distance": gestalt["between"],
-            "gestalt_cohesion": gestalt["cohesion"],
-            "min_angle": angle["min_angle"],
-            "avg_min_angle": angle["avg_min_angle"],
-            "poor_angles": angle["poor"],
-            "edge_length": length["mean"],
-            "edge_length_cv": length["cv"],
-            "cross_edge_visibility": between["ratio"],
-            "cross_edge_count": between["count"],
-            "node_size_cv": size["cv"],
-            "prominent_visibility": self.prominent_visibility()["ratio"],
-            "blob_edge_routing": routing["ratio"],
-            "blocked_corridors": routing["violating"],
-            "corridor_crossings": corridor["crossing"],
-            "inter_module_crossings": corridor["weighted_ratio"],
-            "quality_score": self.quality(ideal)["score"],
-            "degree_mean": float(degrees.mean()) if self.n else 0.0,
-            "degree_max": int(degrees.max(initial=0)),
-            "degree_gini": gini(degrees),
-            "degrees": degrees.tolist(),
-            "edge_angles": np.degrees(np.arctan2(step[:, 1], step[:, 0])).tolist(),
-            "points": [{"x": x, "y": y, "g": g} for (x, y), g in zip(self.at.tolist(), self.groups)],
-            "chain_points": [[{"x": x, "y": y} for x, y in self.at[c].tolist()] for c in self.chains],
+    @cached_property
+    def lines(self) -> list[dict]:
+        return [linearity(self.at[c]) for c in self.chains]
+
+    @cached_property
+    def degrees(self) -> np.ndarray:
+        return np.bincount(self.ends.reshape(-1), minlength=self.n)
+
+    def _angles(self) -> list[float]:
+        step = self.at[self.ends[:, 1]] - self.at[self.ends[:, 0]]
+        return np.degrees(np.arctan2(step[:, 1], step[:, 0])).tolist()
+
+    def facts(self, ideal: float = 120.0, only: Iterable[str] | None = None) -> dict:
+        """Measurements, one value or list a column of ``FACTS``: all, or those of ``only``."""
+        mean = lambda k: float(np.mean([x[k] for x in self.lines])) if self.lines else 1.0
+        of = self._of
+        columns = {
+            "n_nodes": lambda: self.n,
+            "module_count": lambda: len(set(self.groups)),
+            "cross_edge_ratio": lambda: of("cross_edge_visibility", "count") / self.n_links if self.n_links else 0.0,
+            "edge_visibility": lambda: of("edge_visibility", "ratio"),
+            "avg_gap": lambda: of("edge_visibility", "avg_gap"),
+            "min_gap": lambda: of("edge_visibility", "min_gap"),
+            "node_overlap": lambda: of("node_overlap", "ratio"),
+            "overlapping_pairs": lambda: of("node_overlap", "count"),
+            "max_overlap": lambda: of("node_overlap", "max_overlap"),
+            "edge_crossing_count": lambda: of("edge_crossings", "count"),
+            "edge_crossing_ratio": lambda: of("edge_crossings", "ratio"),
+            "edge_crossings": lambda: of("edge_crossings", "normalised"),
+            "global_stress": lambda: of("layout_stress", "per_edge", ideal),
+            "layout_stress": lambda: of("layout_stress", "per_edge", ideal, True),
+            "hubs": lambda: of("hub_centrality", "hubs"),
+            "hub_centrality_error": lambda: of("hub_centrality", "avg_normalised"),
+            "chains": lambda: len(self.lines),
+            "chain_elongation": lambda: mean("ratio"),
+            "chain_straightness": lambda: mean("straightness"),
+            "blob_integrity": lambda: of("blob_integrity", "ratio"),
+            "module_separation": lambda: of("blob_separation", "min_clearance"),
+            "avg_clearance": lambda: of("blob_separation", "avg_clearance"),
+            "separation_ratio": lambda: of("blob_separation", "separation_ratio"),
+            "overlapping_groups": lambda: of("blob_separation", "overlapping"),
+            "within_distance": lambda: of("gestalt_proximity", "within"),
+            "between_distance": lambda: of("gestalt_proximity", "between"),
+            "gestalt_cohesion": lambda: of("gestalt_proximity", "cohesion"),
+            "min_angle": lambda: of("angular_resolution", "min_angle"),
+            "avg_min_angle": lambda: of("angular_resolution", "avg_min_angle"),
+            "poor_angles": lambda: of("angular_resolution", "poor"),
+            "edge_length": lambda: of("edge_length_uniformity", "mean"),
+            "edge_length_cv": lambda: of("edge_length_uniformity", "cv"),
+            "cross_edge_visibility": lambda: of("cross_edge_visibility", "ratio"),
+            "cross_edge_count": lambda: of("cross_edge_visibility", "count"),
+            "node_size_cv": lambda: of("node_size_variation", "cv"),
+            "prominent_visibility": lambda: of("prominent_visibility", "ratio"),
+            "blob_edge_routing": lambda: of("edge_routing", "ratio"),
+            "blocked_corridors": lambda: of("edge_routing", "violating"),
+            "corridor_crossings": lambda: of("corridor_crossings", "crossing"),
+            "inter_module_crossings": lambda: of("corridor_crossings", "weighted_ratio"),
+            "quality_score": lambda: of("quality", "score", ideal),
+            "degree_mean": lambda: float(self.degrees.mean()) if self.n else 0.0,
+            "degree_max": lambda: int(self.degrees.max(initial=0)),
+            "degree_gini": lambda: gini(self.degrees),
+            "degrees": lambda: self.degrees.tolist(),
+            "edge_angles": self._angles,
+            "points": lambda: [{"x": x, "y": y, "g": g} for (x, y), g in zip(self.at.tolist(), self.groups)],
+            "chain_points": lambda: [[{"x": x, "y": y} for x, y in self.at[c].tolist()] for c in self.chains],
         }
+        return {k: columns[k]() for k in (columns if only is None else only)}
 
 
 _INTS = {"n_nodes", "module_count", "overlapping_pairs", "edge_crossing_count", "hubs", "chains", "overlapping_groups", "poor_angles", "cross_edge_count", "blocked_corridors", "corridor_crossings", "degree_max"}
@@ -501,16 +557,19 @@ def by_scenario(nodes: DataFrame, edges: DataFrame, treat: Callable[[str, Drawin
             yield from one(last, pa.Table.from_batches(held))
 
     out = ", ".join(f"{k} {v}" for k, v in {"scenario": "string", **shape}.items())
-    return rows.where(C("scenario").isNotNull()).repartition("scenario").sortWithinPartitions("scenario").mapInArrow(run, out)
+    # by number, as few bytes of rows are much work: the planner would put them all into a task or two
+    tasks = 8 * nodes.sparkSession.sparkContext.defaultParallelism
+    return rows.where(C("scenario").isNotNull()).repartition(tasks, "scenario").sortWithinPartitions("scenario").mapInArrow(run, out)
 
 
-def facts(nodes: DataFrame, edges: DataFrame, ideal: float = 120.0) -> DataFrame:
-    """(scenario, …) with the columns of ``FACTS``: all measurements of each drawing.
+def facts(nodes: DataFrame, edges: DataFrame, ideal: float = 120.0, only: list[str] | None = None) -> DataFrame:
+    """(scenario, …) with the columns of ``FACTS``, or those of ``only``: measurements of each drawing.
 
     Nodes without a place are left out; a null radius is 6. Distances that need two groups are null without them.
     """
-    arrow = {k: _ARROW.get(k, pa.int32() if k in _INTS else pa.float64()) for k in FACTS}
-    return by_scenario(nodes, edges, lambda _, d: [d.facts(ideal)], FACTS, arrow)
+    shape = {k: FACTS[k] for k in (FACTS if only is None else only)}
+    arrow = {k: _ARROW.get(k, pa.int32() if k in _INTS else pa.float64()) for k in shape}
+    return by_scenario(nodes, edges, lambda _, d: [d.facts(ideal, shape)], shape, arrow)
 
 
 #: Names of recorded measurements, as paths in their JSON.

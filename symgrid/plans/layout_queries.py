@@ -17,6 +17,8 @@ C = F.col
 
 def _members(c: Catalog) -> tuple[DataFrame, DataFrame]:
     """Symbols with their module as group and a radius by their callers, and the distinct calls between them, loops left out."""
+    # read many times below
+    c.nodes = keep(c.internal_nodes.select("repo_id", "hash", "module", "caller_count"), "drawn-nodes")
     nodes = c.internal_nodes.where(C("module").isNotNull())
     r = 4 + F.least(F.lit(8.0), F.sqrt(F.coalesce("caller_count", F.lit(0)).cast("double")))
     edges = c.edges_distinct.where(C("src") != C("dst")).select(C("repo_id").alias("scenario"), C("src").alias("source"), C("dst").alias("target"))
@@ -87,7 +89,7 @@ SELECT s.scenario, coalesce(k, 0) AS edge_crossing_count, round(coalesce(k, 0) /
 
 @query(f", {_CROSS}")
 def layout_crossings(c):
-    found = layout.facts(*_drawn(c)).where(F.size("edge_angles") > 0)
+    found = layout.facts(*_drawn(c), only=["edge_crossing_count", "edge_crossings", "degree_max"]).where(C("degree_max") > 0)
     return found.select("scenario", _whole("edge_crossing_count"), F.round("edge_crossings", 6).alias("edge_crossings"))
 
 

@@ -163,3 +163,38 @@ def test_silhouette_and_clusters():
     assert P.rand_index(groups, P.k_means(points, 3)) == 1.0
     assert P.rand_index(np.array(list("aabb")), np.array(list("abab"))) == pytest.approx(-0.5)
     assert P.entropy([1, 1, 1]) == 0.0 and P.angle_entropy([3.0]) == 1.0
+
+
+@pytest.mark.parametrize("block", [7, 192])
+def test_crossings_where_sides_are_hard_to_tell(block, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    for scale in (1e-6, 1.0, 7e3):
+        # places on a coarse grid: collinear, parallel, touching, repeated and reversed segments, some without length
+        at = rng.integers(0, 6, (60, 2)) * scale
+        ends = rng.integers(0, 60, (150, 2))
+        ends = np.concatenate([ends, ends[:20, ::-1], ends[:9]])
+        a, b, w = at[ends[:, 0]], at[ends[:, 1]], rng.integers(1, 9, len(ends))
+        hits = [(i, j) for i, j in itertools.combinations(range(len(ends)), 2) if not set(ends[i]) & set(ends[j]) and L.crosses(a[i], b[i], a[j], b[j])]
+        assert L.count_crossings(a, b, ends, w) == (len(hits), sum(int(w[i] + w[j]) for i, j in hits))
+    # the hundredth at an end doesn't count, what is just within does
+    p = lambda t: (np.array([[0.0, 0.0], [t, -50.0]]), np.array([[100.0, 0.0], [t, 50.0]]), np.array([[0, 1], [2, 3]]))
+    assert [L.count_crossings(*p(t))[0] for t in (0.9999, 1.0001, 50.0, 98.9999, 99.0001)] == [0, 1, 1, 1, 0]
+
+
+def test_only_what_is_asked_for_is_measured(spark, monkeypatch):
+    d = L.Drawing(*_random(1)[:2], np.array(_random(1)[2]), np.array(_random(1)[3]), _random(1)[4])
+    every = d.facts()
+    for k in L.FACTS:
+        assert d.facts(only=[k]) == {k: every[k]}
+
+    def fail(*_):
+        raise AssertionError
+
+    for x in ("layout_stress", "gestalt_proximity", "node_overlap", "hub_centrality", "edge_routing"):
+        monkeypatch.setattr(L.Drawing, x, fail)
+    assert L.Drawing(*_random(1)[:2], np.array(_random(1)[2]), np.array(_random(1)[3]), _random(1)[4]).facts(only=["edge_crossing_count"]) == {"edge_crossing_count": every["edge_crossing_count"]}
+    # scenarios stay spread over tasks however few bytes they have
+    nodes = spark.createDataFrame([(f"s{i}", "x", "g", 0.0, 0.0, 1.0) for i in range(40)], "scenario string, id string, grp string, x double, y double, r double")
+    found = L.facts(nodes, spark.createDataFrame([], "scenario string, source string, target string"), only=["n_nodes"])
+    assert found.columns == ["scenario", "n_nodes"] and found.select(F.spark_partition_id()).distinct().count() > 4
