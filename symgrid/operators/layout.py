@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 C = F.col
 #: Rows of a block of pairs; larger blocks leave the cache.
 BLOCK = 192
+#: Nodes from which steps are counted at once; a multiple of 64.
+SOURCES = 512
 GOLDEN = math.pi * (3 - math.sqrt(5))
 #: Parts of the quality score with their weights.
 WEIGHTS = {"edge_visibility": 25, "no_overlap": 20, "few_crossings": 15, "low_stress": 20, "gestalt_cohesion": 10, "blob_integrity": 10}
@@ -201,6 +203,14 @@ class Drawing:
         np.maximum.at(out, self.group[own], far)
         return out
 
+    def _far(self, i: np.ndarray | slice, j: np.ndarray | slice) -> np.ndarray:
+        """Distances of nodes i (rows) from nodes j."""
+        x, y = self.at[i, 0][:, None] - self.at[j, 0], self.at[i, 1][:, None] - self.at[j, 1]
+        x *= x
+        y *= y
+        x += y
+        return np.sqrt(x, out=x)
+
     def _pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks (i, j, distance) of all pairs of nodes i < j."""
         for lo in range(0, self.n, BLOCK):
@@ -229,43 +239,77 @@ class Drawing:
         pairs = m * (m - 1) / 2
         return {"count": count, "ratio": count / pairs if pairs else 0.0, "normalised": count / m if m else 0.0}
 
-    def _steps(self, sources: np.ndarray) -> np.ndarray:
-        """Least numbers of edges, in any direction, from some nodes to all; -1 for none."""
-        n = self.n
-        a = np.concatenate([self.ends[:, 0], self.ends[:, 1]])
-        b = np.concatenate([self.ends[:, 1], self.ends[:, 0]])
-        order = np.argsort(a, kind="stable")
-        ways, out = b[order], np.bincount(a, minlength=n)
-        first = np.cumsum(out) - out
-        level = np.full(len(sources) * n, -1, dtype=np.int32)
-        front, depth = np.arange(len(sources)) * n + sources, 0
-        level[front] = 0
-        while len(front):
+    @cached_property
+    def _ways(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes with edges, the start of each one's neighbours, and the neighbours; an edge counts in both directions, repeated ones once."""
+        a, b = np.concatenate([self.ends, self.ends[:, ::-1]]).T
+        a, b = np.divmod(np.unique(a * self.n + b), self.n) if len(a) else (a, b)
+        linked, first = np.unique(a, return_index=True)
+        return linked, first, b
+
+    def _steps(self, lo: int, hi: int) -> np.ndarray:
+        """Least numbers of edges, in any direction, from the nodes lo to hi (columns) to all (rows); 0 for none.
+
+        Each source is a bit, so one pass over the edges is a step from 64 of them at once. The digits of the numbers
+        are gathered as bits too.
+        """
+        linked, first, to = self._ways
+        i = np.arange(hi - lo)
+        seen = np.zeros((-(-len(i) // 64), self.n), np.uint64)
+        seen[i // 64, i + lo] = np.uint64(1) << (i % 64).astype(np.uint64)
+        front, digits, depth = seen.copy(), [], 0
+        while len(linked):
             depth += 1
-            node = front % n
-            k = out[node]
-            way = np.repeat(first[node] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-            to = np.unique(np.repeat(front - node, k) + ways[way])
-            front = to[level[to] < 0]
-            level[front] = depth
-        return level.reshape(len(sources), n)
+            new = np.zeros_like(seen)
+            for k, row in enumerate(front):
+                new[k, linked] = np.bitwise_or.reduceat(row[to], first)
+            new &= ~seen
+            if not new.any():
+                break
+            seen |= new
+            for k in range(depth.bit_length()):
+                if k == len(digits):
+                    digits.append(np.zeros_like(seen))
+                if depth >> k & 1:
+                    digits[k] |= new
+            front = new
+        kind = np.uint8 if len(digits) <= 8 else np.uint32
+        out = np.zeros((self.n, hi - lo), kind)
+        for k, x in enumerate(digits):
+            bits = np.unpackbits(np.ascontiguousarray(x.T).astype("<u8").view(np.uint8), axis=1, count=hi - lo, bitorder="little")
+            out |= bits.astype(kind, copy=False) << kind(k)
+        return out
 
     def layout_stress(self, ideal: float = 120.0, within: bool = False) -> dict:
         """How far distances are from the number of edges between two nodes times an edge's ideal length."""
-        stress, pairs = 0.0, 0
-        for lo in range(0, self.n, BLOCK):
-            i = np.arange(lo, min(lo + BLOCK, self.n))
-            steps = self._steps(i)
-            ok = (steps > 0) & (i[:, None] < np.arange(self.n)[None])
-            if within:
-                same = self.group[i, None] == self.group[None]
-                ok &= same
-            far = np.hypot(*(self.at[i, None] - self.at[None, :]).transpose(2, 0, 1))
-            want = steps[ok] * ideal
-            stress += float((((far[ok] - want) / want) ** 2).sum())
-            pairs += int(ok.sum())
+        if ("stress", ideal) not in self._found:
+            self._found["stress", ideal] = self._stress(ideal)
+        stress, pairs = self._found["stress", ideal][within]
         return {"stress": stress, "per_edge": stress / pairs if pairs else 0.0}
 
+    def _stress(self, ideal: float) -> tuple[tuple[float, int], tuple[float, int]]:
+        """Sums and numbers of pairs, of all and of those in one group."""
+        sums, counts = [0.0, 0.0], [0, 0]
+        for lo in range(0, self.n, SOURCES):
+            hi = min(lo + SOURCES, self.n)
+            steps = self._steps(lo, hi)
+            for at in range(lo, self.n, BLOCK):  # rows above are pairs of an earlier block
+                rows = np.arange(at, min(at + BLOCK, self.n))
+                d = steps[rows]
+                ok = d > 0
+                if at < hi:
+                    ok &= rows[:, None] > np.arange(lo, hi)
+                same = ok & (self.group[rows, None] == self.group[lo:hi])
+                want = np.maximum(d, 1) * float(ideal)
+                off = self._far(rows, slice(lo, hi))
+                off -= want
+                off /= want
+                off *= off
+                for k, some in enumerate((ok, same)):
+                    sums[k] += float(off.sum(where=some))
+                    counts[k] += int(np.count_nonzero(some))
+        return (sums[0], counts[0]), (sums[1], counts[1])
+
     @cached_property
     def neighbours(self) -> list[set[int]]:
         out: list[set[int]] = [set() for _ in range(self.n)]

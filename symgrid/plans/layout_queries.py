@@ -18,7 +18,7 @@ C = F.col
 def _members(c: Catalog) -> tuple[DataFrame, DataFrame]:
     """Symbols with their module as group and a radius by their callers, and the distinct calls between them, loops left out."""
     # read many times below
-    c.nodes = keep(c.internal_nodes.select("repo_id", "hash", "module", "caller_count"), "drawn-nodes")
+    c.internal_nodes = keep(c.internal_nodes.select("repo_id", "hash", "module", "caller_count"), "drawn-nodes")
     nodes = c.internal_nodes.where(C("module").isNotNull())
     r = 4 + F.least(F.lit(8.0), F.sqrt(F.coalesce("caller_count", F.lit(0)).cast("double")))
     edges = c.edges_distinct.where(C("src") != C("dst")).select(C("repo_id").alias("scenario"), C("src").alias("source"), C("dst").alias("target"))
@@ -123,7 +123,8 @@ steps(scenario, s, node, d) USING KEY (scenario, s, node) AS (SELECT scenario, i
 st AS (SELECT a.scenario, a.grp = b.grp AS within, ((sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - d * 120) / (d * 120)) ** 2 AS e FROM steps JOIN pl a ON a.scenario = steps.scenario AND a.id = s JOIN pl b ON b.scenario = steps.scenario AND b.id = node WHERE d > 0 AND s < node)
 SELECT s.scenario, round(coalesce(all_, 0), 5) AS global_stress, round(coalesce(own, 0), 5) AS layout_stress FROM (SELECT DISTINCT scenario FROM pl) s LEFT JOIN (SELECT scenario, avg(e) AS all_, avg(CASE WHEN within THEN e END) AS own FROM st GROUP BY 1) t ON t.scenario = s.scenario""")
 def layout_stress(c):
-    return layout.facts(*_drawn(c)).select("scenario", *[F.round(k, 5).alias(k) for k in ("global_stress", "layout_stress")])
+    wanted = ["global_stress", "layout_stress"]
+    return layout.facts(*_drawn(c), only=wanted).select("scenario", *[F.round(k, 5).alias(k) for k in wanted])
 
 
 @query()

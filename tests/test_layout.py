@@ -198,3 +198,20 @@ def test_only_what_is_asked_for_is_measured(spark, monkeypatch):
     nodes = spark.createDataFrame([(f"s{i}", "x", "g", 0.0, 0.0, 1.0) for i in range(40)], "scenario string, id string, grp string, x double, y double, r double")
     found = L.facts(nodes, spark.createDataFrame([], "scenario string, source string, target string"), only=["n_nodes"])
     assert found.columns == ["scenario", "n_nodes"] and found.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_steps_of_long_ways_parts_and_repeated_edges(spark):
+    # a line of 600 nodes, more than a block of sources and than a byte holds, and a part of its own
+    n = 600
+    ids = [f"{i:03d}" for i in range(n + 3)]
+    links = [(ids[i + (i % 2)], ids[i + 1 - (i % 2)]) for i in range(n - 1)] + [(ids[0], ids[1]), (ids[n], ids[n + 1]), (ids[n + 1], ids[n]), (ids[5], ids[5])]
+    at = np.random.default_rng(2).uniform(0, 900, (n + 3, 2))
+    d = L.Drawing(ids, ["g" if i % 3 else None for i in range(n + 3)], at, np.full(n + 3, 5.0), links)
+    steps = np.concatenate([d._steps(0, 512), d._steps(512, n + 3)], 1)
+    want = np.abs(np.subtract.outer(np.arange(n + 3), np.arange(n + 3)))
+    want[n:, :n] = want[:n, n:] = want[n + 2] = want[:, n + 2] = 0
+    assert (steps == want).all()
+    i, j = np.nonzero(np.triu(want))
+    off = (np.hypot(*(at[i] - at[j]).T) / (want[i, j] * 120) - 1) ** 2
+    same = np.array([a == b for a, b in zip(d.group[i], d.group[j])])
+    assert d.layout_stress()["per_edge"] == pytest.approx(off.mean()) and d.layout_stress(within=True)["per_edge"] == pytest.approx(off[same].mean())
