@@ -211,13 +211,25 @@ class Drawing:
         x += y
         return np.sqrt(x, out=x)
 
-    def _pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks (i, j, distance) of all pairs of nodes i < j."""
+    @cached_property
+    def _pairs(self) -> dict:
+        """Of all pairs of nodes: overlaps and the deepest one, and distances within groups and others, as sums and numbers."""
+        count, deepest, sums, counts = 0, 0.0, [0.0, 0.0], [0, 0]
+        own = np.where(self.group < 0, -1 - np.arange(self.n), self.group)
         for lo in range(0, self.n, BLOCK):
-            i = np.arange(lo, min(lo + BLOCK, self.n))
-            far = np.hypot(*(self.at[i, None] - self.at[None, :]).transpose(2, 0, 1))
-            a, b = np.nonzero(i[:, None] < np.arange(self.n)[None])
-            yield i[a], b, far[a, b]
+            for at in range(lo, self.n, BLOCK):
+                i, j = slice(lo, lo + BLOCK), slice(at, at + BLOCK)
+                far, same = self._far(i, j), own[i, None] == own[j]
+                depth = (self.r[i, None] + self.r[j]) - far
+                if at == lo:
+                    upper = np.triu_indices(len(far), 1)
+                    far, same, depth = far[upper], same[upper], depth[upper]
+                count += int(np.count_nonzero(depth > 0))
+                deepest = max(deepest, float(depth.max(initial=0.0)))
+                for k, some in enumerate((same, ~same)):
+                    sums[k] += float(far.sum(where=some))
+                    counts[k] += int(np.count_nonzero(some))
+        return {"count": count, "deepest": deepest, "sums": sums, "counts": counts}
 
     def edge_visibility(self, threshold: float = 8.0) -> dict:
         n = self.n_links
@@ -225,11 +237,7 @@ class Drawing:
         return {"ratio": float(seen.sum() / n) if n else 1.0, "avg_gap": float(self.gaps.sum() / n) if n else 0.0, "min_gap": float(self.gaps.min()) if len(self.gaps) else 0.0}
 
     def node_overlap(self) -> dict:
-        count, deepest = 0, 0.0
-        for i, j, far in self._pairs():
-            depth = self.r[i] + self.r[j] - far
-            count += int((depth > 0).sum())
-            deepest = max(deepest, float(depth.max(initial=0.0)))
+        count, deepest = self._pairs["count"], self._pairs["deepest"]
         pairs = self.n * (self.n - 1) / 2
         return {"ratio": count / pairs if pairs else 0.0, "count": count, "max_overlap": deepest}
 
@@ -333,10 +341,13 @@ class Drawing:
         """Share of nodes that no other group's middle is nearer to than their own."""
         if len(self.names) < 2:
             return {"ratio": 1.0}
-        own = self.group >= 0
-        far = np.hypot(*(self.at[own, None] - self.middles[None]).transpose(2, 0, 1))
-        mine = far[np.arange(own.sum()), self.group[own]]
-        return {"ratio": float((far >= mine[:, None]).all(1).sum() / self.n)}
+        own = np.nonzero(self.group >= 0)[0]
+        kept = 0
+        for lo in range(0, len(own), BLOCK):
+            i = own[lo : lo + BLOCK]
+            far = np.hypot(self.at[i, 0][:, None] - self.middles[:, 0], self.at[i, 1][:, None] - self.middles[:, 1])
+            kept += int((far >= far[np.arange(len(i)), self.group[i]][:, None]).all(1).sum())
+        return {"ratio": float(kept / self.n)}
 
     def blob_separation(self) -> dict:
         """Room between the discs of groups; null where there are fewer than two."""
@@ -350,12 +361,7 @@ class Drawing:
 
     def gestalt_proximity(self) -> dict:
         """Mean distance within groups as a share of that of other pairs."""
-        sums, counts = [0.0, 0.0], [0, 0]
-        for i, j, far in self._pairs():
-            same = (self.group[i] == self.group[j]) & (self.group[i] >= 0)
-            for k, some in enumerate((same, ~same)):
-                sums[k] += float(far[some].sum())
-                counts[k] += int(some.sum())
+        sums, counts = self._pairs["sums"], self._pairs["counts"]
         within = sums[0] / counts[0] if counts[0] else 0.0
         between = sums[1] / counts[1] if counts[1] else math.inf
         ratio = within / between if between > 0 else 0.0

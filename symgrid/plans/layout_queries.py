@@ -76,7 +76,7 @@ def _whole(c: str) -> F.Column:
 
 @query(f", {_FACTS}")
 def layout_facts(c):
-    found = layout.facts(*_drawn(c))
+    found = layout.facts(*_drawn(c), only=[*_COMPARED])
     return found.select("scenario", *[_whole(k) if d is None else F.round(k, d).alias(k) for k, d in _COMPARED.items()])
 
 

@@ -215,3 +215,15 @@ def test_steps_of_long_ways_parts_and_repeated_edges(spark):
     off = (np.hypot(*(at[i] - at[j]).T) / (want[i, j] * 120) - 1) ** 2
     same = np.array([a == b for a, b in zip(d.group[i], d.group[j])])
     assert d.layout_stress()["per_edge"] == pytest.approx(off.mean()) and d.layout_stress(within=True)["per_edge"] == pytest.approx(off[same].mean())
+
+
+def test_pairs_of_nodes_are_read_once_in_blocks(monkeypatch):
+    ids, groups, at, r, links = _random(4)
+    want = L.Drawing(ids, groups, np.array(at), np.array(r), links).facts()
+    sizes = []
+    far = L.Drawing._far
+    monkeypatch.setattr(L, "BLOCK", 7)
+    monkeypatch.setattr(L.Drawing, "_far", lambda self, i, j: (x := far(self, i, j), sizes.append(x.size))[0])
+    got = L.Drawing(ids, groups, np.array(at), np.array(r), links).facts(only=["node_overlap", "max_overlap", "within_distance", "between_distance", "gestalt_cohesion", "blob_integrity"])
+    assert got == pytest.approx({k: want[k] for k in got})
+    assert sum(sizes) < 0.7 * len(ids) ** 2 and max(sizes) <= 49
