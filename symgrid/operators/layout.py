@@ -328,14 +328,19 @@ class Drawing:
 
     def hub_centrality(self, least: int = 3) -> dict:
         """Mean distance of hubs from the middle of their neighbours in the group, as a share of the neighbours' mean distance."""
-        errors = []
-        for v, near in enumerate(self.neighbours):
-            own = sorted(w for w in near if self.group[w] == self.group[v])
-            if len(own) < least:
-                continue
-            mean = np.hypot(*(self.at[own] - self.at[v]).T).mean()
-            errors.append(math.hypot(*(self.at[own].mean(0) - self.at[v])) / mean if mean else 0.0)
-        return {"hubs": len(errors), "avg_normalised": float(np.mean(errors)) if errors else 0.0}
+        linked, first, w = self._ways
+        v = np.repeat(linked, np.diff([*first, len(w)]))
+        own = self.group[v] == self.group[w]
+        v, w = v[own], w[own]
+        k = np.bincount(v, minlength=self.n)
+        hubs = np.nonzero(k >= least)[0]
+        if not len(hubs):
+            return {"hubs": 0, "avg_normalised": 0.0}
+        mean = lambda x: (np.bincount(v, x, self.n)[hubs]) / k[hubs]
+        far = mean(np.hypot(*(self.at[w] - self.at[v]).T))
+        off = np.hypot(mean(self.at[w, 0]) - self.at[hubs, 0], mean(self.at[w, 1]) - self.at[hubs, 1])
+        errors = np.where(far != 0, off / np.where(far != 0, far, 1), 0.0)
+        return {"hubs": len(hubs), "avg_normalised": float(errors.mean())}
 
     def blob_integrity(self) -> dict:
         """Share of nodes that no other group's middle is nearer to than their own."""
@@ -369,17 +374,19 @@ class Drawing:
 
     def angular_resolution(self, threshold: float = 15.0) -> dict:
         """Least angles between the edges at a node."""
-        at: dict[int, list[float]] = defaultdict(list)
-        for a, b in self.ends.tolist():
-            dx, dy = self.at[b] - self.at[a]
-            at[a].append(math.atan2(dy, dx))
-            at[b].append(math.atan2(-dy, -dx))
-        least = []
-        for angles in at.values():
-            if len(angles) > 1:
-                angles.sort()
-                least.append(math.degrees(min([b - a for a, b in zip(angles, angles[1:])] + [angles[0] - angles[-1] + 2 * math.pi])))
-        return {"min_angle": min(least, default=180.0), "avg_min_angle": float(np.mean(least)) if least else 180.0, "poor": sum(x < threshold for x in least)}
+        a, b = self.ends.T
+        dx, dy = (self.at[b] - self.at[a]).T
+        v, t = np.concatenate([a, b]), np.concatenate([np.arctan2(dy, dx), np.arctan2(-dy, -dx)])
+        order = np.lexsort((t, v))
+        v, t = v[order], t[order]
+        _, first, k = np.unique(v, return_index=True, return_counts=True)
+        if not (k > 1).any():
+            return {"min_angle": 180.0, "avg_min_angle": 180.0, "poor": 0}
+        turn = np.append(t[1:], 0.0) - t
+        last = first + k - 1
+        turn[last] = t[first] - t[last] + 2 * math.pi
+        least = np.degrees(np.minimum.reduceat(turn, first)[k > 1])
+        return {"min_angle": float(least.min()), "avg_min_angle": float(least.mean()), "poor": int((least < threshold).sum())}
 
     def edge_length_uniformity(self) -> dict:
         x = self.lengths
@@ -421,17 +428,13 @@ class Drawing:
         none = {"crossing": 0, "pairs": 0, "ratio": 0.0, "weighted_ratio": 0.0}
         if len(self.names) < 3 or len(pairs) < 2:
             return none
-        count, weight, total, total_weight = 0, 0, 0, 0
-        a, b = self.middles[pairs[:, 0]], self.middles[pairs[:, 1]]
-        for lo in range(0, len(pairs), BLOCK):
-            i = np.arange(lo, min(lo + BLOCK, len(pairs)))
-            apart = i[:, None] < np.arange(len(pairs))[None]
-            for x, y in itertools.product((0, 1), repeat=2):
-                apart &= pairs[i, x][:, None] != pairs[None, :, y]
-            hit = apart & crosses(a[i, None], b[i, None], a[None], b[None])
-            both = w[i, None] + w[None]
-            count, weight = count + int(hit.sum()), weight + int(both[hit].sum())
-            total, total_weight = total + int(apart.sum()), total_weight + int(both[apart].sum())
+        count, weight = count_crossings(self.middles[pairs[:, 0]], self.middles[pairs[:, 1]], pairs, w)
+        # two lines have at most one group in common, so pairs with one are counted by group
+        ends, n = np.bincount(pairs.reshape(-1)), len(pairs)
+        own = np.zeros(len(ends), np.int64)
+        np.add.at(own, pairs, w[:, None])
+        total = n * (n - 1) // 2 - int((ends * (ends - 1) // 2).sum())
+        total_weight = (n - 1) * int(w.sum()) - int((np.maximum(ends - 1, 0) * own).sum())
         return {"crossing": count, "pairs": total, "ratio": count / total if total else 0.0, "weighted_ratio": weight / total_weight if total_weight else 0.0}
 
     def edge_routing(self, clear: float = 25.0) -> dict:
@@ -442,11 +445,17 @@ class Drawing:
         r = self.radii(20.0, self.r + 8)
         a, d = self.middles[pairs[:, 0]], self.middles[pairs[:, 1]] - self.middles[pairs[:, 0]]
         length2 = (d**2).sum(1)
-        t = np.clip(((self.middles[None] - a[:, None]) * d[:, None]).sum(2) / np.maximum(length2, 1e-12)[:, None], 0, 1)
-        far = np.hypot(*(self.middles[None] - a[:, None] - t[..., None] * d[:, None]).transpose(2, 0, 1))
-        third = np.ones_like(t, dtype=bool)
-        third[np.arange(len(pairs)), pairs[:, 0]] = third[np.arange(len(pairs)), pairs[:, 1]] = False
-        blocked = ((t >= 0.15) & (t <= 0.85) & (far < r[None] + clear) & third).any(1) & (length2 >= 1)
+        blocked = np.zeros(len(pairs), bool)
+        for lo in range(0, len(pairs), BLOCK):
+            i = np.arange(lo, min(lo + BLOCK, len(pairs)))
+            dx, dy = d[i, 0][:, None], d[i, 1][:, None]
+            x, y = self.middles[:, 0] - a[i, 0][:, None], self.middles[:, 1] - a[i, 1][:, None]
+            t = np.clip((x * dx + y * dy) / np.maximum(length2[i], 1e-12)[:, None], 0, 1)
+            x -= t * dx
+            y -= t * dy
+            near = (t >= 0.15) & (t <= 0.85) & (np.sqrt(x * x + y * y) < r + clear)
+            near[i - lo, pairs[i, 0]] = near[i - lo, pairs[i, 1]] = False
+            blocked[i] = near.any(1) & (length2[i] >= 1)
         return {"ratio": float((w.sum() - w[blocked].sum()) / w.sum()), "violating": int(blocked.sum()), "pairs": len(pairs)}
 
     @cached_property

@@ -114,7 +114,7 @@ _LINKED = {"hubs": None, "hub_centrality_error": 5, "min_angle": 4, "avg_min_ang
 
 @query(f", {_LINKS}")
 def layout_links(c):
-    found = layout.facts(*_drawn(c))
+    found = layout.facts(*_drawn(c), only=[*_LINKED])
     return found.select("scenario", *[_whole(k) if d is None else F.round(k, d).alias(k) for k, d in _LINKED.items()])
 
 

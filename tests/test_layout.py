@@ -227,3 +227,35 @@ def test_pairs_of_nodes_are_read_once_in_blocks(monkeypatch):
     got = L.Drawing(ids, groups, np.array(at), np.array(r), links).facts(only=["node_overlap", "max_overlap", "within_distance", "between_distance", "gestalt_cohesion", "blob_integrity"])
     assert got == pytest.approx({k: want[k] for k in got})
     assert sum(sizes) < 0.7 * len(ids) ** 2 and max(sizes) <= 49
+
+
+def test_hubs_angles_and_corridors_against_loops(monkeypatch):
+    ids, groups, at, r, links = _random(6, 50, 160)
+    links += [(ids[3], ids[3]), (ids[4], ids[5]), (ids[5], ids[4])]
+    at = np.array(at).round(-1)  # places on a grid: equal angles, equal places
+    monkeypatch.setattr(L, "BLOCK", 7)
+    d = L.Drawing(ids, groups, at, np.array(r), links)
+    # no Python list of a node's neighbours: a drawing may have many
+    monkeypatch.setattr(L.Drawing, "neighbours", property(lambda _: pytest.fail("read")))
+    ends = [(int(a), int(b)) for a, b in links if b != "gone"]
+    near, turns = {i: set() for i in range(50)}, {i: [] for i in range(50)}
+    for a, b in ends:
+        near[a].add(b)
+        near[b].add(a)
+        dx, dy = at[b] - at[a]
+        turns[a].append(math.atan2(dy, dx))
+        turns[b].append(math.atan2(-dy, -dx))
+    errors = []
+    for v, ws in near.items():
+        own = [w for w in ws if groups[w] == groups[v]]
+        if len(own) >= 3:
+            far = np.mean([math.dist(at[w], at[v]) for w in own])
+            errors.append(math.dist(at[own].mean(0), at[v]) / far if far else 0.0)
+    assert d.hub_centrality() == {"hubs": len(errors), "avg_normalised": pytest.approx(np.mean(errors))}
+    least = [math.degrees(min(np.diff(sorted(x)).tolist() + [min(x) - max(x) + 2 * math.pi])) for x in turns.values() if len(x) > 1]
+    assert d.angular_resolution() == {"min_angle": pytest.approx(min(least)), "avg_min_angle": pytest.approx(np.mean(least)), "poor": sum(x < 15 for x in least)}
+    pairs, w = d.corridors
+    apart = [(i, j) for i, j in itertools.combinations(range(len(pairs)), 2) if not set(pairs[i]) & set(pairs[j])]
+    hits = [(i, j) for i, j in apart if L.crosses(*d.middles[[*pairs[i], *pairs[j]]])]
+    weight = lambda some: sum(int(w[i] + w[j]) for i, j in some)
+    assert d.corridor_crossings() == {"crossing": len(hits), "pairs": len(apart), "ratio": len(hits) / len(apart), "weighted_ratio": weight(hits) / weight(apart)}
