@@ -21,7 +21,8 @@ RAW = [
     "degree_entropy", "edge_angle_entropy", "graph_aspect_ratio", "spatial_compactness", "silhouette_by_module",
     "spatial_cluster_purity", "chain_r2",
 ]
-#: Readings that need a drawing's lists.
+#: A drawing's lists, and the readings that need them.
+_LISTS = ["module_count", "degrees", "edge_angles", "points", "chain_points"]
 _READ = ["degree_entropy", "edge_angle_entropy", "graph_aspect_ratio", "spatial_compactness", "silhouette_by_module", "spatial_cluster_purity", "chain_r2"]
 
 
@@ -49,15 +50,22 @@ def spread(points: np.ndarray) -> tuple[float, float]:
     return float(high), float(max(low, 0.0))
 
 
-def silhouette(points: np.ndarray, groups: np.ndarray, block: int = 512) -> float:
+def silhouette(points: np.ndarray, groups: np.ndarray, block: int = 128) -> float:
     """Mean over points of (distance to the nearest other group - own) / the greater; 0 for a point alone in its group."""
-    names, g = np.unique(groups, return_inverse=True)
+    g = np.unique(groups, return_inverse=True)[1]
+    order = np.argsort(g, kind="stable")
+    points, g = points[order], g[order]
     size = np.bincount(g)
+    first = np.cumsum(size) - size
     out = np.zeros(len(points))
     for lo in range(0, len(points), block):
         i = np.arange(lo, min(lo + block, len(points)))
-        far = np.hypot(*(points[i, None] - points[None]).transpose(2, 0, 1))
-        sums = np.stack([far[:, g == k].sum(1) for k in range(len(names))], 1)
+        far, y = points[i, 0][:, None] - points[:, 0], points[i, 1][:, None] - points[:, 1]
+        far *= far
+        y *= y
+        far += y
+        np.sqrt(far, out=far)
+        sums = np.add.reduceat(far, first, axis=1)
         own = g[i]
         a = sums[np.arange(len(i)), own] / np.maximum(size[own] - 1, 1)
         mean = sums / size
@@ -68,23 +76,52 @@ def silhouette(points: np.ndarray, groups: np.ndarray, block: int = 512) -> floa
     return float(out.mean())
 
 
+def _nearest(points: np.ndarray, middle: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Of each point the nearest middle, the first of equal ones, and the distance of the second nearest."""
+    own, second = np.zeros(len(points), np.int64), np.full(len(points), np.inf)
+    for lo in range(0, len(points), block):
+        p = points[lo : lo + block]
+        d, y = p[:, 0][:, None] - middle[:, 0], p[:, 1][:, None] - middle[:, 1]
+        d *= d
+        y *= y
+        d += y
+        own[lo : lo + block] = i = d.argmin(1)
+        d[np.arange(len(p)), i] = np.inf
+        second[lo : lo + block] = np.sqrt(d.min(1))
+    return own, second
+
+
 def k_means(points: np.ndarray, k: int, starts: int = 10, seed: int = 42) -> np.ndarray:
-    """Clusters of least squared distance of several starts, each spread out by distance."""
+    """Clusters of least squared distance of several starts, each spread out by distance.
+
+    A point is compared with all middles only if these have moved so far that another one may be the nearest.
+    """
     rng, best, least = np.random.default_rng(seed), np.zeros(len(points), int), np.inf
+    scale = np.abs(points).max(initial=1.0)
     for _ in range(starts):
-        middle = points[rng.integers(len(points))][None]
-        while len(middle) < k:
-            d = ((points[:, None] - middle[None]) ** 2).sum(2).min(1)
-            middle = np.vstack([middle, points[rng.choice(len(points), p=d / d.sum() if d.sum() else None)]])
-        for _ in range(300):
-            own = ((points[:, None] - middle[None]) ** 2).sum(2).argmin(1)
-            new = np.array([points[own == i].mean(0) if (own == i).any() else middle[i] for i in range(k)])
+        middle = np.empty((k, 2))
+        middle[0] = points[rng.integers(len(points))]
+        d = ((points - middle[0]) ** 2).sum(1)
+        for i in range(1, k):
+            total = d.sum()
+            middle[i] = points[rng.choice(len(points), p=d / total if total else None)]
+            np.minimum(d, ((points - middle[i]) ** 2).sum(1), out=d)
+        own, second = _nearest(points, middle)
+        for step in range(300):
+            if step:
+                second -= np.where(own == moved.argmax(), np.partition(moved, -2)[-2] if k > 1 else 0.0, moved.max())
+                near = np.hypot(*(points - middle[own]).T)
+                again = np.nonzero(near >= second - 1e-9 * scale)[0]  # more than rounding
+                own[again], second[again] = _nearest(points[again], middle)
+            n = np.bincount(own, minlength=k)
+            new = np.stack([np.bincount(own, x, k) for x in points.T], 1) / np.maximum(n, 1)[:, None]
+            new[n == 0] = middle[n == 0]
             if np.allclose(new, middle):
                 break
-            middle = new
+            moved, middle = np.hypot(*(new - middle).T), new
         cost = ((points - middle[own]) ** 2).sum()
         if cost < least:
-            best, least = own, cost
+            best, least = own.copy(), cost
     return best
 
 
@@ -125,21 +162,30 @@ def read_lists(modules: int, degrees: list[int], angles: list[float], points: li
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of flat columns and the lists that ``read_lists`` wants last: its readings in place of the lists."""
     for b in batches:
-        rows = [read_lists(*[v if v is not None else 1 if i == 0 else [] for i, v in enumerate(r)]) for r in zip(*[c.to_pylist() for c in b.columns[1:]])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.float64()) for c in zip(*rows)]], names=["scenario", *_READ])
+        flat, lists = b.columns[: -len(_LISTS)], b.columns[-len(_LISTS) :]
+        for i in range(b.num_rows):  # one drawing's lists at a time
+            row = [c[i].as_py() for c in lists]
+            found = read_lists(*[v if v is not None else 1 if j == 0 else [] for j, v in enumerate(row)])
+            yield pa.RecordBatch.from_arrays([*[c.slice(i, 1) for c in flat], *[pa.array([v], pa.float64()) for v in found]], names=[*b.schema.names[: len(flat)], *_READ])
 
 
 def raw(facts: DataFrame) -> DataFrame:
     """(scenario, …) with the columns of ``RAW``. A separation or a chain that there isn't reads 0 and 1."""
-    lists = facts.select("scenario", "module_count", "degrees", "edge_angles", "points", "chain_points").mapInArrow(_read, ", ".join(["scenario string", *(f"{c} double" for c in _READ)]))
     given = {"module_count": 1, "module_separation": 0.0, "chain_elongation": 1.0, "chain_straightness": 1.0, "cross_edge_ratio": 0.0, "blob_edge_routing": 1.0, "inter_module_crossings": 0.0, "degree_gini": 0.0}
     own = [F.coalesce(C(k), F.lit(v)).alias(k) for k, v in given.items()]
     rest = [k for k in RAW if k not in given and k not in _READ and k != "hub_degree_ratio"]
     ratio = F.coalesce("degree_max", F.lit(0)) / F.coalesce(F.nullif("degree_mean", F.lit(0.0)), F.lit(1.0))
-    flat = facts.select("scenario", *own, *rest, ratio.alias("hub_degree_ratio"))
-    return flat.join(lists, "scenario").select("scenario", *RAW)
+    flat = [C("scenario"), *own, *[C(k) for k in rest], ratio.alias("hub_degree_ratio")]
+    rows = facts.where(C("scenario").isNotNull())
+    # the flat columns go along with the lists: a join would have every drawing measured twice
+    shape = ", ".join([*(f"{n} {t}" for n, t in rows.select(*flat).dtypes), *(f"{c} double" for c in _READ)])
+    return rows.select(*flat, *[C(c).alias(f"l_{c}") for c in _LISTS]).mapInArrow(_read, shape).select("scenario", *RAW)
+
+
+#: Columns of facts that readings come from.
+NEEDED = [*dict.fromkeys([*(k for k in RAW if k not in _READ and k != "hub_degree_ratio"), "degree_max", "degree_mean", *_LISTS])]
 
 
 def _clamp(x: Column) -> Column:

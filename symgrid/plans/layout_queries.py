@@ -135,4 +135,4 @@ def layout_orders(c):
 
 @query()
 def layout_perceptions(c):
-    return perceptions.perceptions(layout.facts(*_drawn(c)))
+    return perceptions.perceptions(layout.facts(*_drawn(c), only=perceptions.NEEDED))

@@ -259,3 +259,48 @@ def test_hubs_angles_and_corridors_against_loops(monkeypatch):
     hits = [(i, j) for i, j in apart if L.crosses(*d.middles[[*pairs[i], *pairs[j]]])]
     weight = lambda some: sum(int(w[i] + w[j]) for i, j in some)
     assert d.corridor_crossings() == {"crossing": len(hits), "pairs": len(apart), "ratio": len(hits) / len(apart), "weighted_ratio": weight(hits) / weight(apart)}
+
+
+def test_clusters_are_those_of_comparing_all_middles_each_time():
+    def plain(points, k, starts=10, seed=42):
+        rng, best, least = np.random.default_rng(seed), None, np.inf
+        for _ in range(starts):
+            middle = points[rng.integers(len(points))][None]
+            while len(middle) < k:
+                d = ((points[:, None] - middle[None]) ** 2).sum(2).min(1)
+                middle = np.vstack([middle, points[rng.choice(len(points), p=d / d.sum() if d.sum() else None)]])
+            for _ in range(300):
+                own = ((points[:, None] - middle[None]) ** 2).sum(2).argmin(1)
+                new = np.array([points[own == i].mean(0) if (own == i).any() else middle[i] for i in range(k)])
+                if np.allclose(new, middle):
+                    break
+                middle = new
+            cost = ((points - middle[own]) ** 2).sum()
+            if cost < least:
+                best, least = own, cost
+        return best
+
+    rng = np.random.default_rng(8)
+    for n, k in ((400, 23), (150, 2), (30, 1), (12, 12)):
+        points = rng.normal(size=(n, 2)) * [90, 30] + rng.integers(0, 5, (n, 1)) * 150
+        assert (P.k_means(points, k) == plain(points, k)).all()
+    assert len(P.k_means(np.ones((9, 2)), 3)) == 9
+
+
+def test_a_drawing_is_measured_once_for_its_readings(spark, tmp_path):
+    ids, groups, at, r, links = _random(2)
+    nodes = spark.createDataFrame([(f"s{s}", i, g, *p, x) for s in range(3) for i, g, p, x in zip(ids, groups, at, r)], "scenario string, id string, grp string, x double, y double, r double")
+    edges = spark.createDataFrame([(f"s{s}", *e) for s in range(3) for e in links], "scenario string, source string, target string")
+
+    def counted(batches):
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                with open(tmp_path / s, "a") as f:
+                    f.write("x")
+            yield b
+
+    facts = L.facts(nodes, edges, only=P.NEEDED)
+    found = P.perceptions(facts.mapInArrow(counted, facts.schema)).collect()
+    assert [len((tmp_path / r.scenario).read_text()) for r in found] == [1, 1, 1]
+    every = {r.scenario: r for r in P.perceptions(L.facts(nodes, edges)).collect()}
+    assert {r.scenario: r for r in found} == every
